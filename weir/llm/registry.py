@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from weir.llm import simhash
+    from weir.llm import mixing, sharding, simhash
 
-    return {"op1_simhash_near_dedup": simhash.query}
+    return {
+        "op1_simhash_near_dedup": simhash.query,
+        "op2_mixing": mixing.query,
+        "op6_sharding": sharding.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
