@@ -138,3 +138,39 @@ def with_prefix(
     if total:
         out = out.withColumn(total, F.col("__t"))
     return out.select(*df.columns, name, *([total] if total else []))
+
+
+def add_text_columns(docs: DataFrame, fn: Callable[[list[bytes]], dict], fields: str, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` plus those that ``fn`` computes from a list of whole texts.
+
+    ``fields`` is a DDL list of new columns, none of which clashes with the input's. The
+    rows pass through Arrow in bounded pieces, so nothing has to be joined back.
+    """
+    from pyspark.sql.types import StructType
+
+    from weir.session import ship
+
+    ship(docs.sparkSession)
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(fields).fields])
+    at = docs.columns.index(text_col)
+    new = schema.names[len(docs.columns) :]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lean_batches(batches, at):
+            got = fn(texts(batch.column(at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(got[n]) for n in new]], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def labelled_sample(labels: DataFrame, label: str, k: int, held: int, most: int) -> DataFrame:
+    """At most ``most`` labelled ids whose crc32 remainder modulo ``k`` isn't ``held``, in hashed order; one label an id."""
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (id_remainder("doc_id", k) != held))
+    one = rows.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
+    one = one.select(F.col("doc_id").alias("label_id"), "y")
+    return one.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
+
+
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(y, text) of the sampled ids; the sample's size is a parameter, so it may be broadcast."""
+    return docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("y", F.col("text").cast("string").alias("text"))

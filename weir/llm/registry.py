@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from weir.llm import mixing, sharding, simhash
+    from weir.llm import mixing, quality, sharding, simhash, toxicity
 
     return {
         "op1_simhash_near_dedup": simhash.query,
         "op2_mixing": mixing.query,
         "op6_sharding": sharding.query,
+        "op7_toxicity": toxicity.query,
+        "op8_quality_classifier": quality.query,
     }
 
 
