@@ -110,7 +110,7 @@ def with_prefix(
     amount: Column,
     name: str,
     total: str | None = None,
-    rows_a_bucket: int = 50_000,
+    rows_a_bucket: int = 2_000,
 ) -> DataFrame:
     """Add the exclusive running sum of ``amount`` inside each group, without one task for a hot group.
 
