@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from weir.llm import mixing, quality, sharding, simhash, toxicity
+    from weir.llm import mixing, quality, sharding, simhash, tiff, toxicity
 
     return {
         "op1_simhash_near_dedup": simhash.query,
         "op2_mixing": mixing.query,
+        "op5_tiff_media": tiff.query,
         "op6_sharding": sharding.query,
         "op7_toxicity": toxicity.query,
         "op8_quality_classifier": quality.query,
