@@ -42,48 +42,52 @@ def metadata(docs: DataFrame) -> dict[str, Column]:
     }
 
 
-def _cases(params: dict[int, float], other: float = 0.0) -> Column:
-    out = F.lit(other)
-    for node, value in params.items():
-        out = F.when(F.col("node") == node, F.lit(value)).otherwise(out)
-    return out
+def _lookup(values: dict[int, float], other: float) -> Column:
+    """Value by node, as one small map literal."""
+    if not values:
+        return F.lit(other)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("node")), F.lit(other))
 
 
-def _leaf(tree: dict, node: int) -> Column:
-    """The node a row falls to, by the splits made so far."""
-    if node not in tree:
-        return F.lit(node)
-    dim, split = tree[node]
-    return F.when(F.col(dim) < F.lit(split), _leaf(tree, 2 * node)).otherwise(_leaf(tree, 2 * node + 1))
+def _leaf(tree: dict[int, tuple[int, float]], depth: int) -> Column:
+    """The node a row falls to by the splits made so far: a fold down the tree, so the expression stays short."""
+    if not tree:
+        return F.lit(1)
+    dim = F.create_map(*[F.lit(x) for n, (d, _) in tree.items() for x in (n, d + 1)])
+    split = F.create_map(*[F.lit(x) for n, (_, v) in tree.items() for x in (n, v)])
 
+    def down(node, _):
+        at = F.try_element_at(dim, node)
+        right = (F.try_element_at(F.col("xs"), at) >= F.try_element_at(split, node)).cast("int")
+        return F.when(at.isNull(), node).otherwise(node * 2 + right)
 
-def grow_tree(rows: DataFrame, dims: list[str], shards: int) -> tuple[dict, dict[int, int]]:
-    """(splits by node, shard number of each leaf) for rows with ``weight`` and dimensions in 0..1."""
-    tree: dict[int, tuple[str, float]] = {}
-    leaves, shard_of, done = {1: shards}, {}, 0
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), down)
+
+
+def grow_tree(rows: DataFrame, dims: int, shards: int) -> tuple[dict, dict[int, int], int]:
+    """(splits by node, shard number of each leaf, depth) for rows with ``weight`` and ``xs``, an array of dimensions in 0..1."""
+    tree: dict[int, tuple[int, float]] = {}
+    leaves, depth = {1: shards}, 0
     while any(k > 1 for k in leaves.values()):
-        at = rows.withColumn("node", _leaf(tree, 1))
+        at = rows.select("weight", "xs", _leaf(tree, depth).alias("node"))
         open_nodes = [n for n, k in leaves.items() if k > 1]
-        stats = at.where(F.col("node").isin(open_nodes)).groupBy("node")
-        stats = stats.agg(F.sum("weight").alias("w"), *[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims]).collect()
+        every = [f(F.col("xs")[d]).alias(f"{f.__name__}{d}") for d in range(dims) for f in (F.min, F.max)]
+        stats = at.groupBy("node").agg(F.sum("weight").alias("w"), *every).where(F.col("node").isin(open_nodes)).collect()
         found: dict[int, dict] = {}
         for r in stats:
-            dim = max(dims, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"], -dims.index(d)))
-            k = leaves[r["node"]]
-            lo, hi = r[f"lo_{dim}"], r[f"hi_{dim}"]
+            dim = max(range(dims), key=lambda d: (r[f"max{d}"] - r[f"min{d}"], -d))
+            k, lo, hi = leaves[r["node"]], r[f"min{dim}"], r[f"max{dim}"]
             found[r["node"]] = {"dim": dim, "lo": lo, "width": (hi - lo) * (1 + 1e-9) / BINS + 1e-300, "want": r["w"] * (k // 2) / k, "before": 0.0, "least": TOLERANCE * r["w"] / k}
         todo = dict(found)
         for _ in range(PASSES):
             if not todo:
                 break
-            value = F.lit(0.0)
-            for n, p in todo.items():
-                value = F.when(F.col("node") == n, F.col(p["dim"])).otherwise(value)
-            lo, width = _cases({n: p["lo"] for n, p in todo.items()}), _cases({n: p["width"] for n, p in todo.items()}, 1.0)
-            bins = at.where(F.col("node").isin(list(todo))).withColumn("bin", F.floor((value - lo) / width).cast("long"))
-            bins = bins.where((F.col("bin") >= 0) & (F.col("bin") < BINS)).groupBy("node", "bin").agg(F.sum("weight").alias("b"))
+            value = F.col("xs")[_lookup({n: p["dim"] for n, p in todo.items()}, 0)]
+            place = (value - _lookup({n: p["lo"] for n, p in todo.items()}, 0.0)) / _lookup({n: p["width"] for n, p in todo.items()}, 1.0)
+            bins = at.select("node", "weight", F.floor(place).cast("long").alias("bin")).groupBy("node", "bin").agg(F.sum("weight").alias("b"))
+            bins = bins.where(F.col("node").isin(list(todo)) & (F.col("bin") >= 0) & (F.col("bin") < BINS))
             run = F.sum("b").over(W.partitionBy("node").orderBy("bin"))
-            want = _cases({n: p["want"] - p["before"] for n, p in todo.items()})
+            want = _lookup({n: p["want"] - p["before"] for n, p in todo.items()}, 0.0)
             cut = bins.withColumn("upto", run).where(F.col("upto") >= want).groupBy("node").agg(F.min(F.struct("bin", "b", "upto")).alias("m"))
             for r in cut.collect():
                 p, m = todo[r["node"]], r["m"]
@@ -101,13 +105,11 @@ def grow_tree(rows: DataFrame, dims: list[str], shards: int) -> tuple[dict, dict
             if k == 1:
                 grown[n] = 1
                 continue
-            p = found.get(n, {"dim": dims[0], "split": 0.0})
+            p = found.get(n, {"dim": 0})
             tree[n] = (p["dim"], float(p.get("split", p.get("lo", 0.0))))
             grown |= {2 * n: k // 2, 2 * n + 1: k - k // 2}
-        leaves = grown
-    for n in sorted(leaves, key=lambda n: bin(n)[2:]):
-        shard_of[n], done = done, done + 1
-    return tree, shard_of
+        leaves, depth = grown, depth + 1
+    return tree, {n: i for i, n in enumerate(sorted(leaves, key=lambda n: bin(n)[2:]))}, depth
 
 
 def kd_shards(docs: DataFrame, shards: int = SHARDS, dims: dict[str, Column] | None = None) -> DataFrame:
@@ -128,12 +130,12 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, dims: dict[str, Column] | N
     for i, n in enumerate(names):
         lo, hi = ends[f"lo{n}"] or 0, ends[f"hi{n}"] or 0
         part = F.xxhash64(F.lit(i), "h").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-        scaled.append(((F.coalesce(F.col(n) - lo + 1, F.lit(0)) + part) / F.lit(float(hi - lo + 2))).alias(f"x{i}"))
-    rows = base.select("doc_id", "size", "text_crc32", "h", F.col("size").alias("weight"), *scaled)
-    tree, shard_of = grow_tree(rows, [f"x{i}" for i in range(len(names))], shards)
-    leaf = _leaf(tree, 1)
+        scaled.append(((F.coalesce(F.col(n) - lo + 1, F.lit(0)) + part) / F.lit(float(hi - lo + 2))))
+    rows = durable(base.select("doc_id", "size", "text_crc32", "h", F.col("size").alias("weight"), F.array(*scaled).alias("xs")))
+    tree, shard_of, depth = grow_tree(rows, len(names), shards)
+    leaf = _leaf(tree, depth)
     shard = F.element_at(F.create_map(*[F.lit(x) for pair in shard_of.items() for x in pair]), leaf)
-    placed = rows.select("doc_id", "size", "text_crc32", "h", shard.cast("int").alias("shard"))
+    placed = durable(rows.select("doc_id", "size", "text_crc32", "h", shard.cast("int").alias("shard")))
     return with_prefix(placed, ["shard"], F.shiftrightunsigned("h", 20), [F.col("h"), F.col("doc_id"), F.col("size")], F.lit(1).cast("long"), "slot")
 
 
