@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from weir.llm import mixing, quality, sharding, simhash, tiff, toxicity
+    from weir.llm import mixing, quality, sentencepiece, sharding, simhash, tiff, tokenfile, toxicity
 
     return {
         "op1_simhash_near_dedup": simhash.query,
         "op2_mixing": mixing.query,
+        "op3_sentencepiece": sentencepiece.query,
+        "op4_token_files": tokenfile.query,
         "op5_tiff_media": tiff.query,
         "op6_sharding": sharding.query,
         "op7_toxicity": toxicity.query,
