@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from weir.llm import mixing, quality, sentencepiece, sharding, simhash, tiff, tokenfile, toxicity
+    from weir.llm import embeddings, mixing, quality, sentencepiece, sharding, simhash, tiff, tokenfile, toxicity
 
     return {
         "op1_simhash_near_dedup": simhash.query,
@@ -19,8 +19,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": sharding.query,
         "op7_toxicity": toxicity.query,
         "op8_quality_classifier": quality.query,
+        "op9_embedding_near_dedup": embeddings.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from weir.llm import embeddings
+
+    return {"op9_embedding_near_dedup": embeddings.ORACLE}
