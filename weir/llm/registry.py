@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from weir.llm import embeddings, mixing, quality, sentencepiece, sharding, simhash, tiff, tokenfile, toxicity
+    from weir.llm import embeddings, language_model, mixing, quality, sentencepiece, sharding, simhash, tiff, tokenfile, toxicity
 
     return {
         "op1_simhash_near_dedup": simhash.query,
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": toxicity.query,
         "op8_quality_classifier": quality.query,
         "op9_embedding_near_dedup": embeddings.query,
+        "op10_lm_scoring": language_model.query,
     }
 
 
