@@ -3,7 +3,8 @@
 A segment ends before a space that follows a character other than white space. Tokenizers whose
 pre-tokenization or pieces let a space only begin a token encode a text as its segments
 one after the other, so each distinct segment is encoded once and its ids are kept for as long as the Python
-worker lives. Beyond ``CACHE`` segments the store drops its oldest half, which bounds its memory.
+worker lives. Beyond ``CACHE`` segments the store keeps those of
+the present batch, then drops its oldest half if that isn't enough, which bounds its memory.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 
 from weir.llm._shared import worker_cache
 
-CACHE = 600_000
+CACHE = 400_000
 LONGEST = 64  #: longer segments aren't kept
 _CUT = re.compile(r"(?<=\S)(?= )")
 _MIXED = re.compile(r"\s ")
@@ -42,12 +43,14 @@ class CachedEncoder:
         new = set()
         for p in parts:
             new.update(p)
-        if len(known) > CACHE // 2 and len(known) + len(new.difference(known)) > CACHE:
-            for old in list(known)[: len(known) // 2]:
+        fresh = list(new.difference(known))
+        if len(known) + len(fresh) > CACHE:
+            for old in [x for x in known if x not in new]:
                 del known[old]
-        new.difference_update(known)
+            for old in list(known)[: max(0, len(known) - CACHE // 2)] if len(known) + len(fresh) > CACHE else ():
+                del known[old]
+            fresh = list(new.difference(known))
         once: dict[str, bytes] = {}
-        fresh = sorted(new)
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
             for s, ids in zip(some, self.encode(some)):

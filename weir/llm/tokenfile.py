@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weir.llm._shared import lean_batches, offsets, scratch_path, texts, worker_cache
+from weir.llm._shared import lean_batches, offsets, scratch_path, worker_cache
 from weir.llm.segments import CachedEncoder, ragged
 from weir.session import ship
 
@@ -39,6 +39,11 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def _kind(tokenizer) -> str:
+    """The narrowest type that holds all ids."""
+    return "<u2" if tokenizer.get_vocab_size() <= 65_536 else "<u4"
+
+
 def _encoder(path: str) -> CachedEncoder:
     held = worker_cache("tokenizers")
     if path not in held:
@@ -54,8 +59,10 @@ def _encoder(path: str) -> CachedEncoder:
             size[i] = len(token)
         held[path, "sizes"] = size
 
+    kind = _kind(tokenizer)
+
     def alone(some: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=kind).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def encode(some: list[str]) -> list[bytes]:
         """Segments that begin with a space and end without one are encoded as one text and cut by their lengths in bytes."""
@@ -63,14 +70,15 @@ def _encoder(path: str) -> CachedEncoder:
         out = [b""] * len(some)
         for at in range(0, len(joined), 500):
             part = [some[i] for i in joined[at : at + 500]]
-            ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=kind)
             ends = np.cumsum(size[ids])
-            want = np.cumsum([len(s.encode()) for s in part])
+            want = np.cumsum([len(s) if s.isascii() else len(s.encode()) for s in part])
             cuts = np.searchsorted(ends, want)
             if cuts[-1] >= len(ends) or (ends[cuts] != want).any():
                 got = alone(part)
             else:
-                got = [x.tobytes() for x in np.split(ids, cuts[:-1] + 1)]
+                packed, to = ids.tobytes(), ((cuts + 1) * ids.itemsize).tolist()
+                got = [packed[a:b] for a, b in zip([0, *to], to)]
             for i, ids_of in zip(joined[at : at + 500], got):
                 out[i] = ids_of
         rest = [i for i, x in enumerate(out) if not x]
@@ -89,9 +97,10 @@ def _encode(path: str | None):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = _encoder(path or vocabulary())
-        part, start, end = TaskContext.get().partitionId(), 0, np.array([END], dtype="<u4").tobytes()
+        kind = _kind(worker_cache("tokenizers")[path or vocabulary()])
+        part, start, end = TaskContext.get().partitionId(), 0, np.array([END], dtype=kind).tobytes()
         for batch in lean_batches(batches):
-            values, ends = ragged([ids + end for ids in encode([t.decode() for t in texts(batch.column(1))])], "<u4")
+            values, ends = ragged([ids + end for ids in encode([t.decode() for t in texts(batch.column(1))])], kind)
             n = np.diff(ends).astype(np.int64)
             starts = start + ends[:-1].astype(np.int64)
             start += int(ends[-1])
