@@ -49,7 +49,7 @@ class _StreamReader(SimpleDataSourceStreamReader):
         at = start["chunk"]
         if at >= self.r.chunks:
             return iter(()), start
-        return read_chunk(at, self.r.frames, self.r.every, self.r.keyframes), {"chunk": at + 1}
+        return iter(list(read_chunk(at, self.r.frames, self.r.every, self.r.keyframes))), {"chunk": at + 1}
 
     def readBetweenOffsets(self, start, end):
         for chunk in range(start["chunk"], end["chunk"]):
