@@ -100,7 +100,7 @@ def _encode(path: str | None):
         kind = _kind(worker_cache("tokenizers")[path or vocabulary()])
         part, start, end = TaskContext.get().partitionId(), 0, np.array([END], dtype=kind).tobytes()
         for batch in lean_batches(batches):
-            values, ends = ragged([ids + end for ids in encode([t.decode() for t in texts(batch.column(1))])], kind)
+            values, ends = ragged([ids + end for ids in encode([t or "" for t in batch.column(1).to_pylist()])], kind)
             n = np.diff(ends).astype(np.int64)
             starts = start + ends[:-1].astype(np.int64)
             start += int(ends[-1])
