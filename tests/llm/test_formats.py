@@ -27,7 +27,8 @@ def test_token_files(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS part", "2 AS ids")
     out = tokenfile.write_tokens(df, str(tmp_path / "t"))
     files = tokenfile.read_tokens(spark, out)
-    got = sorted(files.join(tokenfile.starts(files), files.part == tokenfile.starts(files).of_part).selectExpr("before + part_start AS start", "doc_id", "n_tokens", "ids").collect())
+    before = tokenfile.starts(files)
+    got = sorted(files.join(before, files.part == before.of_part).selectExpr("before + part_start AS start", "doc_id", "n_tokens", "ids").collect())
     assert [r.doc_id for r in got] == [None, -2, 1, 3, 5, 5, 9]
     at = 0
     for r in got:
