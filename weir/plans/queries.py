@@ -126,6 +126,18 @@ def image_index_diff(s, sf):
     return sightings.index_changes(old, g.where("session % 5 <> 4").select("name", F.col("best_frame").alias("frame")))
 
 
+@query(f"""WITH {o.HITS} SELECT camera, count(*) AS hits, count(DISTINCT frame) AS frames, count(DISTINCT us // {GAP}) AS recordings, max(us) AS last_us FROM hits_v GROUP BY camera""")
+def camera_counters(s, sf):
+    h = views.hits(s, sf)
+    return h.groupBy("camera").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("frame").alias("frames"), F.count_distinct(F.expr(f"us div {GAP}")).alias("recordings"), F.max("us").alias("last_us"))
+
+
+@query(f"""WITH {o.FILES} SELECT camera, count(*) FILTER ((part * 7 + camera) % 3 = 0) AS segments_pending, (sum("end" - start) FILTER ((part * 7 + camera) % 3 = 0))::BIGINT AS frames_pending, count(*) AS segments_total FROM seg_v GROUP BY camera""")
+def pending_totals(s, sf):
+    left = (F.col("part") * 7 + F.col("camera")) % 3 == 0
+    return parts(s, sf).groupBy("camera").agg(F.count_if(left).alias("segments_pending"), F.sum(F.when(left, F.col("end") - F.col("start"))).alias("frames_pending"), F.count(F.lit(1)).alias("segments_total"))
+
+
 # coverage -------------------------------------------------------------------------------------------------
 
 
