@@ -173,4 +173,32 @@ def labelled_sample(labels: DataFrame, label: str, k: int, held: int, most: int)
 
 def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """(y, text) of the sampled ids; the sample's size is a parameter, so it may be broadcast."""
-    return docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("y", F.col("text").cast("string").alias("text"))
+    return docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("y", F.col("text").cast("string").alias("text"), "label_id")
+
+
+def _least_hashes(batches: Iterator[pa.RecordBatch], keys: int = 8, words: int = 3) -> Iterator[pa.RecordBatch]:
+    """The least of the shingles' hashes under each of several mixings."""
+    import numpy as np
+    import xxhash
+
+    odd = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (1 << 64) - 1 | 1 for k in range(keys)], dtype=np.uint64)
+    for batch in lean_batches(batches):
+        out = []
+        for t in texts(batch.column(1)):
+            w = t.lower().split()
+            shingles = {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+            h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype=np.uint64, count=len(shingles))
+            out.append([int(((h ^ (h >> np.uint64(29))) * m).min().view(np.int64)) for m in odd])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["copy_id", "keys"])
+
+
+def first_of_copies(rows: DataFrame) -> DataFrame:
+    """Rows of a labelled sample (label_id, text, ...) without those that share a least shingle hash with an earlier one.
+
+    Only for learning: otherwise the words of a text that is copied a thousand times would look like words of its class.
+    """
+    keyed = rows.select("label_id", "text").mapInArrow(_least_hashes, "copy_id long, keys array<long>")
+    keyed = durable(keyed.select("copy_id", F.posexplode("keys").alias("at", "key"), F.xxhash64("copy_id").alias("turn")))
+    first = keyed.groupBy("at", "key").agg(F.min(F.struct("turn", "copy_id")).alias("first"))
+    later = keyed.join(first, ["at", "key"]).where(F.col("first.copy_id") != F.col("copy_id")).select(F.col("copy_id").alias("label_id")).distinct()
+    return rows.join(later, "label_id", "left_anti")

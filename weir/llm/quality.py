@@ -5,7 +5,7 @@ hashed). Indicators are scaled by the class log-count ratio, brought to unit len
 hinge-loss model that dual coordinate descent fits on the driver. A sigmoid, fitted on margins of rows
 that the margin model had not seen, turns margins into scores.
 
-Fitting uses at most ``SAMPLE`` labelled rows, chosen by a hash of their id; they reach the
+Fitting uses at most ``SAMPLE`` labelled rows, chosen by a hash of their id, one of each group of near copies; they reach the
 driver as lists of feature numbers. All texts are scored whole.
 
 Defined results: null text counts as empty; an empty text is scored from the bias; without labels of
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm._shared import add_text_columns, free_name, id_remainder, labelled_sample, lean_batches, sampled_texts, texts
+from weir.llm._shared import add_text_columns, durable, first_of_copies, free_name, id_remainder, labelled_sample, lean_batches, sampled_texts, texts
 from weir.session import ship
 
 SAMPLE = 5_000  #: labelled rows that the model is fitted on, at most
@@ -133,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", k: int = 5
     """Fit on labelled rows whose crc32(id) modulo ``k`` isn't ``held``."""
     ship(docs.sparkSession)
     sample = labelled_sample(labels, label, k, held, most)
-    got = sampled_texts(docs, sample).mapInArrow(_features, "y int, found array<int>").toArrow()
+    rows = durable(sampled_texts(docs, sample))
+    got = first_of_copies(rows).select("y", "text").mapInArrow(_features, "y int, found array<int>").toArrow()
     y = got.column("y").to_numpy()
     rows = [x.values.to_numpy() for chunk in got.column("found").chunks for x in chunk]
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), int(rows[i].sum()), int(y[i])))  # not the order tasks ended in

@@ -8,7 +8,7 @@ up the features of a small logistic model.
 
 Arcs of the insult transducer are a fixed lexicon and, learned from labelled rows, whole words and word beginnings
 that occur in far more toxic documents than chance allows; their weights are log odds. Learning
-uses at most ``SAMPLE`` labelled rows, chosen by a hash of their id; counting arcs is distributed and only
+uses at most ``SAMPLE`` labelled rows, chosen by a hash of their id, one of each group of near copies; counting arcs is distributed and only
 the ``MOST_ARCS`` strongest reach the driver. All texts are scored whole.
 
 Defined results: null text counts as empty and scores the model's value for no match; without labels the
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm._shared import add_text_columns, free_name, id_remainder, labelled_sample, lean_batches, sampled_texts, texts
+from weir.llm._shared import add_text_columns, durable, first_of_copies, free_name, id_remainder, labelled_sample, lean_batches, sampled_texts, texts
 from weir.session import ship
 
 SAMPLE = 20_000  #: labelled rows that arcs and model are learned from, at most
@@ -261,9 +261,12 @@ def features(model: dict):
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", k: int = 3, held: int = 1, most: int = SAMPLE) -> dict:
     """Learn arcs and model from labelled rows whose crc32(id) modulo ``k`` isn't ``held``."""
     spark = ship(docs.sparkSession)
-    rows = sampled_texts(docs, labelled_sample(labels, label, k, held, most))
-    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    arcs, prefixes = learn_arcs(rows, n.get(1, 0), n.get(0, 0))
+    rows = durable(first_of_copies(durable(sampled_texts(docs, labelled_sample(labels, label, k, held, most)))).select("y", "text", "label_id"))
+    # arcs fit the rows they were found in too well, so the model over them is fitted on others
+    apart = F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(3)) == 0
+    found_in = rows.where(~apart)
+    n = {r["y"]: r["count"] for r in found_in.groupBy("y").count().collect()}
+    arcs, prefixes = learn_arcs(found_in.select("y", "text"), n.get(1, 0), n.get(0, 0))
     model = {"arcs": arcs, "prefixes": prefixes}
     shared = spark.sparkContext.broadcast(model)
 
@@ -273,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", k: int = 3,
             x = f(texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, i]) for i in range(FEATURES)]], names=["y", *"abcde"])
 
-    got = rows.mapInArrow(run, "y int, a double, b double, c double, d double, e double").toArrow()
+    got = rows.where(apart).select("y", "text").mapInArrow(run, "y int, a double, b double, c double, d double, e double").toArrow()
     x = np.stack([got.column(c).to_numpy() for c in "abcde"], axis=1) if got.num_rows else np.zeros((0, FEATURES))
     y = got.column("y").to_numpy().astype(float) if got.num_rows else np.zeros(0)
     order = np.lexsort((*x.T, y)) if len(y) else np.zeros(0, dtype=int)
