@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors over byte n-gram indicators.
 
 A text's features are the byte 1- to 4-grams that occur in it (3- and 4-grams
-hashed). Indicators are scaled by the class log-count ratio, brought to unit length and given to a linear
+hashed) and the word bigrams of one word twice, as indicators of how many there are. Indicators are scaled by the class log-count ratio, brought to unit length and given to a linear
 hinge-loss model that dual coordinate descent fits on the driver. A sigmoid, fitted on margins of rows
 that the margin model had not seen, turns margins into scores.
 
@@ -16,6 +16,8 @@ a null id or a value other than 0 and 1 are ignored, of an id's repeated labels
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ SAMPLE = 5_000  #: labelled rows that the model is fitted on, at most
 FOLDS = 5
 THRESHOLD = 0.3
 _HASH = 1 << 17
-DIMS = 256 + 65_536 + 2 * _HASH
+_REPEATS = 256 + 65_536 + 2 * _HASH
+REPEAT_COUNTS, REPEAT_SHARES = (1, 4, 16, 64), (0.05, 0.1, 0.25, 0.5)
+DIMS = _REPEATS + len(REPEAT_COUNTS) + len(REPEAT_SHARES)
 
 
 def marked(text: bytes, mark: np.ndarray) -> np.ndarray:
@@ -46,6 +50,11 @@ def marked(text: bytes, mark: np.ndarray) -> np.ndarray:
         if len(b) > 3:
             four = three[:-1] << 8 | b[3:]
             mark[65_792 + _HASH + (four * np.uint32(2_246_822_519) >> np.uint32(15))] = True
+    words = text.split()
+    twice = sum(map(eq, words, islice(words, 1, None)))
+    if twice:
+        mark[_REPEATS : _REPEATS + 4] = [twice >= n for n in REPEAT_COUNTS]
+        mark[_REPEATS + 4 :] = [twice >= share * len(words) for share in REPEAT_SHARES]
     found = np.flatnonzero(mark)
     mark[found] = False
     return found
