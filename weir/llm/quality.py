@@ -110,7 +110,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> dict:
     def trained(part):
         some, ys = [rows[i] for i in part], y[part]
         r = log_count_ratio(some, ys)
-        values = [r[x] / (np.linalg.norm(r[x]) or 1.0) for x in some]
+        flat = r.astype(np.float32)[np.concatenate(some)]  # one block, which goes back to the system as a whole
+        ends = np.cumsum([len(x) for x in some])
+        values = [flat[e - len(x) : e] for x, e in zip(some, ends)]
+        for v in values:
+            v /= np.linalg.norm(v) or 1.0
         w, bias = dual_coordinate_descent(some, values, ys)
         return r, w, bias
 
@@ -145,7 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", k: int = 5
     rows = durable(sampled_texts(docs, sample))
     got = first_of_copies(rows).select("y", "text").mapInArrow(_features, "y int, found array<int>").toArrow()
     y = got.column("y").to_numpy()
-    rows = [x.values.to_numpy() for chunk in got.column("found").chunks for x in chunk]
+    found = got.column("found").combine_chunks()
+    flat, at = found.flatten().to_numpy(), found.offsets.to_numpy() - (found.offsets[0].as_py() if len(found) else 0)
+    rows = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), int(rows[i].sum()), int(y[i])))  # not the order tasks ended in
     return fit([rows[i] for i in order], y[order])
 
