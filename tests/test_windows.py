@@ -46,6 +46,15 @@ def test_gap_is_inclusive(spark):
     assert got == {(1, 0): 0, (1, 10): 0, (1, 21): 1, (2, 0): 0}
 
 
+def test_sessions_spread_by_time_are_the_same(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([0, 1, 2, None]), rng.randint(-500, 2000), i) for i in range(800)]
+    df = spark.createDataFrame(rows, "k int, us long, id long")
+    for gap in (0, 3, 40, 300):
+        plain = {r.id: r.session for r in gap_sessions(df, ["k"], "us", gap, ["id"]).collect()}
+        assert plain == {r.id: r.session for r in gap_sessions(df, ["k"], "us", gap, ["id"], bucket=50).collect()}
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "k int, us long")
     assert gap_sessions(df, ["k"], "us", 10).count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,10 +18,32 @@ def number_islands(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     return flagged.withColumn(name, F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
 
 
-def gap_sessions(df: DataFrame, keys: Sequence[str], time: str, gap: int, order: Sequence[str] = (), name: str = "session") -> DataFrame:
-    """A row joins its predecessor's session if it comes at most ``gap`` after it (equal counts as within)."""
-    w = W.partitionBy(*keys).orderBy(time, *order)
-    return number_islands(df, keys, [time, *order], F.col(time) - F.lag(time).over(w) > gap, name)
+def _with_bucket(rows: DataFrame, buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on keys and ``__b``, nulls equal too."""
+    right = buckets.withColumnsRenamed({k: f"__r{i}" for i, k in enumerate([*keys, "__b"])})
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate([*keys, "__b"])))
+    return rows.join(right, on).drop(*[f"__r{i}" for i in range(len(keys) + 1)])
+
+
+def gap_sessions(df: DataFrame, keys: Sequence[str], time: str, gap: int, order: Sequence[str] = (), name: str = "session", bucket: int | None = None) -> DataFrame:
+    """A row joins its predecessor's session if it comes at most ``gap`` after it (equal counts as within).
+
+    ``bucket``: a width of time by which a key's rows are spread over tasks, for keys with more rows than one task should sort. Only
+    a row a bucket is then ordered by key alone: the last time of each bucket and its number of session starts.
+    """
+    if bucket is None:
+        w = W.partitionBy(*keys).orderBy(time, *order)
+        return number_islands(df, keys, [time, *order], F.col(time) - F.lag(time).over(w) > gap, name)
+    cut = df.withColumn("__b", F.floor(F.col(time) / bucket).cast("long"))
+    by_key, by_bucket = W.partitionBy(*keys).orderBy("__b"), W.partitionBy(*keys, "__b").orderBy(time, *order)
+    ends = cut.groupBy(*keys, "__b").agg(F.max(time).alias("__last")).withColumn("__before", F.lag("__last").over(by_key)).drop("__last")
+    rows = _with_bucket(cut, ends, keys)
+    gone = F.col(time) - F.coalesce(F.lag(time).over(by_bucket), F.col("__before"))
+    rows = rows.withColumn("__new", F.coalesce((gone > gap).cast("int"), F.lit(0)))
+    starts = rows.groupBy(*keys, "__b").agg(F.sum("__new").alias("__n"))
+    starts = starts.withColumn("__base", F.coalesce(F.sum("__n").over(by_key.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    inside = F.sum("__new").over(by_bucket.rowsBetween(W.unboundedPreceding, 0))
+    return _with_bucket(rows, starts, keys).withColumn(name, F.col("__base") + inside).select(*df.columns, name)
 
 
 def contiguous_stretches(files: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", name: str = "file", tolerance: int = 3_000_000) -> DataFrame:

@@ -11,15 +11,6 @@ from pyspark.sql import functions as F
 from weir.operators.islands import gap_sessions, number_islands
 
 
-def histogram(cls: str = "cls", seq: str = "seq") -> Column:
-    """``cls:n;cls:n`` of a group collected as (cls, seq): most frequent first, ties by first appearance."""
-    return F.expr(
-        f"array_join(transform(array_sort(transform(array_distinct(transform(sort_array(__cs), x -> x.{cls})), "
-        f"c -> struct(-size(filter(__cs, x -> x.{cls} = c)) as m, array_min(transform(filter(__cs, x -> x.{cls} = c), x -> x.{seq})) as f, c as c))), "
-        "y -> concat(y.c, ':', cast(-y.m as string))), ';')"
-    )
-
-
 def class_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str], cls: str = "cls", name: str = "raw_classes") -> DataFrame:
     """Class histogram of each key as an ordered string; counts are summed before they are collected, so its arrays stay short."""
     first = F.min(F.struct(*order))
@@ -41,9 +32,12 @@ def best_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], conf: str
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def camera_sightings(hits: DataFrame, gap: int, keys: Sequence[str] = ("camera", "target")) -> DataFrame:
-    """Sightings over cameras: hits of a key at most ``gap`` microseconds after the one before (column ``us``)."""
-    s = gap_sessions(hits, keys, "us", gap, ["frame"])
+def camera_sightings(hits: DataFrame, gap: int, keys: Sequence[str] = ("camera", "target"), bucket: int | None = None) -> DataFrame:
+    """Sightings over cameras: hits of a key at most ``gap`` microseconds after the one before (column ``us``).
+
+    ``bucket`` (microseconds) spreads a crowded key over tasks by time.
+    """
+    s = gap_sessions(hits, keys, "us", gap, ["frame"], bucket=bucket)
     group = [*keys, "session"]
     best = F.min_by(F.col("frame"), F.struct(-F.col("conf"), F.col("us"), F.col("frame")))
     seen = s.groupBy(*group).agg(

@@ -48,6 +48,13 @@ def sightings_camera(s, sf):
     return sighted(s, sf).select("camera", "target", time("start_us", "start"), time("end_us", "end"), ((F.col("end_us") - F.col("start_us")) / 1e6).alias("duration_s"), "hits", "max_conf", "best_frame", "raw_classes", "source")
 
 
+@query(f"WITH {o.SESSIONS} SELECT camera, target, start_us, end_us, hits, best_frame, raw_classes FROM sightings_v")
+def sightings_by_day(s, sf):
+    """The same sightings, each camera's rows spread over tasks by day."""
+    d = sightings.camera_sightings(views.hits(s, sf), GAP, bucket=86_400_000_000)
+    return d.select("camera", "target", "start_us", "end_us", "hits", "best_frame", "raw_classes")
+
+
 @query(f"WITH {o.SESSIONS} SELECT camera, target, count(*) AS sightings, sum(hits)::BIGINT AS hits, max(end_us) AS last_us FROM sightings_v GROUP BY camera, target")
 def sightings_summary(s, sf):
     return sighted(s, sf).groupBy("camera", "target").agg(F.count(F.lit(1)).alias("sightings"), F.sum("hits").alias("hits"), F.max("end_us").alias("last_us"))
