@@ -26,9 +26,9 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: that of the least id."""
+    """One document of each group of near copies (five words, similarity 0.8): that of the least id."""
     ship(spark)
-    return simhash.dedup(docs)
+    return simhash.dedup(docs, size=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

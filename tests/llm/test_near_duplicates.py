@@ -124,3 +124,29 @@ def test_repeated_vec_ids_and_null_ids(spark):
 def test_queries_with_sql(spark, duck):
     for name, sql in registry.oracle_sql().items():
         assert same(registry.queries()[name](spark, SF), duck, sql) > 0
+
+
+def test_similar_texts_of_five_words_equal_brute_force(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    docs = [" ".join("w%d" % x for x in rng.integers(0, 400, int(rng.integers(30, 300)))) for _ in range(40)]
+    for text in docs[:30]:
+        w = text.split()
+        for _ in range(3):
+            at = int(rng.integers(0, len(w)))
+            w[at : at + 1] = ["edit%d" % at] * int(rng.integers(0, 3))
+        docs.append(" ".join(w))
+    docs += ["", None, "one two", "One  two", docs[0].upper(), docs[0]]
+    words = [(t or "").lower().split() for t in docs]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    links = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = classes(len(docs), links)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for size in (2048, 1):
+        got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, 0.8, 5, cluster_size=size).collect()}
+        assert [got[i] for i in range(len(docs))] == want
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect())
+    assert kept == sorted(set(want)) and len(kept) < simhash.dedup(df).count()
+    nameless = spark.createDataFrame([(None, docs[0]), (None, docs[0].upper()), (None, "lonely"), (5, docs[1])], "doc_id long, text string")
+    assert corpus_pipeline.drop_near_duplicates(spark, nameless, SF).count() == 3

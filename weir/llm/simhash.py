@@ -14,6 +14,10 @@
 5. A bucket gives a spanning forest of its links (fewer links than fingerprints), never
    all pairs. Components come from checkpointed star rounds.
 
+``dedup(..., similarity=s)`` joins texts whose sets of shingles have a Jaccard similarity of ``s`` or more. Such pairs lie too many
+bits apart for bit blocks, so texts that share a band of least shingle hashes are put in one cluster, a cluster's fingerprints are
+linked through a BK-tree of a wide radius, and each link is confirmed on the whole shingle sets before it counts.
+
 Defined results: a null text counts as empty; empty texts have fingerprint 0 and link
 with each other; a null ``doc_id`` keeps its row and fingerprint and takes its group's
 least id, null if the group has none; repeated rows keep one output row each; empty tables give
@@ -38,6 +42,10 @@ SEED = 42
 WORDS_A_SHINGLE = 3
 RADIUS = 2
 SHARD_SIZE = 16_384
+#: Bands of least hashes: a pair of Jaccard similarity j shares none of them with probability (1 - j ** BAND_ROWS) ** BANDS, 0.0002 at 0.8.
+BANDS, BAND_ROWS = 36, 7
+WIDE_RADIUS = 24  #: bits; pairs of similarity 0.8 lie 10 apart on average, with a deviation of 3
+CLUSTER_SIZE = 2048  #: members of a tree of a cluster
 
 
 def fingerprint(text: bytes, size: int = WORDS_A_SHINGLE) -> int:
@@ -58,10 +66,13 @@ def fingerprint(text: bytes, size: int = WORDS_A_SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in lean_batches(batches):
-        fps = np.array([fingerprint(t) for t in texts(batch.column(1))], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+def _fingerprints(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lean_batches(batches):
+            fps = np.array([fingerprint(t, size) for t in texts(batch.column(1))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+
+    return run
 
 
 class BKTree:
@@ -181,11 +192,11 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, shard_size: int = SH
     return put.repartition("bucket", "shard").mapInArrow(_bucket_links(radius), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shard_size: int = SHARD_SIZE) -> DataFrame:
+def simhash_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shard_size: int = SHARD_SIZE, size: int = WORDS_A_SHINGLE) -> DataFrame:
     """One row per document: doc_id, fp (signed 64 bits), component_fp and component_id."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = durable(rows.mapInArrow(_fingerprints, "doc_id long, fp long"))
+    marked = durable(rows.mapInArrow(_fingerprints(size), "doc_id long, fp long"))
     firsts = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(fingerprint_links(firsts.select("fp"), radius, shard_size))
     classes = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("component_fp"))
@@ -194,9 +205,122 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id"
     return marked.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_fp", "component_id")
 
 
-def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents with one of each group left: that of the least id (any one, of repeated ids)."""
-    groups = simhash_groups(docs, radius)
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order; a shorter text is one shingle."""
+    import xxhash
+
+    words = text.lower().split()
+    shingles = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64, count=len(shingles)))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """One signed 64-bit key of a shingle set."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), seed=SEED)).view(np.int64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of least hashes."""
+    import xxhash
+
+    odd = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    low, least = (hashes >> np.uint64(32)).astype(np.uint32), None
+    for at in range(0, len(low), 4096):
+        here = (low[at : at + 4096, None] * odd).min(axis=0)
+        least = here if least is None else np.minimum(least, here)
+    return np.array([xxhash.xxh64_intdigest(least[k * BAND_ROWS : (k + 1) * BAND_ROWS].tobytes(), seed=k) for k in range(BANDS)], dtype=np.uint64).view(np.int64)
+
+
+def _marks(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lean_batches(batches):
+            sets = [shingle_hashes(t, size) for t in texts(batch.column(1))]
+            bands = pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_key(h) for h in sets], pa.int64()), bands], names=["doc_id", "print", "key", "bands"])
+
+    return run
+
+
+def _confirmed(size: int, radius: int, similarity: float):
+    """Sorted rows (cluster, shard, key, member, text) -> spanning links (a, b) of each cluster's shard whose similarity was computed."""
+
+    def links(keys: list[int], bodies: list[bytes], member: list[bool]) -> tuple[list[int], list[int]]:
+        fps = np.array([fingerprint(t, size) for t in bodies], dtype=np.uint64)
+        sets = [set(shingle_hashes(t, size).tolist()) for t in bodies]
+        root, a, b = list(range(len(keys))), [], []
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        members = np.flatnonzero(member)
+        for qs, items in BKTree(fps[members]).within(fps, radius):
+            for q, i in zip(qs.tolist(), members[items].tolist()):
+                x, y = len(sets[q]), len(sets[i])
+                if min(x, y) < similarity * max(x, y) or (p := find(q)) == (r := find(i)):
+                    continue
+                both = len(sets[q] & sets[i])
+                if both >= similarity * (x + y - both):
+                    root[max(p, r)] = min(p, r)
+                    a.append(keys[q])
+                    b.append(keys[i])
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows):
+            a, b = links(*map(list, zip(*rows.values()))) if len(rows) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        now, rows = None, {}
+        for batch in batches:
+            for cluster, shard, key, member, text in zip(*(c.to_pylist() for c in batch.columns[:4]), texts(batch.column(4))):
+                if (cluster, shard) != now:
+                    yield flush(rows)
+                    now, rows = (cluster, shard), {}
+                rows[key] = (key, text, member)
+        yield flush(rows)
+
+    return run
+
+
+def similar_groups(docs: DataFrame, similarity: float, size: int, radius: int = WIDE_RADIUS, cluster_size: int = CLUSTER_SIZE) -> DataFrame:
+    """As ``simhash_groups``, with the key of the shingle set as ``fp``: groups of texts joined by a Jaccard similarity of ``similarity`` or more."""
+    ship(docs.sparkSession)
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print"))
+    marked = durable(rows.mapInArrow(_marks(size), "doc_id long, print long, key long, bands array<long>"))
+    firsts = durable(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("print", "doc_id")).alias("of")))
+    banded = marked.dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select(F.col("band").alias("shared"), "least")
+    near = banded.join(shared, F.col("band") == F.col("shared")).where("key <> least").select("key", "least").distinct()
+    clusters = durable(components(near).select(F.col("node").alias("key"), F.col("root").alias("cluster")))
+    shards = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / cluster_size).cast("int").alias("shards")).withColumnRenamed("cluster", "c")
+    want = clusters.join(shards, F.col("cluster") == F.col("c")).join(firsts.select(F.col("key").alias("k"), "of"), F.col("key") == F.col("k"))
+    want = want.select("cluster", "shards", "key", F.col("of.print").alias("p"), F.col("of.doc_id").alias("d"))
+    put = rows.join(want, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")))
+    put = put.select("cluster", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "key", (F.pmod(F.xxhash64("key"), F.col("shards"))).cast("int").alias("own"), "text")
+    put = put.select("cluster", "shard", "key", (F.col("own") == F.col("shard")).alias("member"), "text")
+    links = put.repartition("cluster", "shard").sortWithinPartitions("cluster", "shard").mapInArrow(_confirmed(size, radius, similarity), "a long, b long")
+    roots = components(links)
+    classes = firsts.join(roots, F.col("key") == F.col("node"), "left").select("key", "first_id", F.coalesce("root", "key").alias("component_fp"))
+    least = classes.groupBy("component_fp").agg(F.min("first_id").alias("component_id")).withColumnRenamed("component_fp", "least_fp")
+    classes = classes.join(least, F.col("component_fp") == F.col("least_fp")).select(F.col("key").alias("class_fp"), "component_fp", "component_id")
+    return marked.join(classes, F.col("key") == F.col("class_fp")).select("doc_id", F.col("key").alias("fp"), "component_fp", "component_id")
+
+
+def dedup(docs: DataFrame, radius: int | None = None, size: int = WORDS_A_SHINGLE, similarity: float | None = None) -> DataFrame:
+    """The documents with one of each group left: that of the least id (any one, of repeated ids).
+
+    With ``similarity``, groups are those of ``similar_groups`` over shingles of ``size`` words; else fingerprints of ``size`` words within ``radius`` bits.
+    """
+    if similarity is None:
+        groups, mark = simhash_groups(docs, RADIUS if radius is None else radius, size=size), lambda t: fingerprint(t, size)
+    else:
+        groups, mark = similar_groups(docs, similarity, size, WIDE_RADIUS if radius is None else radius), lambda t: set_key(shingle_hashes(t, size)) & (1 << 64) - 1
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     nameless = groups.where(F.col("doc_id").isNull() & F.col("component_id").isNull())
     keep = first.select(F.col("doc_id").alias("__keep")).distinct()
@@ -206,15 +330,18 @@ def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         return kept
     chosen = nameless.groupBy("component_fp").agg(F.min("fp").alias("__fp"))
     body = docs.where(F.col("doc_id").isNull()).select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__text"))
-    found = body.mapInArrow(_rows_with_fingerprint, body.select("__row").schema.add("fp", "long"))
+    found = body.mapInArrow(_rows_with_mark(mark), body.select("__row").schema.add("fp", "long"))
     one = found.join(chosen, F.col("fp") == F.col("__fp"), "left_semi").dropDuplicates(["fp"])
     return kept.unionByName(one.select("__row.*"))
 
 
-def _rows_with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in lean_batches(batches):
-        fps = np.array([fingerprint(t) for t in texts(batch.column(1))], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["__row", "fp"])
+def _rows_with_mark(mark):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lean_batches(batches):
+            fps = np.array([mark(t) for t in texts(batch.column(1))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["__row", "fp"])
+
+    return run
 
 
 def query(spark, sf_dir: str) -> DataFrame:
