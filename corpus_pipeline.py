@@ -32,9 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them; a source's last one may be cut."""
+    """The documents as often as the mix takes them, all of them whole."""
     ship(spark)
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, whole=True)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,6 +99,24 @@ def test_mixed_documents_keep_columns(spark):
     assert words == +plan
 
 
+def test_pipeline_mixes_whole_texts_near_the_quota(spark):
+    import corpus_pipeline
+
+    rows = [(i, "\n".join(f"w{i}\t{k}" for k in range(5 + i % 40)), "abc"[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.mix_sources(spark, df, None).collect()
+    assert {(r.doc_id, r.text) for r in out} <= {(i, t) for i, t, _ in rows}
+    cut = {(r.doc_id, r.text) for r in mixing.mixed_documents(df).collect()} - {(i, t) for i, t, _ in rows}
+    assert cut
+    words, plan, largest = Counter(), Counter(), Counter()
+    for r in out:
+        words[r.source] += len(r.text.split())
+    for r in mixing.mix(df).collect():
+        plan[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r.size)
+    assert all(abs(words[k] - plan[k]) <= largest[k] / 2 for k in plan)
+
+
 def test_mix_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0

@@ -153,10 +153,11 @@ def mix_pieces(mixed: DataFrame, seed: int = SEED) -> DataFrame:
     return rows.repartition("shard", F.pmod(F.shiftrightunsigned("shuffled", 48), F.lit(64))).sortWithinPartitions("shard", "shuffled").drop("h")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
     """The mix as documents: a row for each pass over a document, same columns.
 
-    Only the last document of a source's last pass may be cut; it keeps its first
+    With ``whole``, no text is cut: the last document of a source's last pass is taken whole if at least half of its words are
+    drawn, else not at all, whichever lies nearer the quota. Otherwise only the last document of a source's last pass may be cut; it keeps its first
     words, joined by single spaces, and its ``n_chars``. Sizes are words, so a document without words isn't drawn.
     """
     mixed = mix(docs, **options)
@@ -170,6 +171,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     turns = turns.withColumn("__j", F.row_number().over(W.partitionBy("__h", "__d").orderBy(F.size("__kept").desc())))
     rows = body.join(turns, null_safe([(F.col("__own"), F.col("__h")), (F.col("doc_id"), F.col("__d")), (F.col("__i"), F.col("__j"))]))
     rows = rows.withColumn("__k", F.explode("__kept"))
+    if whole:
+        rows = rows.where(F.col("__k") * 2 >= F.col("__z")).withColumn("__k", F.col("__z"))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.when(F.col("__k") < F.col("__z"), F.array_join(F.slice(words, F.lit(1), F.col("__k").cast("int")), " ")).otherwise(F.col("text"))
     rows = rows.withColumn("__cut", cut)
