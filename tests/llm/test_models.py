@@ -114,3 +114,13 @@ def test_class_probabilities_sum_to_one():
     bias, w = rng.normal(size=language_model.CLASSES), rng.normal(size=(language_model.ROWS, language_model.CLASSES))
     p = np.exp(language_model._log_softmax(bias, w, language_model._hashed(np.arange(5), np.arange(5))))
     assert np.allclose(p.sum(axis=1), 1)
+
+
+def test_quality_sigmoid_sees_every_fold_at_any_size(monkeypatch):
+    rng = np.random.default_rng(8)
+    seen = []
+    monkeypatch.setattr(quality, "platt", lambda margins, y: seen.append((len(y), int((margins != 0).sum()))) or (1.0, 0.0))
+    for n in (100, 1600):
+        y = rng.integers(0, 2, n)
+        quality.fit([np.unique(rng.integers(0, 50, 6) + 30 * k) for k in y], y)
+    assert seen == [(100, 100), (1600, 1600)]

@@ -123,14 +123,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> dict:
 
     fold = np.arange(n) % FOLDS
     margins = np.zeros(n)
-    for k in range(FOLDS if n < 1500 else 1):
+    for k in range(FOLDS):
         part = np.flatnonzero(fold != k)
         if len(set(y[part])) == 2:
             model = trained(part)
             for i in np.flatnonzero(fold == k):
                 margins[i] = margin(rows[i], *model)
-    seen = fold == 0 if n >= 1500 else fold >= 0
-    slope, offset = platt(margins[seen], y[seen])
+    slope, offset = platt(margins, y)
     r, w, bias = trained(np.arange(n))
     return {"wr": (w * r).astype(np.float32), "rr": (r * r).astype(np.float32), "bias": bias, "slope": slope, "offset": offset}
 
