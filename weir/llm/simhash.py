@@ -248,7 +248,7 @@ def _confirmed(size: int, radius: int, similarity: float):
 
     def links(keys: list[int], bodies: list[bytes], member: list[bool]) -> tuple[list[int], list[int]]:
         fps = np.array([fingerprint(t, size) for t in bodies], dtype=np.uint64)
-        sets = [set(shingle_hashes(t, size).tolist()) for t in bodies]
+        sets = [shingle_hashes(t, size) for t in bodies]
         root, a, b = list(range(len(keys))), [], []
 
         def find(i):
@@ -263,7 +263,7 @@ def _confirmed(size: int, radius: int, similarity: float):
                 x, y = len(sets[q]), len(sets[i])
                 if min(x, y) < similarity * max(x, y) or (p := find(q)) == (r := find(i)):
                     continue
-                both = len(sets[q] & sets[i])
+                both = len(np.intersect1d(sets[q], sets[i], assume_unique=True))
                 if both >= similarity * (x + y - both):
                     root[max(p, r)] = min(p, r)
                     a.append(keys[q])
@@ -276,7 +276,7 @@ def _confirmed(size: int, radius: int, similarity: float):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         now, rows = None, {}
-        for batch in batches:
+        for batch in lean_batches(batches, 4):
             for cluster, shard, key, member, text in zip(*(c.to_pylist() for c in batch.columns[:4]), texts(batch.column(4))):
                 if (cluster, shard) != now:
                     yield flush(rows)
