@@ -42,15 +42,38 @@ def test_token_files(spark, tmp_path):
 
 
 def test_token_query(spark):
+    from tokenizers import Tokenizer
+
+    whole, at = Tokenizer.from_file(tokenfile.vocabulary()), 0
     got = {r.doc_id: r for r in tokenfile.query(spark, SF).collect()}
     docs = {x["doc_id"]: x["text"] for x in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
-    encode, at = tokenfile._encoder(tokenfile.vocabulary()), 0
+    assert set(got) == set(docs)
     for i in sorted(docs):
-        ids = [*np.frombuffer(encode([docs[i]])[0], "<u2").tolist(), 0]
+        ids = [*whole.encode(docs[i] or "", add_special_tokens=False).ids, 0]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
 
 
+def test_columns_encode_like_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    import pyarrow as pa
+
+    from weir.llm import segments
+
+    odd = [*ODD, "'s.'s'sx 're", "a.'s", "x..\n\nI y　 z", "² ½x 3½", "éx. y", "a\x85 b", " ", "  ", "a ", "ab.\n c", "\n", "中文 字.\nab", "w" * 100 + " " + "w" * 100, None]
+    whole = Tokenizer.from_file(tokenfile.vocabulary())
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 0] for t in odd]
+    for store in (segments.STORE, 3):  # a store that overflows at each batch gives the same ids
+        monkeypatch.setattr(segments, "STORE", store)
+        encode = tokenfile._column_encoder(tokenfile.vocabulary())
+        for column in (pa.array(odd), pa.array(["x", *odd, "y"]).slice(1, len(odd))):
+            values, ends = encode(column, 0)
+            assert [values[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+    values, ends = encode(pa.array([], pa.string()), 0)
+    assert len(values) == 0 and ends.tolist() == [0]
+
+
 def test_viterbi_is_the_best_path():
     p = sentencepiece.load(sentencepiece.model_path())
     words = [" " + w for w in "hello Hello, unbelievably xyzzy Straße éèà 12,345 ##$$ ①ab a".split()] + [" \n", "    ", "  x"]

@@ -4,7 +4,8 @@ A segment ends before a space that follows a character other than white space. T
 pre-tokenization or pieces let a space only begin a token encode a text as its segments
 one after the other, so each distinct segment is encoded once and its ids are kept for as long as the Python
 worker lives. Beyond ``CACHE`` segments the store keeps those of
-the present batch, then drops its oldest half if that isn't enough, which bounds its memory.
+the present batch, then drops its oldest half if that isn't enough, which bounds its memory. ``ColumnEncoder`` does the
+same for byte-level tokenizers over a whole Arrow column at once.
 """
 
 from __future__ import annotations
@@ -13,13 +14,19 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from weir.llm._shared import worker_cache
 
 CACHE = 400_000
+STORE = 600_000  #: runs of a ColumnEncoder's store before it falls back to those of the present batch
+_RUN = r"(\pL+|\pN+|[^\s\pL\pN]+|\s)"
+_HARD = r"['\x00\x0b\x1c-\x1f\x{85}\x{a0}]|[^\x00-\x{24f}]|\s\s|^\s|^$"  #: pieces that aren't cut into runs by _RUN
 LONGEST = 64  #: longer segments aren't kept
 _CUT = re.compile(r"(?<=\S)(?= )")
 _MIXED = re.compile(r"\s ")
+_ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "  #: the same, all white space named
 
 
 def segments(text: str) -> list[str]:
@@ -62,6 +69,111 @@ class CachedEncoder:
         return [b"".join(map(get, p)) for p in parts]
 
 
+class ColumnEncoder:
+    """ids of a column of texts, as one array of values and one of ends.
+
+    Arrow cuts the column at its spaces, numbers the distinct pieces, cuts those into runs of letters, digits,
+    marks and white space, and numbers the distinct runs. Only runs new to the worker's store are encoded; ids of pieces and texts
+    are gathered by number. What the runs don't express (apostrophes, several spaces, other scripts) is cut by ``parts``, the tokenizer's
+    own rule; texts with a space after white space go to ``odd``, an encoder of whole texts.
+
+    The store's keys are runs: ``x`` stands for ``" " + x`` and ``" " + x`` for ``x`` without a space before it.
+    """
+
+    def __init__(self, name: str, encode: Callable[[list[str]], list[bytes]], parts: Callable[[str], list[str]], odd: CachedEncoder, kind: str):
+        self.known, self.encode, self.parts, self.odd, self.kind = worker_cache(name), encode, parts, odd, kind
+        self.known[" "] = b""
+
+    def _held(self, runs: list[str]) -> list[bytes]:
+        """ids of all runs; new ones are encoded, and stored unless they are long."""
+        known = self.known
+        fresh = [x for x in dict.fromkeys(runs) if x not in known]
+        if len(known) + len(fresh) > STORE:
+            keep = set(runs)
+            for old in [x for x in known if x not in keep]:
+                del known[old]
+            known[" "] = b""
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at : at + 20_000]
+            known.update(zip(some, self.encode([x[1:] if x[:1] == " " else " " + x for x in some])))
+        held = list(map(known.__getitem__, runs))
+        for x in fresh:
+            if len(x) > LONGEST:
+                del known[x]
+        return held
+
+    def _slow(self, piece: str) -> list[str]:
+        return [part[1:] if part[0] == " " and len(part) > 1 else " " + part for part in self.parts(piece[1:] if piece[:1] == " " else " " + piece)]
+
+    def __call__(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(values as int32, ends as int32); ``end`` is appended to every text."""
+        n = len(column)
+        if column.null_count:
+            column = pc.fill_null(column, "")
+        odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", column) if odd.any() else column
+        cut, flat = _lists(pc.split_pattern(plain, " "))
+        first = flat.take(pa.array(cut[:-1]))
+        coded = flat.dictionary_encode()
+        pieces, index = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        index[cut[:-1]] = len(pieces) + np.arange(n)
+        hard = pc.match_substring_regex(pieces, _HARD)
+        mixed = pc.and_not(pc.invert(hard), pc.utf8_is_alpha(pieces))
+        some, runs = _lists(pc.split_pattern(pc.replace_substring_regex(pieces.filter(mixed), _RUN, "\\1\x00 "), "\x00"))
+        hard, mixed = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (hard, mixed))
+        words = np.delete(np.arange(len(pieces)), np.r_[hard, mixed])
+        runs = pa.concat_arrays([runs, pieces.take(pa.array(words))]).dictionary_encode()
+        number = runs.indices.to_numpy().astype(np.int64)
+        by_hand = [self._slow(x) for x in pieces.take(pa.array(hard)).to_pylist()] + [self._slow(" " + x) if x else [] for x in first.to_pylist()]
+        spelt = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
+        held = self._held([x or " " for x in spelt] + [x for part in by_hand for x in part])
+        pool, starts, sizes = self._pool(held)
+        # runs of each distinct piece, then those of the texts' first pieces
+        hand = np.fromiter(map(len, by_hand), dtype=np.int64, count=len(by_hand))
+        at_hand = len(number) + np.cumsum(hand) - hand
+        begins, lengths = np.empty(len(pieces) + n, dtype=np.int64), np.ones(len(pieces) + n, dtype=np.int64)
+        begins[words] = some[-1] + np.arange(len(words))
+        begins[mixed], lengths[mixed] = some[:-1], np.diff(some)
+        begins[hard], lengths[hard] = at_hand[: len(hard)], hand[: len(hard)]
+        begins[len(pieces) :], lengths[len(pieces) :] = at_hand[len(hard) :], hand[len(hard) :]
+        number = np.r_[number, len(spelt) + np.arange(hand.sum())]
+        of_piece, piece_ends = gather(number, begins, lengths, np.arange(len(begins)))
+        ids, id_ends = gather(pool, starts, sizes, of_piece)
+        id_ends = id_ends[piece_ends]
+        starts, sizes = id_ends[:-1], np.diff(id_ends)
+        if end is not None:
+            index = np.insert(index, cut[1:], len(sizes))
+            cut = cut + np.arange(n + 1)
+            starts, sizes, ids = np.r_[starts, len(ids)], np.r_[sizes, 1], np.r_[ids, np.array([end], dtype=self.kind)]
+        values, ends = gather(ids, starts, sizes, index)
+        values, ends = values.astype(np.int32), ends[cut]
+        if odd.any():
+            tail = b"" if end is None else np.array([end], dtype=self.kind).tobytes()
+            other = dict(zip(np.flatnonzero(odd).tolist(), self.odd(column.filter(pa.array(odd)).to_pylist())))
+            rows = [np.frombuffer(other[i] + tail, dtype=self.kind).astype(np.int32) if i in other else values[ends[i] : ends[i + 1]] for i in range(n)]
+            values, ends = np.concatenate(rows), np.r_[0, np.cumsum([len(r) for r in rows])]
+        return values, ends.astype(np.int32)
+
+    def _pool(self, held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // np.dtype(self.kind).itemsize
+        return np.frombuffer(b"".join(held), dtype=self.kind), np.cumsum(sizes) - sizes, sizes
+
+
+def _lists(array: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """(offsets from 0, values) of a list array."""
+    cut = array.offsets.to_numpy().astype(np.int64)
+    return cut - cut[0], array.values.slice(cut[0], cut[-1] - cut[0])
+
+
+def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pool's slices of the given numbers, one after the other, and the ends of all, from 0."""
+    many = sizes[index]
+    ends = np.r_[0, np.cumsum(many)]
+    place = np.repeat((starts[index] - ends[:-1]).astype(np.int32), many)
+    place += np.arange(len(place), dtype=np.int32)
+    return pool[place], ends
+
+
 def ragged(rows: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
     """(values as int32, offsets as int32) of rows packed as ``kind``."""
     width = np.dtype(kind).itemsize

@@ -18,18 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weir.llm._shared import lean_batches, offsets, scratch_path, worker_cache
-from weir.llm.segments import CachedEncoder, ragged
+from weir.llm.segments import CachedEncoder, ColumnEncoder
 from weir.session import ship
 
 END = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 2_000
+#: Fixed value: where byte-level tokenizers of this family cut a text before they merge.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -81,6 +84,18 @@ def _encoder(path: str) -> CachedEncoder:
                 got = [packed[a:b] for a, b in zip([0, *to], to)]
             for i, ids_of in zip(joined[at : at + 500], got):
                 out[i] = ids_of
+        bare = [i for i, s in enumerate(some) if s.isalpha()]
+        for at in range(0, len(bare), 500):  # words without a space before them, kept apart by a full stop each
+            part = [some[i] for i in bare[at : at + 500]]
+            ids = np.array(tokenizer.encode_batch_fast(["." + ".".join(part)], add_special_tokens=False)[0].ids, dtype=kind)
+            ends = np.cumsum(size[ids])
+            want = np.cumsum([1 + (len(s) if s.isascii() else len(s.encode())) for s in part])
+            cuts, begins = np.searchsorted(ends, want), np.searchsorted(ends, np.r_[1, want[:-1] + 1])
+            if cuts[-1] >= len(ends) or (ends[cuts] != want).any() or (ends[begins] != np.r_[1, want[:-1] + 1]).any():
+                continue
+            packed, width = ids.tobytes(), ids.itemsize
+            for i, a, b in zip(bare[at : at + 500], (begins + 1).tolist(), (cuts + 1).tolist()):
+                out[i] = packed[a * width : b * width]
         rest = [i for i, x in enumerate(out) if not x]
         for i, ids_of in zip(rest, alone([some[i] for i in rest])):
             out[i] = ids_of
@@ -89,6 +104,11 @@ def _encoder(path: str) -> CachedEncoder:
     return CachedEncoder(f"ids of {path}", encode)
 
 
+def _column_encoder(path: str) -> ColumnEncoder:
+    whole = _encoder(path)
+    return ColumnEncoder(f"pieces of {path}", whole.encode, _PARTS.findall, whole, _kind(worker_cache("tokenizers")[path]))
+
+
 def _encode(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -96,11 +116,10 @@ def _encode(path: str | None):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = _encoder(path or vocabulary())
-        kind = _kind(worker_cache("tokenizers")[path or vocabulary()])
-        part, start, end = TaskContext.get().partitionId(), 0, np.array([END], dtype=kind).tobytes()
+        encode = _column_encoder(path or vocabulary())
+        part, start = TaskContext.get().partitionId(), 0
         for batch in lean_batches(batches):
-            values, ends = ragged([ids + end for ids in encode([t or "" for t in batch.column(1).to_pylist()])], kind)
+            values, ends = encode(batch.column(1), END)
             n = np.diff(ends).astype(np.int64)
             starts = start + ends[:-1].astype(np.int64)
             start += int(ends[-1])
