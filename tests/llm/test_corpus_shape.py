@@ -64,6 +64,140 @@ def test_mix(spark):
     assert pieces.agg(F.sum(F.col("last") - F.col("first"))).first()[0] == sum(taken.values())
 
 
+def hashes(spark, form, rows):
+    """Spark's xxhash64 of small tuples; the only thing the plain mix takes from Spark."""
+    names = [f"c{i}" for i in range(len(form))]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, form)))
+    return {tuple(r)[:-1]: r.h for r in df.select(*names, F.xxhash64(*names).alias("h")).collect()}
+
+
+def plain_tree(spark, counts, levels, seed):
+    """The splitting tree by exact fractions."""
+    from fractions import Fraction
+    from math import comb
+
+    at = hashes(spark, ["long", "int", "int", "int"], [(seed, lv, sh, i) for lv in range(levels) for sh in range(1 << lv) for i in range(len(counts))])
+    nodes = {0: counts}
+    for level in range(levels):
+        grown = {}
+        for shard, c in nodes.items():
+            left, n, d = [], sum(c), sum(c) // 2
+            for i, m in enumerate(c):
+                u = Fraction((at[seed, level, shard, i] & 9007199254740991) * 2 + 1, 2 * 9007199254740992)
+                k, below = max(0, d - (n - m)), Fraction(0)
+                while True:
+                    below += Fraction(comb(m, k) * comb(n - m, d - k), comb(n, d))
+                    if below >= u or k == min(m, d):
+                        break
+                    k += 1
+                left.append(k)
+                n, d = n - m, d - k
+            grown[2 * shard], grown[2 * shard + 1] = left, [x - y for x, y in zip(c, left)]
+        nodes = grown
+    return nodes
+
+
+def plain_mix(spark, rows, shards, blocks, seed, whole):
+    """(doc_id, size, taken, shards of its pieces) of every row, by loops."""
+    size = [len((t or "").split()) for _, t, _ in rows]
+    h = hashes(spark, ["int", "long", "string"], [(seed, i, t) for i, t, _ in rows])
+    sizes = Counter()
+    for k, (_, _, s) in zip(size, rows):
+        sizes[s] += k
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    target = water([sizes[s] for s in order], [(1, 2, 3)[i % 3] for i in range(len(order))], 3)
+    most = max(1, -(-sum(sizes.values()) // blocks))
+    info = []
+    for rank, s in enumerate(order):
+        quota, width = min(round(target[rank]), 3 * sizes[s]), max(1, -(-sizes[s] // max(1, -(-sizes[s] // most))))
+        mine = sorted((h[seed, rows[i][0], rows[i][1]], rows[i][0] is not None, rows[i][0] or 0, size[i], i) for i in range(len(rows)) if rows[i][2] == s)
+        start, cut = 0, {}
+        for *_, i in mine:
+            if size[i] and whole:
+                cut.setdefault(start // width, []).append((i, size[i]))
+            else:
+                for b in range(start, start + size[i]):
+                    part = cut.setdefault(b // width, [])
+                    if part and part[-1][0] == i:
+                        part[-1] = (i, part[-1][1] + 1)
+                    else:
+                        part.append((i, 1))
+            start += size[i]
+        passes, n = (quota // sizes[s] if sizes[s] else 0), len(cut)
+        rest = quota - passes * sizes[s]
+        want = min(n, -(-rest * n // sizes[s])) if sizes[s] else 0
+        info.append((passes, rest, cut, n, want))
+    levels = shards.bit_length() - 1
+    dealt = plain_tree(spark, [x[0] * x[3] for x in info] + [x[4] for x in info], levels, seed)
+    spared = plain_tree(spark, [x[3] - x[4] for x in info], levels, seed + 1)
+    out = [[0, []] for _ in rows]
+    for rank, (passes, rest, cut, n, want) in enumerate(info):
+        if not n:
+            continue
+        key = hashes(spark, ["int", "int", "int", "int", "long"], [(seed, 0, rank, t, b) for t in range(passes) for b in cut] or [(seed, 0, 0, 0, 0)])
+        pairs = sorted(((t, b) for t in range(passes) for b in cut), key=lambda x: (key[seed, 0, rank, *x], x))
+        for s in range(shards):
+            mine, pairs = pairs[: dealt[s][rank]], pairs[dealt[s][rank] :]
+            for _, b in mine:
+                for i, k in cut[b]:
+                    out[i][0] += k
+                    out[i][1].append(s)
+        assert not pairs
+        key = hashes(spark, ["int", "int", "int", "long"], [(seed, 1, rank, b) for b in cut])
+        pool, drawn = sorted(cut, key=lambda b: (key[seed, 1, rank, b], b)), []
+        key = hashes(spark, ["int", "int", "int", "int", "long"], [(seed, 2, rank, s, b) for s in range(shards) for b in cut])
+        for s in range(shards):
+            c = dealt[s][len(info) + rank]
+            mine, pool = pool[: c + spared[s][rank]], pool[c + spared[s][rank] :]
+            mine.sort(key=lambda b: (key[seed, 2, rank, s, b], b))
+            drawn += [(k >= c, k, s, b) for k, b in enumerate(mine)]
+        assert not pool
+        for _, _, s, b in sorted(drawn):
+            for i, n in cut[b]:
+                k = min(n, rest)
+                rest -= k
+                if k:
+                    out[i][0] += k
+                    out[i][1].append(s)
+        assert rest == 0
+    return Counter((rows[i][0], size[i], out[i][0], tuple(sorted(out[i][1]))) for i in range(len(rows)))
+
+
+@pytest.mark.parametrize(("shards", "blocks", "seed", "whole"), [(8, 60, mixing.SEED, False), (2, 60, mixing.SEED, True), (4, 400, 5, False), (4, 400, 5, True)])
+def test_mix_equals_a_plain_tree(spark, shards, blocks, seed, whole):
+    rows, df = corpus(spark)
+    got = mixing.mix(df, shards=shards, blocks=blocks, seed=seed, whole=whole).collect()
+    assert Counter((r.doc_id, r["size"], r.taken, tuple(sorted(p.shard for p in r.pieces))) for r in got) == plain_mix(spark, rows, shards, blocks, seed, whole)
+
+
+def test_seed_and_tree_decide_what_is_taken(spark):
+    _, df = corpus(spark)
+    took = lambda **o: Counter((r.doc_id, r.taken) for r in mixing.mix(df, **o).collect())
+    one = took(shards=8, blocks=200)
+    for other in (took(shards=2, blocks=200), took(shards=8, blocks=60), took(shards=8, blocks=200, seed=3)):
+        assert other != one and sum(k * n for (_, k), n in other.items()) == sum(k * n for (_, k), n in one.items())
+
+
+def test_mixed_documents_lie_by_shard(spark):
+    rows, df = corpus(spark)
+    df = df.where("doc_id <> 3").withColumn("doc_id", F.col("doc_id"))
+    shard = {(r.doc_id, p.turn): p.shard for r in mixing.mix(df, shards=4, blocks=100, whole=True).collect() for p in r.pieces}
+    of = {}
+    for (i, _), s in shard.items():
+        of.setdefault(i, set()).add(s)
+    parts = {}
+    for r in mixing.mixed_documents(df, whole=True, shards=4, blocks=100).withColumn("part", F.spark_partition_id()).collect():
+        parts.setdefault(r.part, []).append(r.doc_id)
+    single = [[min(of[i]) for i in ids if len(of[i]) == 1] for ids in parts.values()]
+    assert any(ids != sorted(ids) for ids in parts.values()) and all(s == sorted(s) for s in single)
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(corpus(spark)[1])
+
+
 def test_tree_keeps_exact_counts(spark):
     root = spark.createDataFrame([([70, 0, 31, 1, 26],)], "counts array<bigint>")
     got = [r.counts for r in mixing.split_tree(root, 3).collect()]
