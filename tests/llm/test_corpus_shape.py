@@ -282,6 +282,47 @@ def test_shards_of_little(spark):
     assert len(one) == 3 and all(r.size == 8 and r.text_crc32 == 0 for r in one)
 
 
+def test_shards_of_extreme_ids_and_clashing_columns(spark):
+    rows = [(i, "text %d" % (k % 7) * (k % 5), "mine", 1.0) for k, i in enumerate([-(2**63), 2**63 - 1, 0, None, -5] * 40)] + [(9, "long " * 400_000, "mine", 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, weight double")
+    for dims in (None, {"id": F.col("doc_id")}):
+        got = sharding.kd_shards(df, 4, dims).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((r[0] is None, r[0] or 0) for r in rows)
+
+
+def test_splits_equal_plain_medians(spark):
+    """Every split lies along the widest dimension and parts the bytes as wanted; equal texts are parted only where they weigh too much."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(["ab", "cde", "éé", "f"], int(rng.integers(1, 80)))) for _ in range(700)]
+    texts += [texts[int(i)] for i in rng.integers(0, 700, 900)] + ["hot " * 30] * 800
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    scaled = sharding.scaled_rows(df)
+    rows = [(r.xs, r.weight, r.u, texts[r.doc_id]) for r in scaled.collect()]
+    tree, shard_of, _ = sharding.grow_tree(scaled, 4, 6)
+    cut = set()
+
+    def walk(node, some, k):
+        if k == 1:
+            return [(node, sum(w for _, w, _, _ in some))]
+        dim, low, high, u = tree[node]
+        extent = [max(x[d] for x, *_ in some) - min(x[d] for x, *_ in some) for d in range(4)]
+        assert extent[dim] == max(extent)
+        right = [x[dim] >= high or x[dim] >= low and v >= u for x, _, v, _ in some]
+        left, rest = [r for r, b in zip(some, right) if not b], [r for r, b in zip(some, right) if b]
+        want, has = sum(w for _, w, _, _ in some) * (k // 2) / k, sum(w for _, w, _, _ in left)
+        assert abs(want - has) <= 0.011 * sum(w for _, w, _, _ in some) / k + 500
+        cut.update({t for *_, t in left} & {t for *_, t in rest})
+        return walk(2 * node, left, k // 2) + walk(2 * node + 1, rest, k - k // 2)
+
+    leaves = walk(1, rows, 6)
+    assert [shard_of[n] for n, _ in leaves] == list(range(6)) and "hot " * 30 in cut and len(cut) <= 5
+    got = {r.doc_id: r.shard for r in sharding.kd_shards(df, 6).collect()}
+    size = Counter()
+    for i, t in enumerate(texts):
+        size[got[i]] += len(t.encode()) + 8
+    assert [size[i] for i in range(6)] == [w for _, w in leaves]
+
+
 def test_native_plans_have_no_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for df in (mixing.mix(docs), sharding.kd_shards(docs)):
