@@ -79,6 +79,100 @@ def test_grammar():
     assert features("flibby")[2] == 2.0 and features("idiot. idiot. idiot")[0] > features("idiot")[0]
 
 
+def plain_weights(text, reach=4):
+    """Weights of the matches in one clause by plain rules, without automata."""
+    words = text.split()
+    out = []
+    for i, w in enumerate(words):
+        before = lambda kind, n: any(x in kind for x in words[max(0, i - n) : i])  # noqa: E731, B023
+        weight = 0.0
+        if w in toxicity.INSULTS:
+            weight = 3.0 * (1.5 if before(toxicity.TARGETS, reach) else 1.0)
+        elif w in toxicity.TARGETS and before(toxicity.THREATS, reach):
+            weight = toxicity.THREAT_WEIGHT
+        if weight:
+            out.append(weight * (0.3 if before(toxicity.NEGATIONS, 4) else 1.0) * (0.5 if before(toxicity.REPORTS, 12) else 1.0))
+    return out
+
+
+def test_composition_equals_plain_rules():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        words = ["the", "lamp", "is", "a"] * 3
+        # at most one insult or threat, so that no match uses up another's target
+        for kind in rng.choice(["idiot", "kill", "not", "said", "you"], int(rng.integers(1, 4)), replace=False):
+            words.insert(int(rng.integers(0, len(words))), str(kind))
+        if "idiot" in words and "kill" in words:
+            continue
+        got, want = features(" ".join(words)), plain_weights(" ".join(words))
+        late = "idiot" in words and "you" in words and 0 < words.index("you") - words.index("idiot") <= 4
+        assert late or got[2] == pytest.approx(sum(want)), words
+
+
+def test_paths_of_several_words_and_both_sides():
+    machine = toxicity.grammar()
+    score = lambda t, pairs=None: toxicity.clause_features(t, {w: 3.0 for w in toxicity.INSULTS}, {}, machine, toxicity.lexicon(pairs or {}))[2]
+    assert score("you will be killed") == score("we kill you") == toxicity.THREAT_WEIGHT and score("the lights will be killed") == 0
+    assert score("what a waste of space") == 3.0 and score("you are a waste of space") == 4.5 and score("waste of the space") == 0
+    assert score("idiot that you are") == 3.0 + toxicity.AIM_WEIGHT and score("an idiot with a lamp and a chair and you") == 3.0
+    assert score("flib flob", {("flib", "flob"): 2.0}) == 2.0 and score("flib a flob", {("flib", "flob"): 2.0}) == 0
+    assert score("we will tear apart you all") == toxicity.THREAT_WEIGHT and score("we never kill you") == pytest.approx(0.3 * toxicity.THREAT_WEIGHT)
+    assert score('"idiot. idiot" idiot') == 3.0 + 1.5  # quotation spans clauses, negation doesn't
+    assert score("not. idiot") == 3.0
+
+
+def test_near_copies_of_a_label_only():
+    from weir.llm import _shared
+
+    rng = np.random.default_rng(5)
+    base = [rng.choice(4000, 400).astype(str) for _ in range(6)]
+    half = [np.r_[b[:200], rng.choice(4000, 200).astype(str)] for b in base]  # half of the text is shared: not a near copy
+    near = [np.r_[b[:390], rng.choice(4000, 10).astype(str)] for b in base]
+    rows = [" ".join(t).encode() for t in base + half + near + near]
+    keys = np.array([_shared.least_hashes(t).view(np.int64) for t in rows])
+    kept = _shared.unlike(list(range(24)), [0] * 18 + [1] * 6, keys)
+    assert kept == [*range(12), *range(18, 24)]
+
+
+def test_repeated_labelled_ids_are_one_row(spark):
+    from weir.llm import _shared
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None), (3, "c")], "doc_id long, text string")
+    sample = spark.createDataFrame([(1, 0), (2, 1)], "label_id long, y int")
+    assert sorted(map(tuple, _shared.sampled_texts(docs, sample).collect())) == [(0, "a", 1), (1, None, 2)]
+
+
+def test_scores_refuse_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", 2.0)], "doc_id long, text string, Score double")
+    for module in (quality, toxicity):
+        with pytest.raises(ValueError, match="score"):
+            module.score(docs, {"share": 0.5})
+
+
+def test_hinge_loss_is_the_least(spark):
+    """Dual coordinate descent reaches the optimum that plain subgradient steps come near to."""
+    rng = np.random.default_rng(9)
+    rows = [np.unique(rng.integers(0, 30, 8)) for _ in range(60)]
+    y = np.array([int(3 in r or 7 in r) for r in rows])
+    values = [np.full(len(r), 1 / np.sqrt(len(r))) for r in rows]
+    s, c = np.where(y == 1, 1.0, -1.0), np.where(y == 1, 30 / (y == 1).sum(), 30 / (y == 0).sum())
+    x = np.zeros((60, 31))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 30] = values[i], 1.0
+
+    def loss(w):
+        return 0.5 * w @ w + (c * np.maximum(0, 1 - s * (x @ w))).sum()
+
+    w, bias = quality.dual_coordinate_descent(rows, values, y, epochs=300)
+    found = loss(np.r_[w[:30], bias])
+    v, best = np.zeros(31), np.inf
+    for k in range(1, 60_000):
+        live = s * (x @ v) < 1
+        v = v - 2 / (k + 100) * (v - (c * s * live) @ x)
+        best = min(best, loss(v)) if k % 50 == 0 else best
+    assert found <= best * (1 + 1e-6) and best <= found * 1.02
+
+
 def test_language_model_counts(spark):
     rng = np.random.default_rng(0)
     words = ["w%d" % i for i in range(40)] + ["the"] * 30

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,12 @@ WORD = r"[^\\x20\\x09-\\x0D]+"  #: a word of the contracts, as a SQL string lite
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the cluster names none."""
+    """The folder that driver and executors share, as the cluster names it. Only a local session without one gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="weir-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -38,6 +40,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` clashes with it (names compare without case)."""
     taken = {c.lower() for c in df.columns}
@@ -77,8 +85,6 @@ def lean_batches(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int
 
 def offsets(array: pa.Array):
     """Offsets of a string, binary or list array as numpy, honouring its slice."""
-    import numpy as np
-
     kind = np.int64 if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type) or pa.types.is_large_list(array.type) else np.int32
     buf = array.buffers()[1]
     if buf is None:
@@ -172,33 +178,61 @@ def labelled_sample(labels: DataFrame, label: str, k: int, held: int, most: int)
 
 
 def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(y, text) of the sampled ids; the sample's size is a parameter, so it may be broadcast."""
-    return docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("y", F.col("text").cast("string").alias("text"), "label_id")
+    """(y, text, label_id) of the sampled ids, one row each (of repeated ids the least text); the sample's size is a parameter, so it may be broadcast."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    return rows.groupBy("label_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y", "text", "label_id")
+
 
+MIXINGS, BAND = 64, 2  #: least hashes of a text, and how many of them a band joins
+ALIKE = 0.8  #: share of equal least hashes (an estimate of Jaccard similarity) from which a text counts as a near copy
 
-def _least_hashes(batches: Iterator[pa.RecordBatch], keys: int = 8, words: int = 3) -> Iterator[pa.RecordBatch]:
-    """The least of the shingles' hashes under each of several mixings."""
-    import numpy as np
+
+def least_hashes(text: bytes, words: int = 3) -> np.ndarray:
+    """The least of a text's shingle hashes under each of several mixings."""
     import xxhash
 
-    odd = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (1 << 64) - 1 | 1 for k in range(keys)], dtype=np.uint64)
+    w = text.lower().split()
+    shingles = {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype=np.uint64, count=len(shingles))
+    odd = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (1 << 64) - 1 | 1 for k in range(MIXINGS)], dtype=np.uint64)
+    out = np.full(MIXINGS, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(h), 8192):
+        part = h[at : at + 8192] ^ (h[at : at + 8192] >> np.uint64(29))
+        np.minimum(out, (part[:, None] * odd).min(axis=0), out=out)
+    return out
+
+
+def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in lean_batches(batches):
-        out = []
-        for t in texts(batch.column(1)):
-            w = t.lower().split()
-            shingles = {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
-            h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype=np.uint64, count=len(shingles))
-            out.append([int(((h ^ (h >> np.uint64(29))) * m).min().view(np.int64)) for m in odd])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["copy_id", "keys"])
+        keys = [least_hashes(t).view(np.int64) for t in texts(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["copy_id", "y", "keys"])
+
+
+def unlike(ids: list[int], y: list[int], keys: np.ndarray) -> list[int]:
+    """The ids that stay: in order, each that isn't a near copy of one that stays with the same label."""
+    bands: dict[tuple, list[int]] = {}
+    kept = []
+    for i in range(len(ids)):
+        mine = [(y[i], k, keys[i, k : k + BAND].tobytes()) for k in range(0, keys.shape[1], BAND)]
+        near = np.unique([j for b in mine for j in bands.get(b, ())]).astype(np.int64)
+        if len(near) and ((keys[near] == keys[i]).mean(axis=1) >= ALIKE).any():
+            continue
+        kept.append(ids[i])
+        for b in mine:
+            bands.setdefault(b, []).append(i)
+    return kept
 
 
 def first_of_copies(rows: DataFrame) -> DataFrame:
-    """Rows of a labelled sample (label_id, text, ...) without those that share a least shingle hash with an earlier one.
+    """Rows of a labelled sample (y, text, label_id) without near copies of a row that stays and has the same label.
 
     Only for learning: otherwise the words of a text that is copied a thousand times would look like words of its class.
+    Candidates share a band of least hashes of three-word shingles and count from an estimated similarity of ``ALIKE``. The sample is bounded by a parameter,
+    so its hashes (``MIXINGS`` numbers a row) are compared on the driver, in the order of hashed ids.
     """
-    keyed = rows.select("label_id", "text").mapInArrow(_least_hashes, "copy_id long, keys array<long>")
-    keyed = durable(keyed.select("copy_id", F.posexplode("keys").alias("at", "key"), F.xxhash64("copy_id").alias("turn")))
-    first = keyed.groupBy("at", "key").agg(F.min(F.struct("turn", "copy_id")).alias("first"))
-    later = keyed.join(first, ["at", "key"]).where(F.col("first.copy_id") != F.col("copy_id")).select(F.col("copy_id").alias("label_id")).distinct()
-    return rows.join(later, "label_id", "left_anti")
+    got = rows.select("label_id", "text", "y").mapInArrow(_hash_rows, "copy_id long, y int, keys array<long>")
+    got = got.orderBy(F.xxhash64("copy_id"), "copy_id").toArrow()
+    keys = got.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, MIXINGS)
+    kept = unlike(got.column("copy_id").to_pylist(), got.column("y").to_pylist(), keys)
+    stay = rows.sparkSession.createDataFrame(pa.table({"stay_id": pa.array(kept, pa.int64())}))
+    return rows.join(F.broadcast(stay), F.col("label_id") == F.col("stay_id"), "left_semi")

@@ -5,12 +5,14 @@ hashed) and the word bigrams of one word twice, as indicators of how many there
 hinge-loss model that dual coordinate descent fits on the driver. A sigmoid, fitted on margins of rows
 that the margin model had not seen, turns margins into scores.
 
-Fitting uses at most ``SAMPLE`` labelled rows, chosen by a hash of their id, one of each group of near copies; they reach the
-driver as lists of feature numbers. All texts are scored whole.
+Fitting uses at most ``SAMPLE`` labelled rows, chosen by a hash of their id, one row an id and one of each group of near copies of a label; they reach the
+driver as lists of feature numbers. All texts are scored whole. The sigmoid is fitted on margins of all ``FOLDS`` folds at every size.
 
 Defined results: null text counts as empty; an empty text is scored from the bias; without labels of
 both classes every score is the smoothed share of label 1 (0.5 without labels); repeated rows score alike; labels with
-a null id or a value other than 0 and 1 are ignored, of an id's repeated labels the least counts.
+a null id or a value other than 0 and 1 are ignored, of an id's repeated labels the least counts, of a labelled id's repeated documents
+the least text. An empty table gives an empty result. Other columns pass through, whatever their names: the score's own name must be free
+(``score`` refuses a clash, ``keep_good`` picks a free name).
 """
 
 from __future__ import annotations
@@ -172,7 +174,9 @@ def scorer(model: dict):
 
 
 def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
-    """``docs`` with a column of scores from 0 to 1; the model, of fixed size, is broadcast."""
+    """``docs`` with a column of scores from 0 to 1; the model, of fixed size, is broadcast. ``name`` must not be a column of ``docs``."""
+    if free_name(docs, name) != name:
+        raise ValueError(f"column {name} is there already")
     held = docs.sparkSession.sparkContext.broadcast(model)
     return add_text_columns(docs, lambda batch: {name: scorer(held.value)(batch)["score"]}, f"{name} double")
 

@@ -1,19 +1,21 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Five small transducers read a clause's token classes side by side: insults,
-threats, targets, negation and reported speech. Their composition (the product automaton, built as
-its states are first reached) gives each match a weight: an insult aimed at somebody counts more, a
-negated or reported one less, a threat only with its target. Clause weights, not single words, make
-up the features of a small logistic model.
-
-Arcs of the insult transducer are a fixed lexicon and, learned from labelled rows, whole words and word beginnings
+A lexical transducer reads a clause's tokens along paths of one or more words and writes insults, threats, targets, negations, reports and quotation
+marks. Four transducers follow, each reading what the one before it wrote: targets (an insult becomes an aimed insult if its
+target stands before or after it, a threat becomes a menace only with its target), negation, reported speech and quotation,
+which weaken what they reach. Their composition is one machine over pairs of states, its arcs
+built when first taken. Weights of arcs multiply along a path, matches of a clause add up; clause weights, not
+single words, make up the features of a small logistic model.
+
+Paths of the insult lexicon are fixed ones and, learned from labelled rows, words, pairs of words and word beginnings
 that occur in far more toxic documents than chance allows; their weights are log odds. Learning
-uses at most ``SAMPLE`` labelled rows, chosen by a hash of their id, one of each group of near copies; counting arcs is distributed and only
-the ``MOST_ARCS`` strongest reach the driver. All texts are scored whole.
+uses at most ``SAMPLE`` labelled rows, chosen by a hash of their id, one row an id and one of each group of near copies of a label; counting is distributed and
+only what passes the test for chance reaches the driver. All texts are scored whole.
 
 Defined results: null text counts as empty and scores the model's value for no match; without labels the
 prior model is used; repeated rows score alike; labels with a null id or a value other than 0 and 1 are ignored, of an id's
-repeated labels the least counts; an empty table gives an empty result.
+repeated labels the least counts, of a labelled id's repeated documents the least text; an empty table gives an empty result. Other columns pass
+through, whatever their names: the score's own name must be free (``score`` refuses a clash, ``keep_civil`` picks a free name).
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ from weir.llm._shared import add_text_columns, durable, first_of_copies, free_na
 from weir.session import ship
 
 SAMPLE = 20_000  #: labelled rows that arcs and model are learned from, at most
-MOST_ARCS = 5_000
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
 
@@ -48,92 +49,161 @@ TARGETS = frozenset("you your yours u he she him her they them his their this th
 NEGATIONS = frozenset("not never no isn't aren't wasn't weren't don't doesn't didn't won't can't nobody neither nicht kein keine nie pas jamais aucun nunca ningún".split())
 REPORTS = frozenset("said says say told called calls claimed claims wrote reported reports quoted alleged allegedly accused sagte nannte disait appelé dijo llamó".split())
 
+#: Paths of several words.
+INSULT_PATHS = tuple(
+    tuple(x.split())
+    for x in (
+        "piece of trash;piece of garbage;piece of shit;waste of space;waste of air;son of a bitch;good for nothing;shut up;"
+        "fils de pute;tas de merde;hijo de puta;pedazo de basura;pedazo de mierda;stück dreck;halt die klappe"
+    ).split(";")
+)
+THREAT_PATHS = tuple(tuple(x.split()) for x in "rip apart;tear apart;beat up;burn down;cut up;beat to death;put in the ground".split(";"))
+#: Passive threats: an auxiliary, then a participle.
+AUXILIARIES = frozenset("be been being get gets getting got is are was were werden wirst wird être sera seras ser serás será".split())
+SUFFERED = frozenset("killed hurt beaten destroyed shot stabbed burned burnt hanged hung crushed murdered getötet umgebracht tué frappé asesinado golpeado".split())
+
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:\n]+|[\"“”«»]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = range(7)
+INSULT, THREAT, SUFFER, TARGET, NEGATION, REPORT, QUOTE, OTHER, AIMED, MENACE = range(10)
+MATCHES = (INSULT, AIMED, MENACE)
 
 
 class Transducer:
-    """A deterministic transducer: step(state, symbol) -> (next state, factor)."""
+    """A deterministic weighted transducer: step(state, symbol) -> (next state, written symbol, weight)."""
 
     start: tuple | int = 0
+    keeps = False  #: whether the state lives on at a clause's end
 
     def step(self, state, symbol):
         raise NotImplementedError
 
 
-class Window(Transducer):
-    """An opener affects the symbols of ``on`` for ``reach`` tokens after it, by ``factor``; elsewhere they get ``other``."""
+class Aim(Transducer):
+    """Writes AIMED for an insult with a target within ``reach`` tokens before it, and for a target that soon after an insult; MENACE for a threat and its
+    target, in this order, or a target and what it is to suffer. State: tokens that a target, an insult and a threat still reach."""
 
-    def __init__(self, opener: int, on: tuple[int, ...], reach: int, factor: float, other: float = 1.0):
-        self.opener, self.on, self.reach, self.factor, self.other = opener, on, reach, factor, other
+    start = (0, 0, 0)
+
+    def __init__(self, reach: int, factor: float):
+        self.reach, self.factor = reach, factor
 
     def step(self, state, symbol):
-        factor = (self.factor if state else self.other) if symbol in self.on else 1.0
-        return (self.reach if symbol == self.opener else max(0, state - 1)), factor
+        target, insult, threat = (max(0, x - 1) for x in state)
+        near = [bool(x) for x in state]
+        if symbol == INSULT:
+            return ((0, 0, threat), AIMED, self.factor) if near[0] else ((target, self.reach, threat), INSULT, 1.0)
+        if symbol == THREAT:
+            return (target, insult, self.reach), OTHER, 1.0
+        if symbol == SUFFER:
+            return (0, insult, threat), (MENACE if near[0] else OTHER), 1.0
+        if symbol == TARGET:
+            written = MENACE if near[2] else AIMED if near[1] else TARGET
+            return (self.reach, 0 if written == AIMED else insult, 0 if written == MENACE else threat), written, 1.0
+        return (target, insult, threat), symbol, 1.0
 
 
-class Quoted(Transducer):
-    """Quotation marks toggle a scope in which matches weigh less."""
+class Scope(Transducer):
+    """Matches within ``reach`` tokens after an opener weigh ``factor`` times as much."""
 
-    def __init__(self, factor: float):
-        self.factor = factor
+    def __init__(self, opener: int, reach: int, factor: float):
+        self.opener, self.reach, self.factor = opener, reach, factor
 
     def step(self, state, symbol):
-        factor = self.factor if state and symbol in (INSULT, THREAT) else 1.0
-        return (1 - state if symbol == QUOTE else state), factor
+        weight = self.factor if state and symbol in MATCHES else 1.0
+        return (self.reach if symbol == self.opener else max(0, state - 1)), symbol, weight
 
 
-class ThreatTarget(Transducer):
-    """A threat gets its weight once its target follows within ``reach`` tokens."""
+class Quoted(Transducer):
+    """Quotation marks toggle a scope in which matches weigh less; it may span clauses."""
 
-    def __init__(self, reach: int):
-        self.reach = reach
+    keeps = True
+
+    def __init__(self, factor: float):
+        self.factor = factor
 
     def step(self, state, symbol):
-        if symbol == THREAT:
-            return self.reach, 1.0
-        if symbol == TARGET and state:
-            return 0, -1.0  # marks the match
-        return max(0, state - 1), 1.0
+        return (1 - state if symbol == QUOTE else state), symbol, (self.factor if state and symbol in MATCHES else 1.0)
 
 
-class Composed:
-    """The product of transducers, its arcs built when first taken."""
+class Composed(Transducer):
+    """first ∘ second: what the first writes, the second reads. Arcs of the product are built when first taken."""
 
-    def __init__(self, *parts: Transducer):
-        self.parts, self.arcs = parts, {}
-        self.start = tuple(p.start for p in parts)
+    def __init__(self, first: Transducer, second: Transducer):
+        self.first, self.second, self.arcs = first, second, {}
+        self.start = (first.start, second.start)
 
     def step(self, state, symbol):
         arc = self.arcs.get((state, symbol))
         if arc is None:
-            nexts, factor = [], 1.0
-            for p, s in zip(self.parts, state):
-                n, f = p.step(s, symbol)
-                nexts.append(n)
-                factor *= f
-            arc = self.arcs[state, symbol] = (tuple(nexts), factor)
+            a, between, x = self.first.step(state[0], symbol)
+            b, written, y = self.second.step(state[1], between)
+            arc = self.arcs[state, symbol] = ((a, b), written, x * y)
         return arc
 
+    def clause_end(self, state):
+        """The state at the start of the next clause: only scopes that span clauses live on."""
+        one, two = ((p.clause_end(s) if isinstance(p, Composed) else s if p.keeps else p.start) for p, s in zip((self.first, self.second), state))
+        return one, two
+
 
 def grammar() -> Composed:
-    """insult ∘ target ∘ negation ∘ reported speech ∘ quotation ∘ threat."""
-    return Composed(
-        Window(TARGET, (INSULT,), 4, 1.5),
-        Window(NEGATION, (INSULT, THREAT, TARGET), 3, 0.3),
-        Window(REPORT, (INSULT, THREAT), 12, 0.5),
-        Quoted(0.5),
-        ThreatTarget(4),
-    )
+    """target ∘ negation ∘ reported speech ∘ quotation; the lexical transducer is ``symbols``."""
+    return Composed(Composed(Composed(Aim(4, 1.5), Scope(NEGATION, 4, 0.3)), Scope(REPORT, 12, 0.5)), Quoted(0.5))
 
 
 THREAT_WEIGHT = 2.5
+AIM_WEIGHT = 1.0  #: of a target after an insult that was weighed already
 FEATURES = 5
 
 
-def clause_features(text: str, arcs: dict[str, float], prefixes: dict[str, float], machine: Composed) -> list[float]:
+def lexicon(pairs: dict[tuple[str, str], float]) -> dict[str, list[tuple[tuple[str, ...], int, float]]]:
+    """Paths by their first word, longest first: (following words, symbol, weight)."""
+    out: dict[str, list] = {}
+    for path in INSULT_PATHS:
+        out.setdefault(path[0], []).append((path[1:], INSULT, 3.0))
+    for path in THREAT_PATHS:
+        out.setdefault(path[0], []).append((path[1:], THREAT, 0.0))
+    for (a, b), weight in pairs.items():
+        out.setdefault(a, []).append(((b,), INSULT, weight))
+    for a in AUXILIARIES:
+        out.setdefault(a, []).extend(((b,), SUFFER, 0.0) for b in SUFFERED)
+    for paths in out.values():
+        paths.sort(key=lambda x: (-len(x[0]), x[0], x[1]))
+    return out
+
+
+def symbols(text: str, hot: dict[str, float], paths: dict[str, list]) -> Iterator[tuple[int | None, float]]:
+    """The lexical transducer: (symbol, weight) of each token or path of tokens; None ends a clause."""
+    tokens, at = _TOKEN.findall(text), 0
+    while at < len(tokens):
+        token = tokens[at]
+        at += 1
+        if token[0] in ".!?;:\n":
+            yield None, 0.0
+            continue
+        for rest, symbol, weight in paths.get(token, ()):
+            if tuple(tokens[at : at + len(rest)]) == rest:
+                at += len(rest)
+                yield symbol, weight
+                break
+        else:
+            if token in hot:
+                yield INSULT, hot[token]
+            elif token in THREATS:
+                yield THREAT, 0.0
+            elif token in TARGETS:
+                yield TARGET, 0.0
+            elif token in NEGATIONS:
+                yield NEGATION, 0.0
+            elif token in REPORTS:
+                yield REPORT, 0.0
+            else:
+                yield (QUOTE if token[0] in "\"“”«»" else OTHER), 0.0
+
+
+def clause_features(text: str, arcs: dict[str, float], prefixes: dict[str, float], machine: Composed, paths: dict[str, list] | None = None) -> list[float]:
     """[log sum of clause weights, log matches, largest clause weight, matches in 100 words, log weakened matches]."""
+    paths = _FIXED if paths is None else paths
     words = _WORD.findall(text)
     seen = set(words)
     hot = {}
@@ -144,53 +214,42 @@ def clause_features(text: str, arcs: dict[str, float], prefixes: dict[str, float
             weight = max(weight, arcs[w])
         if weight is not None and weight > 0:
             hot[w] = weight
-    threats = seen & THREATS
-    if not hot and not threats:
+    if not hot and not seen & THREATS and not any(paths[w][0][1] != SUFFER or seen & SUFFERED for w in seen & paths.keys()):
         return [0.0] * FEATURES
     clauses, matches, weak = [], 0, 0
     state, clause = machine.start, 0.0
-    for token in _TOKEN.findall(text):
-        if token[0] in ".!?;:\n":
+    for symbol, weight in symbols(text, hot, paths):
+        if symbol is None:
             if clause:
                 clauses.append(clause)
-            # a clause ends all scopes but quotation
-            state, clause = (*machine.start[:3], state[3], machine.start[4]), 0.0
+            state, clause = machine.clause_end(state), 0.0
             continue
-        if token in hot:
-            symbol = INSULT
-        elif token in threats:
-            symbol = THREAT
-        elif token in TARGETS:
-            symbol = TARGET
-        elif token in NEGATIONS:
-            symbol = NEGATION
-        elif token in REPORTS:
-            symbol = REPORT
-        elif token[0] in "\"“”«»":
-            symbol = QUOTE
-        else:
-            symbol = OTHER
-        state, factor = machine.step(state, symbol)
-        if symbol == INSULT:
-            clause += hot[token] * factor
-            matches += 1
+        state, written, factor = machine.step(state, symbol)
+        if written in MATCHES:
+            if written == MENACE:
+                weight = THREAT_WEIGHT
+            elif symbol == TARGET:
+                weight = AIM_WEIGHT
+            clause += weight * factor
+            matches += symbol != TARGET or written == MENACE
             weak += factor < 1
-        elif factor < 0:
-            clause += THREAT_WEIGHT * -factor
-            matches += 1
-            weak += factor > -1
     if clause:
         clauses.append(clause)
     return [math.log1p(sum(clauses)), math.log1p(matches), max(clauses, default=0.0), 100.0 * matches / max(1, len(words)), math.log1p(weak)]
 
 
+_FIXED = lexicon({})
+
+
 def _count_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label that hold each word and word beginning, summed over the task."""
+    """Documents of either label that hold each word, pair of words and word beginning, summed over the task."""
     pos, neg = Counter(), Counter()
     for batch in lean_batches(batches):
         for y, t in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-            words = set(_WORD.findall(t.decode().lower()))
+            inorder = _WORD.findall(t.decode().lower())
+            words = set(inorder)
             found = {"w" + w for w in words}
+            found.update("b" + a + " " + b for a, b in zip(inorder, inorder[1:]))
             for n in PREFIXES:
                 found.update("p" + w[:n] for w in words if len(w) > n)
             (pos if y else neg).update(found)
@@ -205,13 +264,12 @@ def _arc_rows(pos: Counter, neg: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(arcs, pa.string()), pa.array([pos[a] for a in arcs], pa.int64()), pa.array([neg[a] for a in arcs], pa.int64())], names=["arc", "pos", "neg"])
 
 
-def learn_arcs(rows: DataFrame, n1: int, n0: int, most: int = MOST_ARCS) -> tuple[dict, dict]:
-    """(words, beginnings) with their weights, from (y, text) rows with n1 toxic and n0 other documents."""
+def learn_arcs(rows: DataFrame, n1: int, n0: int) -> tuple[dict, dict, dict]:
+    """(words, beginnings, pairs) with their weights, from (y, text) rows with n1 toxic and n0 other documents."""
     arcs = {w: 3.0 for w in INSULTS}
     if not n1 or not n0:
-        return arcs, {}
+        return arcs, {}, {}
     counts = rows.mapInArrow(_count_arcs, "arc string, pos long, neg long").groupBy("arc").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counts = counts.where("pos + neg >= 3")
     base = n1 / (n1 + n0)
     n = F.col("pos") + F.col("neg")
     g2 = 2 * (F.col("pos") * F.log(F.col("pos") / (n * base)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (n * (1 - base)))).otherwise(0.0))
@@ -220,12 +278,17 @@ def learn_arcs(rows: DataFrame, n1: int, n0: int, most: int = MOST_ARCS) -> tupl
     kept = counts.where("pos > 0").withColumn("g2", g2).withColumn("odds", odds)
     known = F.col("arc").isin(["w" + w for w in INSULTS]) & (n >= 20)
     kept = kept.where((F.col("odds") >= 1.5) & (F.col("g2") >= 2 * math.log(candidates * 100) + 2) | known)
-    for r in kept.orderBy(F.col("g2").desc(), "arc").limit(most).collect():
-        arcs_or_prefix = r["arc"]
-        if arcs_or_prefix[0] == "w":
-            arcs[arcs_or_prefix[1:]] = min(6.0, max(0.0, r["odds"]))
-    prefixes = {r["arc"][1:]: min(6.0, r["odds"]) for r in kept.where(F.col("arc").startswith("p")).orderBy(F.col("g2").desc(), "arc").limit(most).collect()}
-    return arcs, prefixes
+    odds_of = {r["arc"]: r["odds"] for r in kept.select("arc", "odds").collect()}
+    arcs |= {a[1:]: min(6.0, max(0.0, o)) for a, o in odds_of.items() if a[0] == "w"}
+    prefixes = {a[1:]: min(6.0, o) for a, o in odds_of.items() if a[0] == "p"}
+    # a pair says more than its words only if it tells more than either
+    pairs = {}
+    for a, o in odds_of.items():
+        if a[0] == "b":
+            one, two = a[1:].split(" ")
+            if not any(w in arcs or any(w[:n] in prefixes for n in PREFIXES) for w in (one, two)):
+                pairs[one, two] = min(6.0, o)
+    return arcs, prefixes, pairs
 
 
 #: Coefficients before any label is seen: offset, log sum, log matches, largest clause, density, weakened matches.
@@ -249,10 +312,10 @@ def logistic(x: np.ndarray, y: np.ndarray, prior=PRIOR, strength: float = 1.0) -
 
 def features(model: dict):
     """Function from whole texts to clause features."""
-    machine = grammar()
+    machine, paths = grammar(), lexicon(model["pairs"])
 
     def run(batch: list[bytes]) -> np.ndarray:
-        got = [clause_features(t.decode().lower(), model["arcs"], model["prefixes"], machine) for t in batch]
+        got = [clause_features(t.decode().lower(), model["arcs"], model["prefixes"], machine, paths) for t in batch]
         return np.array(got, dtype=float).reshape(-1, FEATURES)
 
     return run
@@ -266,8 +329,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", k: int = 3,
     apart = F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(3)) == 0
     found_in = rows.where(~apart)
     n = {r["y"]: r["count"] for r in found_in.groupBy("y").count().collect()}
-    arcs, prefixes = learn_arcs(found_in.select("y", "text"), n.get(1, 0), n.get(0, 0))
-    model = {"arcs": arcs, "prefixes": prefixes}
+    arcs, prefixes, pairs = learn_arcs(found_in.select("y", "text"), n.get(1, 0), n.get(0, 0))
+    model = {"arcs": arcs, "prefixes": prefixes, "pairs": pairs}
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -284,7 +347,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", k: int = 3,
 
 
 def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
-    """``docs`` with a column of scores from 0 to 1; the model, of bounded size, is broadcast."""
+    """``docs`` with a column of scores from 0 to 1; the model, bounded by the sample, is broadcast. ``name`` must not be a column of ``docs``."""
+    if free_name(docs, name) != name:
+        raise ValueError(f"column {name} is there already")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: list[bytes]) -> dict:
