@@ -70,14 +70,14 @@ def region_distance(shapes: Sequence[Shape], x: Column, y: Column) -> Column:
 
 
 def crop_window(box: dict[str, Column], width: int, height: int, pad: float = 0.5, least: float = 150.0) -> Column:
-    """A box grown by ``pad`` of its long side, at least ``least`` wide and high, slid (not shrunk) into the frame."""
+    """A box grown by ``pad`` of its long side, at least ``least`` wide and high, slid (not shrunk) into the frame; whole pixels, cut towards zero."""
     x1, y1, x2, y2 = (box[k] for k in ("x1", "y1", "x2", "y2"))
     grow = F.greatest(x2 - x1, y2 - y1) * pad
     w = F.least(F.greatest(x2 - x1 + grow * 2, F.lit(least)), F.lit(float(width)))
     h = F.least(F.greatest(y2 - y1 + grow * 2, F.lit(least)), F.lit(float(height)))
     left = F.least(F.greatest((x1 + x2) / 2 - w / 2, F.lit(0.0)), F.lit(float(width)) - w)
     top = F.least(F.greatest((y1 + y2) / 2 - h / 2, F.lit(0.0)), F.lit(float(height)) - h)
-    return F.struct(left.alias("x1"), top.alias("y1"), (left + w).alias("x2"), (top + h).alias("y2"))
+    return F.struct(*[v.cast("long").alias(k) for k, v in (("x1", left), ("y1", top), ("x2", left + w), ("y2", top + h))])
 
 
 def overlaps(a: Column, b: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def duration_seconds(text: Column) -> Column:
-    """``1h30m45s`` in any subset, or a bare number of minutes; null if neither."""
+    """``1h30m45s`` in any subset and either case, or a bare number of minutes; null if neither."""
+    text = F.lower(F.trim(text))
     part = lambda unit: F.coalesce(F.nullif(F.regexp_extract(text, rf"(\d+){unit}", 1), F.lit("")).cast("double"), F.lit(0.0))
     parts = part("h") * 3600 + part("m") * 60 + part("s")
     bare = text.rlike(r"^\d+(\.\d+)?$")
@@ -17,7 +18,8 @@ def duration_seconds(text: Column) -> Column:
 
 def parse_start(text: Column, today: Column) -> Column:
     """A start time in one of three full forms, or a time of day on ``today`` (a date); null otherwise."""
-    full = [F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")]
+    text = F.trim(text)
+    full = [F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss")]
     day = [F.try_to_timestamp(F.concat(F.date_format(today, "yyyy-MM-dd"), F.lit(" "), text), F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm")]
     return F.coalesce(*full, *day).cast("timestamp_ntz")
 
@@ -54,6 +56,29 @@ def megabits(size: Column, seconds: Column) -> Column:
     return size * 8 / F.greatest(seconds, F.lit(1e-6)) / 1e6
 
 
+def motion_fingerprint(files: Column, region: Column, settings: dict[str, Column]) -> Column:
+    """sha256 of what decides a motion scan's work: its files (structs of path, size and mtime, in their order), the region's file and settings.
+
+    Paths count with forward slashes and times in whole seconds, so a state stays valid on another machine; the number of workers isn't part of it.
+    """
+    one = lambda f: F.concat_ws("|", F.translate(f["path"], "\\", "/"), f["size"].cast("string"), F.floor(f["mtime"]).cast("long").cast("string"))
+    parts = [F.concat(F.lit(k + "="), F.coalesce(v.cast("string"), F.lit("null"))) for k, v in sorted(settings.items()) if k != "workers"]
+    region = F.when(region.isNull(), F.lit("no region")).otherwise(F.concat(F.lit("region "), one(region)))
+    return F.sha2(F.array_join(F.concat(F.transform(files, one), F.array(region, *parts)), "\n"), 256)
+
+
+def setting(spark, key: str, env_file: str | None = None, default: str | None = None) -> str | None:
+    """A setting from an env file (text lines ``KEY=value``), else the environment, else the default; empty values count as unset."""
+    import os
+
+    found: dict[str, str] = {}
+    if env_file:
+        from weir.sources.files import read_env
+
+        found = read_env(spark, env_file)
+    return found.get(key) or os.environ.get(key) or default
+
+
 def budget(message: Column) -> Column:
     """struct(cost, budget) of a base64 JSON message."""
     body = F.from_json(F.decode(F.unbase64(message), "utf-8"), "costAmount double, budgetAmount double")

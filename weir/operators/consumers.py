@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weir.functions.geometry import overlaps
+from weir.functions.names import crop_names
 
 
 def latest(rows: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -22,16 +23,18 @@ def match_tiles(rows: DataFrame, tiles: DataFrame, gap: int, order: Sequence[str
     """Each row with the first tile (by its number) of the same camera and target whose time it touches within ``gap``; null for new rows."""
     t = tiles.select("tile", F.col("camera").alias("__c"), F.col("target").alias("__t"), F.col("start_us").alias("__s"), F.col("end_us").alias("__e"))
     on = (F.col("camera") == F.col("__c")) & (F.col("target") == F.col("__t")) & (F.col("start_us") <= F.col("__e") + gap) & (F.col("__s") <= F.col("end_us") + gap)
-    j = rows.join(t, on, "left").groupBy(*rows.columns).agg(F.min(F.struct("tile", "__e")).alias("m"))
+    # repeated rows are told apart by their number, so that each keeps a row of its own
+    numbered = rows.withColumn("__n", F.row_number().over(W.partitionBy(*rows.columns).orderBy(F.lit(0))))
+    j = numbered.join(t, on, "left").groupBy(*numbered.columns).agg(F.min(F.struct("tile", "__e")).alias("m"))
     grown = F.when(F.col("m.tile").isNull(), "new").when(F.col("end_us") > F.col("m.__e"), "grown").otherwise("unchanged")
     return j.select(*rows.columns, F.col("m.tile").alias("tile"), grown.alias("change"))
 
 
 def new_rows(rows: DataFrame, known: DataFrame, gap: int) -> DataFrame:
-    """Rows that touch nothing known of their camera and target within ``gap``."""
+    """Rows that touch nothing known of their camera and target within ``gap``, in start order."""
     k = known.select(F.col("camera").alias("__c"), F.col("target").alias("__t"), F.col("start_us").alias("__s"), F.col("end_us").alias("__e"))
     on = (F.col("camera") == F.col("__c")) & (F.col("target") == F.col("__t")) & (F.col("start_us") <= F.col("__e") + gap) & (F.col("__s") <= F.col("end_us") + gap)
-    return rows.join(k, on, "left_anti")
+    return rows.join(k, on, "left_anti").orderBy("start_us", "camera", "target")
 
 
 def overlapping_boxes(boxes: DataFrame, keys: Sequence[str], id_: str = "frame") -> DataFrame:
@@ -54,7 +57,7 @@ def window_of(box: tuple, width: float, height: float, pad: float, least: float)
     grow = max(x2 - x1, y2 - y1) * pad
     w, h = min(max(x2 - x1 + 2 * grow, least), width), min(max(y2 - y1 + 2 * grow, least), height)
     left, top = min(max((x1 + x2) / 2 - w / 2, 0.0), width - w), min(max((y1 + y2) / 2 - h / 2, 0.0), height - h)
-    return left, top, left + w, top + h
+    return tuple(int(v) for v in (left, top, left + w, top + h))
 
 
 def merge_windows(boxes: list[tuple], width: float, height: float, pad: float = 0.5, least: float = 150.0) -> list[tuple]:
@@ -80,7 +83,7 @@ def merge_windows(boxes: list[tuple], width: float, height: float, pad: float =
 def crop_groups(boxes: DataFrame, keys: Sequence[str], width: float, height: float, pad: float = 0.5, least: float = 150.0) -> DataFrame:
     """Crop windows of each key, left to right. The fixpoint of merging isn't a relational expression, so groups (one picture's boxes each) go to pandas."""
 
-    @F.pandas_udf("array<array<double>>")
+    @F.pandas_udf("array<array<bigint>>")
     def windows(groups: pd.Series) -> pd.Series:
         return groups.map(lambda g: [list(w) for w in merge_windows([tuple(b) for b in g], width, height, pad, least)])
 
@@ -133,19 +136,34 @@ def throughput(log: DataFrame) -> DataFrame:
 
 
 def speeds(log: DataFrame, keys: Sequence[str] = ("nvr",)) -> DataFrame:
-    """Mbit/s of each download, its average over the last ten, and that of all so far."""
-    w = W.partitionBy(*keys).orderBy("n")
-    ten, so_far = w.rowsBetween(-9, 0), w.rowsBetween(W.unboundedPreceding, 0)
-    d = log.withColumn("__bits", F.floor(F.col("bytes") * 8 / F.greatest(F.col("secs"), F.lit(1e-6))).cast("long"))
-    d = d.withColumn("mbps", F.col("__bits") / 1e6)
-    d = d.withColumn("last_ten", F.sum("__bits").over(ten) / F.count("__bits").over(ten) / 1e6).drop("__bits")
-    return d.withColumn("overall", F.sum("bytes").over(so_far) * 8 / F.greatest(F.sum("secs").over(so_far), F.lit(1e-6)) / 1e6)
-
+    """Mbit/s of each download (``bytes``, ``secs``, begun at ``began`` seconds), the average of the last ten, and all bytes over the time since the first start.
 
-def recent_rate(log: DataFrame, key: str, time: str, amount: str, span: int) -> DataFrame:
-    """Amount over the last ``span`` of time at each row."""
-    w = W.partitionBy(key).orderBy(time).rangeBetween(-span, 0)
-    return log.withColumn("recent", F.sum(amount).over(w)).withColumn("samples", F.count(F.lit(1)).over(w))
+    Downloads run side by side, so the overall average divides by time, not by summed seconds. A download without a duration has no speed of its own.
+    """
+    w = W.partitionBy(*keys).orderBy("n")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    d = log.withColumn("mbps", F.when(F.col("secs") > 0, F.col("bytes") * 8 / F.col("secs") / 1e6))
+    # the last ten speeds, whatever lies between them: number the downloads that have one
+    d = d.withColumn("__k", F.count("mbps").over(so_far))
+    ten = W.partitionBy(*keys).orderBy("__k").rangeBetween(-9, 0)
+    d = d.withColumn("last_ten", F.avg("mbps").over(ten)).drop("__k")
+    took = F.max(F.col("began") + F.col("secs")).over(so_far) - F.min("began").over(so_far)
+    return d.withColumn("overall", F.sum("bytes").over(so_far) * 8 / F.greatest(took, F.lit(1e-6)) / 1e6)
+
+
+def recent_rate(log: DataFrame, key: str, time: str, total: str, span: float, order: Sequence[str] = ()) -> DataFrame:
+    """Rate of a running ``total`` over the last ``span`` of ``time`` at each row, null where no time has passed.
+
+    The rate counts from an anchor: the latest sample at least ``span`` old, or the first where none is. So it spans at least that long once the log does.
+    """
+    w = W.partitionBy(key).orderBy(time)
+    old = w.rangeBetween(W.unboundedPreceding, -span)
+    first = W.partitionBy(key).orderBy(time, *order).rowsBetween(W.unboundedPreceding, 0)
+    sample = F.struct(F.col(time).alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(total).alias("v"))
+    anchor = F.coalesce(F.max(sample).over(old), F.first(sample).over(first))
+    d = log.withColumn("__a", anchor)
+    took = F.col(time) - F.col("__a.t")
+    return d.withColumn("recent", F.when(took > 0, (F.col(total) - F.col("__a.v")) / took)).withColumn("spanned", took).drop("__a")
 
 
 def same_files(files: DataFrame) -> DataFrame:
@@ -171,7 +189,24 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], version: str) ->
     return both.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__new")
 
 
-def lines_to_rows(parts: Iterator[str]) -> list[str]:
-    """Whole lines of a growing file: a torn last line stays for the next look."""
-    text = "".join(parts)
-    return text[: text.rfind("\n") + 1].splitlines()
+def frames_of_images(sightings: DataFrame, index: DataFrame) -> DataFrame:
+    """The frame that each sighting's picture was made of; sightings without a picture are left out."""
+    return sightings.join(index.select("image", "frame"), "image")
+
+
+def whole_crops(crops: DataFrame) -> DataFrame:
+    """Crops that hold a pixel; an empty one would stop a detector's run."""
+    return crops.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+
+
+def fan_out_pictures(pictures: DataFrame, kinds: Sequence[str] = ("raw", "overlay", "crop")) -> DataFrame:
+    """(picture, kind, name): what a picture is shared as; its crops are named by their number where there are several."""
+    p = pictures.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
+    names = F.when(F.col("kind") == "crop", crop_names(F.col("picture"), F.col("crops"))).otherwise(F.array("picture"))
+    return p.select("picture", "kind", F.explode(names).alias("name")).select("picture", "kind", F.concat_ws("/", "kind", "name").alias("name"))
+
+
+def transfers(matched: DataFrame, folder: str, move: bool = False) -> DataFrame:
+    """(source, target, action) of matched clips: each goes to ``folder`` under its own name as soon as it is found."""
+    name = F.regexp_replace(F.col("file"), r"^.*/", "")
+    return matched.select(F.col("file").alias("source"), F.concat(F.lit(folder.rstrip("/") + "/"), name).alias("target"), F.lit("move" if move else "copy").alias("action"))

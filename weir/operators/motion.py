@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weir.functions.names import natural_key, stem
 from weir.operators.islands import gap_sessions, number_islands
 
 
@@ -62,28 +63,43 @@ def segments(files: DataFrame, size: int, keys=("camera", "file")) -> DataFrame:
 
 
 def chain_offsets(files: DataFrame, chain: str, order: str) -> DataFrame:
-    """Global index of each file's first frame in its chain."""
-    w = W.partitionBy(chain).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    """Global index of each file's first frame in its chain; files follow each other in natural order."""
+    w = W.partitionBy(chain).orderBy(natural_key(F.col(order)), order).rowsBetween(W.unboundedPreceding, -1)
     return files.withColumn("first_frame", F.coalesce(F.sum("frames").over(w), F.lit(0)))
 
 
-def slices(events_: DataFrame, files: DataFrame, chain: str = "camera") -> DataFrame:
-    """Frames of each event by file: the intersection of [start, end] with the files of its chain, empty ones left out."""
-    f = files.withColumn("after", F.col("first_frame") + F.col("frames")).withColumnRenamed(chain, "__chain")
-    on = (F.col(chain) == F.col("__chain")) & (F.col("start") < F.col("after")) & (F.col("end") + 1 > F.col("first_frame"))
+def slices(events_: DataFrame, files: DataFrame, chain: str = "camera", *also: str, grid: int = 100_000) -> DataFrame:
+    """Frames of each event by file: the intersection of [start, end] with the files of its chain, empty ones left out.
+
+    Both sides are spread over ``grid`` frames wide cells, so the join has an equality within a chain; a pair meets in the first cell they share.
+    """
+    f = files.where("frames > 0").withColumn("after", F.col("first_frame") + F.col("frames")).withColumnRenamed(chain, "__chain")
+    f = f.withColumn("__fc", F.expr(f"first_frame div {grid}")).withColumn("__cell", F.explode(F.sequence("__fc", F.expr(f"(after - 1) div {grid}"))))
+    e = events_.withColumn("__ec", F.expr(f"start div {grid}")).withColumn("__at", F.explode(F.sequence("__ec", F.expr(f"`end` div {grid}"))))
+    on = (F.col(chain) == F.col("__chain")) & (F.col("__at") == F.col("__cell")) & (F.col("__cell") == F.greatest("__fc", "__ec"))
+    on = on & (F.col("start") < F.col("after")) & (F.col("end") + 1 > F.col("first_frame"))
     lo = F.greatest(F.col("start"), F.col("first_frame")) - F.col("first_frame")
     hi = F.least(F.col("end") + 1, F.col("after")) - F.col("first_frame")
-    return events_.join(f, on).select(chain, "start", "end", "file", lo.alias("lo"), hi.alias("hi"))
+    return e.join(f, on).select(chain, "start", "end", "file", lo.alias("lo"), hi.alias("hi"), *also)
+
+
+def segment_name(file: Column, part: Column, parts: Column) -> Column:
+    """A file's stem, with its part's number as wide as the number of parts where the file was cut."""
+    numbered = F.concat(stem(file), F.lit("_p"), F.lpad(part.cast("string"), F.length(parts.cast("string")), "0"))
+    return F.when(parts <= 1, stem(file)).otherwise(numbered)
 
 
 def manifest(events_: DataFrame, files: DataFrame, chain: str = "camera") -> DataFrame:
-    """(clip_name, segments): an event is named after the file it starts in, numbered there in order."""
-    s = slices(events_, files, chain)
-    e = s.groupBy(chain, "start", "end").agg(F.sort_array(F.collect_list(F.struct("file", "lo", "hi"))).alias("segments"))
-    e = e.withColumn("owner", F.col("segments")[0]["file"])
+    """(clip_name, segments): an event is named after the file (or part, where ``files`` has part and parts) it starts in, numbered there in order; its files in the chain's order."""
+    cut = {"part", "parts"} <= set(files.columns)
+    named = files.withColumn("segment", segment_name(F.col("file"), F.col("part") + 1, F.col("parts")) if cut else stem(F.col("file")))
+    from_ = F.col("from") if "from" in files.columns else F.lit(0)
+    s = slices(events_, named.withColumn("__from", from_.cast("long")), chain, "segment", "first_frame", "__from")
+    ordered = F.sort_array(F.collect_list(F.struct("first_frame", "segment", "file", (F.col("lo") + F.col("__from")).alias("lo"), (F.col("hi") + F.col("__from")).alias("hi"))))
+    e = s.groupBy(chain, "start", "end").agg(ordered.alias("s"))
+    e = e.withColumn("owner", F.col("s")[0]["segment"]).withColumn("segments", F.transform("s", lambda x: F.struct(x["file"].alias("file"), x["lo"].alias("lo"), x["hi"].alias("hi"))))
     n = F.row_number().over(W.partitionBy(chain, "owner").orderBy("start"))
-    stem = F.regexp_replace("owner", r"\.[^.]*$", "")
-    return e.select(chain, F.concat(stem, F.lit("_"), F.lpad(n.cast("string"), 4, "0"), F.lit(".mp4")).alias("clip_name"), "start", "end", F.size("segments").alias("n_segments"), "segments")
+    return e.select(chain, F.concat("owner", F.lit("_"), F.lpad(n.cast("string"), 4, "0"), F.lit(".mp4")).alias("clip_name"), "start", "end", F.size("segments").alias("n_segments"), "segments")
 
 
 def find_file(points: DataFrame, files: DataFrame, chain: str = "camera") -> DataFrame:
@@ -107,27 +123,25 @@ def resume(segments_: DataFrame, done: DataFrame, chain: str = "camera", file: s
 def pack(units: DataFrame, target: int, chain: str = "camera") -> DataFrame:
     """Pack units (pos, frames) in order into pieces: a piece ends once it holds ``target`` frames or the next position isn't adjacent.
 
-    The running sum restarts at each cut, so this is a fold over a chain's ordered units.
+    The running sum restarts at each cut. Stretches of adjacent positions are cut first and packed side by side; within one, a
+    fold keeps only the ends of its pieces (one number each), and units are numbered by the ends before them.
     """
+    cut = pieces_between_gaps(units, chain).withColumnRenamed("piece", "__stretch")
     ordered = F.sort_array(F.collect_list(F.struct("pos", "frames")))
+    zero = F.lit(0).cast("long")
     fold = F.aggregate(
         ordered,
-        F.struct(F.lit(-1).cast("long").alias("piece"), F.lit(0).cast("long").alias("held"), F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<pos:bigint,frames:bigint,piece:bigint>>").alias("out")),
-        lambda a, u: F.when(
-            a["last"].isNull() | (a["held"] >= target) | (u["pos"] != a["last"] + 1),
-            F.struct((a["piece"] + 1).alias("piece"), u["frames"].alias("held"), u["pos"].alias("last"), F.concat(a["out"], F.array(F.struct(u["pos"], u["frames"], (a["piece"] + 1).alias("piece")))).alias("out")),
-        ).otherwise(F.struct(a["piece"].alias("piece"), (a["held"] + u["frames"]).alias("held"), u["pos"].alias("last"), F.concat(a["out"], F.array(F.struct(u["pos"], u["frames"], a["piece"].alias("piece")))).alias("out"))),
-        lambda a: a["out"],
+        F.struct(zero.alias("held"), F.array().cast("array<bigint>").alias("ends")),
+        lambda a, u: F.when(a["held"] + u["frames"] >= target, F.struct(zero.alias("held"), F.array_append(a["ends"], u["pos"]).alias("ends"))).otherwise(F.struct((a["held"] + u["frames"]).alias("held"), a["ends"].alias("ends"))),
+        lambda a: a["ends"],
     )
-    return units.groupBy(chain).agg(fold.alias("u")).select(chain, F.explode("u").alias("u")).select(chain, "u.*")
-
-
-def spread(units: DataFrame, workers: int, chain: str = "camera") -> DataFrame:
-    """Deal ordered units out to workers by the share of frames before them."""
-    w = W.partitionBy(chain).orderBy("pos")
-    before = F.coalesce(F.sum("frames").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("frames").over(W.partitionBy(chain))
-    return units.withColumn("worker", F.least((before * workers / total).cast("long"), F.lit(workers - 1).cast("long")))
+    ends = cut.groupBy(chain, "__stretch").agg(fold.alias("ends"), F.max("pos").alias("last"))
+    ends = ends.select(chain, F.explode(F.array_union("ends", F.array("last"))).alias("__end"))
+    # the pieces' ends in one order over the chain: a unit's piece is the number of ends before it
+    both = units.withColumn("__e", F.lit(0)).unionByName(ends.select(chain, F.col("__end").alias("pos"), F.lit(None).cast("long").alias("frames"), F.lit(1).alias("__e")), allowMissingColumns=True)
+    w = W.partitionBy(chain).orderBy("pos", "__e").rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("piece", F.sum("__e").over(w).cast("long"))
+    return both.where("__e = 0").select(chain, "pos", "frames", "piece")
 
 
 def hard_gaps(units: DataFrame, chain: str = "camera") -> DataFrame:
@@ -136,6 +150,22 @@ def hard_gaps(units: DataFrame, chain: str = "camera") -> DataFrame:
     return units.withColumn("hard_gap", F.coalesce(F.col("pos") != F.lag("pos").over(w) + 1, F.lit(False)))
 
 
+def spread(units: DataFrame, workers: int, chain: str = "camera") -> DataFrame:
+    """Deal ordered units (pos, frames, hard_gap) out to workers by the share of frames before them; a hard gap goes on to the next worker.
+
+    A worker is the greatest of the share here and of any earlier share plus the gaps since, at most the last: a running maximum.
+    """
+    w = W.partitionBy(chain).orderBy("pos")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    before = F.coalesce(F.sum("frames").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("frames").over(W.partitionBy(chain))
+    d = units.withColumn("__gaps", F.sum(F.col("hard_gap").cast("long")).over(so_far))
+    share = F.when(~F.col("hard_gap"), F.least((before * workers / total).cast("long"), F.lit(workers - 1).cast("long")))
+    d = d.withColumn("__share", share - F.col("__gaps"))
+    reached = F.col("__gaps") + F.greatest(F.lit(0).cast("long"), F.coalesce(F.max("__share").over(so_far), F.lit(0).cast("long")))
+    return d.withColumn("worker", F.least(reached, F.lit(workers - 1).cast("long"))).drop("__gaps", "__share")
+
+
 def pieces_between_gaps(units: DataFrame, chain: str = "camera") -> DataFrame:
     """Number the adjacent stretches of positions."""
     w = W.partitionBy(chain).orderBy("pos")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +21,12 @@ def class_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str], cls:
     return counts.groupBy(*keys).agg(text.alias(name))
 
 
+def output_columns(sightings: DataFrame) -> DataFrame:
+    """Sightings as their table shows them: seconds to 0.1 and pixels whole, exact ties to the even neighbour, confidences to 0.001, in order of start and target."""
+    shown = {"duration_s": F.bround("duration_s", 1), "max_conf": F.bround("max_conf", 3), "nearest_px": F.bround("nearest_px", 0)}
+    return sightings.withColumns({k: v for k, v in shown.items() if k in sightings.columns}).orderBy("start_us", "target", "camera")
+
+
 def source_label(src: str = "src") -> Column:
     """live, nvr or nvr+live over a group."""
     live, nvr = F.bool_or(F.col(src) == "live"), F.bool_or(F.col(src) == "nvr")
@@ -32,9 +39,11 @@ def best_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], conf: str
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def camera_sightings(hits: DataFrame, gap: int, keys: Sequence[str] = ("camera", "target"), bucket: int | None = None) -> DataFrame:
+def camera_sightings(hits: DataFrame, gap: int, keys: Sequence[str] = ("camera", "target"), bucket: int | None = None, distance: Column | None = None) -> DataFrame:
     """Sightings over cameras: hits of a key at most ``gap`` microseconds after the one before (column ``us``).
 
+    ``distance``: a hit's distance to the region; a sighting's ``nearest_px`` is its least one.
+
     ``bucket`` (microseconds) spreads a crowded key over tasks by time.
     """
     s = gap_sessions(hits, keys, "us", gap, ["frame"], bucket=bucket)
@@ -47,9 +56,11 @@ def camera_sightings(hits: DataFrame, gap: int, keys: Sequence[str] = ("camera",
         F.max("conf").alias("max_conf"),
         best.alias("best_frame"),
         source_label().alias("source"),
+        *([F.min(distance).alias("nearest_px")] if distance is not None else []),
     )
     classes = class_counts(s, group, ["us", "frame"])
-    return seen.join(classes, group)
+    right = classes.withColumnsRenamed({k: f"__{k}" for k in group})
+    return seen.join(right, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in group))).drop(*[f"__{k}" for k in group])
 
 
 def file_sightings(hits: DataFrame, timeline: DataFrame, gap: int) -> DataFrame:
@@ -75,7 +86,7 @@ def file_sightings(hits: DataFrame, timeline: DataFrame, gap: int) -> DataFrame:
 def dedup_sources(hits: DataFrame, order: Sequence[str] = ("us", "frame")) -> DataFrame:
     """Count a detection seen by both sources once: same target, class, rounded second and coarse box; recorded before live."""
     second = F.expr("us div 1000000 + case when us % 1000000 > 500000 or (us % 1000000 = 500000 and (us div 1000000) % 2 = 1) then 1 else 0 end")
-    box = [F.expr(f"cast({c} as bigint) div 8") for c in ("x1", "y1", "x2", "y2")]
+    box = [F.floor(F.col(c).cast("bigint") / 8) for c in ("x1", "y1", "x2", "y2")]
     rank = F.when(F.col("src") == "nvr", 0).otherwise(1)
     w = W.partitionBy("camera", "target", "cls", second, *box).orderBy(rank, *order)
     return hits.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")

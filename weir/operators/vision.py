@@ -13,13 +13,14 @@ ALPHA, K, MIN_STD = 0.02, 4.0, 6.0
 
 
 class BackgroundModel:
-    """Running mean and variance of each pixel; pixels far from the mean are foreground and don't update it."""
+    """Running mean and variance of each pixel; pixels far from the mean are foreground and don't update it. With a mask, only its pixels score."""
 
-    def __init__(self, alpha: float = ALPHA, k: float = K, min_std: float = MIN_STD):
+    def __init__(self, alpha: float = ALPHA, k: float = K, min_std: float = MIN_STD, mask: np.ndarray | None = None):
         self.alpha, self.k, self.min_std, self.mean, self.var = alpha, k, min_std, None, None
+        self.mask = None if mask is None else np.asarray(mask, dtype=bool)
 
     def score(self, frame: np.ndarray) -> float:
-        """Share of foreground pixels; the first frame sets the model and scores 0."""
+        """Share of foreground pixels (of the mask's); the first frame sets the model and scores 0."""
         x = np.asarray(frame, dtype=np.float64)
         if self.mean is None:
             self.mean, self.var = x.copy(), np.full_like(x, self.min_std**2)
@@ -28,7 +29,69 @@ class BackgroundModel:
         calm = ~far
         self.mean[calm] += self.alpha * (x[calm] - self.mean[calm])
         self.var[calm] += self.alpha * ((x[calm] - self.mean[calm]) ** 2 - self.var[calm])
-        return float(far.mean())
+        if self.mask is None:
+            return float(far.mean())
+        return float((far & self.mask).sum() / max(1, self.mask.sum()))
+
+
+def opened(mask: np.ndarray) -> np.ndarray:
+    """A 3 x 3 opening: foreground that no 3 x 3 square of foreground covers goes. Beyond the edges nothing is taken away."""
+
+    def squares(m: np.ndarray, fill: bool, join) -> np.ndarray:
+        p = np.pad(m, 1, constant_values=fill)
+        return join.reduce([p[y : y + m.shape[0], x : x + m.shape[1]] for y in range(3) for x in range(3)])
+
+    return squares(squares(np.asarray(mask, dtype=bool), True, np.logical_and), False, np.logical_or)
+
+
+def shrunk(frame: np.ndarray, by: int) -> np.ndarray:
+    """Means of ``by`` x ``by`` pixels; a rest at the edges is left out."""
+    h, w = max(1, frame.shape[0] // by), max(1, frame.shape[1] // by)
+    return np.asarray(frame, dtype=np.float64)[: h * by, : w * by].reshape(h, min(by, frame.shape[0]), w, min(by, frame.shape[1])).mean(axis=(1, 3))
+
+
+class MixtureModel:
+    """A mixture of Gaussians for each pixel: a frame's pixel is foreground unless a component of the background explains it.
+
+    The learning rate is 1 / frames, at least 1 / ``history``. Components are ordered by weight; those that make up
+    ``share`` of the weight are background. Scores are shares of the mask's pixels after a 3 x 3 opening.
+    """
+
+    def __init__(self, mask: np.ndarray | None = None, threshold: float = 16.0, downscale: int = 1, components: int = 5, history: int = 500, share: float = 0.9, first_var: float = 15.0, bounds: tuple[float, float] = (4.0, 75.0), fit: float = 9.0):
+        self.by, self.k, self.history, self.share = max(1, downscale), components, history, share
+        self.threshold, self.fit, self.first_var, self.bounds, self.frames = threshold, fit, first_var, bounds, 0
+        self.mask = None if mask is None else (shrunk(np.asarray(mask, dtype=float), self.by) >= 0.5 if self.by > 1 else np.asarray(mask, dtype=bool))
+
+    def score(self, frame: np.ndarray) -> float:
+        x = shrunk(frame, self.by) if self.by > 1 else np.asarray(frame, dtype=np.float64)
+        if not self.frames:
+            self.w, self.mean, self.var = (np.zeros((self.k, *x.shape)) for _ in range(3))
+            self.var[:] = self.first_var
+        self.frames += 1
+        rate = 1.0 / min(self.frames, self.history)
+        used = self.w > 0
+        far = np.where(used, (x - self.mean) ** 2 / self.var, np.inf)
+        ahead = np.cumsum(self.w, axis=0) - self.w  # weight of the components before each
+        background = ((far < self.threshold) & (ahead < self.share)).any(axis=0)
+        near = far < self.fit
+        owner = np.where(near.any(axis=0), near.argmax(axis=0), -1)
+        mine = np.arange(self.k).reshape(-1, *[1] * x.ndim) == owner
+        self.w = (1 - rate) * self.w + rate * mine
+        step = np.where(mine, rate / np.maximum(self.w, 1e-12), 0.0)
+        gap = x - self.mean
+        self.mean = self.mean + step * gap
+        self.var = np.where(mine, np.clip(self.var + step * (gap**2 - self.var), *self.bounds), self.var)
+        new = owner < 0  # the weakest component starts again at this pixel
+        last = np.arange(self.k).reshape(-1, *[1] * x.ndim) == self.w.argmin(axis=0)
+        at = new & last
+        self.w, self.mean, self.var = np.where(at, rate, self.w), np.where(at, x, self.mean), np.where(at, self.first_var, self.var)
+        self.w = self.w / self.w.sum(axis=0)
+        order = np.argsort(-self.w, axis=0, kind="stable")
+        self.w, self.mean, self.var = (np.take_along_axis(v, order, axis=0) for v in (self.w, self.mean, self.var))
+        found = ~background if self.mask is None else ~background & self.mask
+        if found.ndim == 2:
+            found = opened(found)
+        return float(found.sum() / max(1, found.size if self.mask is None else self.mask.sum()))
 
 
 def background_scores(frames: DataFrame, chain: str = "camera", pixels: str = "pixels", model: Callable[[], BackgroundModel] = BackgroundModel) -> DataFrame:

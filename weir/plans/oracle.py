@@ -53,13 +53,13 @@ FRAMES = (
   mev_v AS (SELECT camera, greatest(confirmed_at - 4 + 1, coalesce(lag("end") OVER (PARTITION BY camera ORDER BY confirmed_at) + 1, 0), 0) AS start, confirmed_at, "end" FROM mev1_v)"""
 )
 
-#: Files of 1,000 frames (the last shorter) in each camera's chain.
+#: Files of 150 frames (the last shorter) in each camera's chain; their names aren't padded.
 FILES = (
     FRAMES
-    + """, file_v AS (SELECT camera, 'cam' || camera || '_' || lpad((idx // 1000)::VARCHAR, 3, '0') || '.mp4' AS file, count(*) AS frames, min(idx) AS first_frame FROM frames_v GROUP BY ALL),
-  seg_v AS (SELECT camera, file, frames, part * 100 AS start, CASE WHEN part = parts - 1 THEN frames ELSE (part + 1) * 100 END AS "end", part, parts
-    FROM (SELECT *, greatest(frames // 100, 1) AS parts, unnest(range(greatest(frames // 100, 1))) AS part FROM file_v)),
-  unit_v AS (SELECT camera, row_number() OVER (PARTITION BY camera ORDER BY file, part) - 1 AS pos0, "end" - start AS frames FROM seg_v),
+    + """, file_v AS (SELECT camera, 'cam' || camera || '_' || (idx // 150) || '.mp4' AS file, count(*) AS frames, min(idx) AS first_frame FROM frames_v GROUP BY ALL),
+  seg_v AS (SELECT camera, file, frames, first_frame, part * 50 AS start, CASE WHEN part = parts - 1 THEN frames ELSE (part + 1) * 50 END AS "end", part, parts
+    FROM (SELECT *, greatest(frames // 50, 1) AS parts, unnest(range(greatest(frames // 50, 1))) AS part FROM file_v)),
+  unit_v AS (SELECT camera, row_number() OVER (PARTITION BY camera ORDER BY first_frame, part) - 1 AS pos0, "end" - start AS frames FROM seg_v),
   units_v AS (SELECT camera, pos0 AS pos, frames FROM unit_v WHERE pos0 % 13 <> 7)"""
 )
 
@@ -75,7 +75,14 @@ CLIPS = """clips_v AS (SELECT l_orderkey AS clip, l_linenumber AS idx, l_returnf
   sets_v AS (SELECT clip, string_agg(DISTINCT cls, ',' ORDER BY cls) AS classes FROM clips_v WHERE idx % 2 = 0 AND conf >= 0.4 AND cls IN ('A', 'R') GROUP BY clip)"""
 
 DOWNLOADS = """down_v AS (SELECT l_suppkey % 5 AS nvr, row_number() OVER (PARTITION BY l_suppkey % 5 ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n,
-    round(l_extendedprice * 1000)::BIGINT AS bytes, l_quantity AS secs FROM lineitem)"""
+    round(l_extendedprice * 1000)::BIGINT AS bytes, l_quantity - 1 AS secs FROM lineitem),
+  begun_v AS (SELECT *, n * 2.0::DOUBLE AS began FROM down_v)"""
 
 RUNS = """runs_v AS (SELECT user_id AS job, epoch_us(ts) AS us, event_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'click' THEN 'checkpoint' WHEN 'view' THEN 'checkpoint' WHEN 'purchase' THEN 'end' END AS type,
     value * 100 AS frames FROM events WHERE event_type IN ('signup', 'click', 'view', 'purchase'))"""
+
+#: Raw files of four cameras: short where the part's key is a multiple of 5, without a rate where its size is one of 3.
+RAW = """raw_v AS (SELECT p_partkey AS k, p_partkey % 4 AS camera, 'clip' || p_partkey || '.raw' AS file, CASE WHEN p_size % 3 = 0 THEN 25.0 ELSE p_size % 3 * 12.5 END::DOUBLE AS fps,
+    p_size % 7 + 1 AS frames, p_size % 7 + 1 - CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS there FROM part),
+  raw_chain_v AS (SELECT *, coalesce(sum(frames) OVER (PARTITION BY camera ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_frame FROM raw_v),
+  raw_frame_v AS (SELECT *, frame * 4 AS byte0 FROM (SELECT *, unnest(range(there)) AS frame FROM raw_chain_v))"""

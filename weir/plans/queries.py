@@ -14,7 +14,7 @@ from weir.operators import consumers, coverage, motion, sightings, vision
 from weir.operators.islands import contiguous_stretches, merge_intervals
 from weir.plans import oracle as o
 from weir.plans import views
-from weir.session import ship, table
+from weir.session import scratch, ship, table
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -100,10 +100,10 @@ def natural_order(s, sf):
 
 
 @query(f"""WITH {o.DOUBLED}, key_v AS (SELECT *, us // 1000000 + CASE WHEN us % 1000000 > 500000 OR us % 1000000 = 500000 AND (us // 1000000) % 2 = 1 THEN 1 ELSE 0 END AS sec FROM dup_v),
-  rank_v AS (SELECT *, row_number() OVER (PARTITION BY camera, target, cls, sec, x1::BIGINT // 8, y1::BIGINT // 8, x2::BIGINT // 8, y2::BIGINT // 8 ORDER BY CASE WHEN src = 'nvr' THEN 0 ELSE 1 END, us, frame) AS rn FROM key_v)
+  rank_v AS (SELECT *, row_number() OVER (PARTITION BY camera, target, cls, sec, floor(trunc(x1 - 900.5) / 8), floor(trunc(y1 - 900.5) / 8), floor(trunc(x2 - 900.5) / 8), floor(trunc(y2 - 900.5) / 8) ORDER BY CASE WHEN src = 'nvr' THEN 0 ELSE 1 END, us, frame) AS rn FROM key_v)
   SELECT camera, target, cls, us, src, frame FROM rank_v WHERE rn = 1""")
 def dedup_hits(s, sf):
-    return sightings.dedup_sources(views.doubled_hits(s, sf)).select("camera", "target", "cls", "us", "src", "frame")
+    return sightings.dedup_sources(views.doubled_hits(s, sf).withColumns({c: F.col(c) - 900.5 for c in ("x1", "y1", "x2", "y2")})).select("camera", "target", "cls", "us", "src", "frame")
 
 
 @query(f"""WITH {o.HITS}, c AS (SELECT camera, us // 86400000000 AS day, cls, count(*) AS n, min({{'us': us, 'frame': frame}}) AS f FROM hits_v GROUP BY ALL)
@@ -187,16 +187,16 @@ def found_events(s, sf) -> DataFrame:
 
 
 def chain_files(s, sf) -> DataFrame:
-    f = views.frames(s, sf).withColumn("file", F.concat(F.lit("cam"), F.col("camera").cast("string"), F.lit("_"), F.lpad(F.expr("idx div 1000").cast("string"), 3, "0"), F.lit(".mp4")))
+    f = views.frames(s, sf).withColumn("file", F.concat(F.lit("cam"), F.col("camera").cast("string"), F.lit("_"), F.expr("idx div 150").cast("string"), F.lit(".mp4")))
     return motion.chain_offsets(f.groupBy("camera", "file").agg(F.count(F.lit(1)).alias("frames")), "camera", "file")
 
 
 def parts(s, sf) -> DataFrame:
-    return motion.segments(chain_files(s, sf), 100)
+    return motion.segments(chain_files(s, sf), 50, ("camera", "file", "first_frame"))
 
 
 def units(s, sf) -> DataFrame:
-    pos = F.row_number().over(W.partitionBy("camera").orderBy("file", "part")) - 1
+    pos = F.row_number().over(W.partitionBy("camera").orderBy("first_frame", "part")) - 1
     u = parts(s, sf).select("camera", pos.cast("long").alias("pos"), (F.col("end") - F.col("start")).alias("frames"))
     return u.where("pos % 13 <> 7")
 
@@ -213,19 +213,21 @@ def motion_events(s, sf):
     return found_events(s, sf)
 
 
-@query(f"""WITH {o.FILES}, sl AS (SELECT e.camera, e.start, e."end", f.file, greatest(e.start, f.first_frame) - f.first_frame AS lo, least(e."end" + 1, f.first_frame + f.frames) - f.first_frame AS hi
-    FROM mev_v e JOIN file_v f ON e.camera = f.camera AND e.start < f.first_frame + f.frames AND e."end" + 1 > f.first_frame),
-  m AS (SELECT camera, start, "end", count(*) AS n_segments, min(file) AS owner, string_agg(file || '@' || lo || '-' || hi, ';' ORDER BY file) AS segments FROM sl GROUP BY camera, start, "end")
-  SELECT camera, regexp_replace(owner, '[.]mp4$', '') || '_' || lpad((row_number() OVER (PARTITION BY camera, owner ORDER BY start))::VARCHAR, 4, '0') || '.mp4' AS clip_name, start, "end", n_segments::INT AS n_segments, segments FROM m""")
+@query(f"""WITH {o.FILES}, p AS (SELECT *, first_frame + start AS lo0, first_frame + "end" AS hi0, regexp_replace(file, '[.]mp4$', '') || CASE WHEN parts > 1 THEN '_p' || lpad((part + 1)::VARCHAR, len(parts::VARCHAR)::INT, '0') ELSE '' END AS name FROM seg_v),
+  sl AS (SELECT e.camera, e.start, e."end", p.file, p.name, p.lo0, greatest(e.start, p.lo0) - p.first_frame AS lo, least(e."end" + 1, p.hi0) - p.first_frame AS hi
+    FROM mev_v e JOIN p ON e.camera = p.camera AND e.start < p.hi0 AND e."end" + 1 > p.lo0),
+  m AS (SELECT camera, start, "end", count(*) AS n_segments, first(name ORDER BY lo0) AS owner, string_agg(file || '@' || lo || '-' || hi, ';' ORDER BY lo0) AS segments FROM sl GROUP BY camera, start, "end")
+  SELECT camera, owner || '_' || lpad((row_number() OVER (PARTITION BY camera, owner ORDER BY start))::VARCHAR, 4, '0') || '.mp4' AS clip_name, start, "end", n_segments::INT AS n_segments, segments FROM m""")
 def event_manifest(s, sf):
-    m = motion.manifest(found_events(s, sf), chain_files(s, sf))
+    p = parts(s, sf).select("camera", "file", (F.col("first_frame") + F.col("start")).alias("first_frame"), (F.col("end") - F.col("start")).alias("frames"), F.col("start").alias("from"), "part", "parts")
+    m = motion.manifest(found_events(s, sf), p)
     text = F.array_join(F.transform("segments", lambda x: F.concat(x["file"], F.lit("@"), x["lo"].cast("string"), F.lit("-"), x["hi"].cast("string"))), ";")
     return m.withColumn("segments", text)
 
 
 @query(f"""WITH {o.FILES} SELECT camera, file, frames, start, "end", part, parts FROM seg_v""")
 def segments(s, sf):
-    return parts(s, sf)
+    return parts(s, sf).drop("first_frame")
 
 
 @query(f"""WITH RECURSIVE {o.FILES}, ord AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY pos) AS rn FROM units_v),
@@ -237,9 +239,11 @@ def dispatch_pieces(s, sf):
     return motion.pack(units(s, sf), 300)
 
 
-@query(f"""WITH {o.FILES}, c AS (SELECT camera, pos, frames, coalesce(sum(frames) OVER (PARTITION BY camera ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(frames) OVER (PARTITION BY camera) AS total,
-    coalesce(pos <> lag(pos) OVER (PARTITION BY camera ORDER BY pos) + 1, false) AS hard_gap FROM units_v)
-  SELECT camera, pos, frames, hard_gap, least(before * 3 // total, 2)::BIGINT AS worker FROM c""")
+@query(f"""WITH RECURSIVE {o.FILES}, ord AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY pos) AS rn, sum(frames) OVER (PARTITION BY camera) AS total FROM units_v),
+  walk(camera, rn, pos, frames, hard_gap, worker, done) AS (SELECT camera, rn, pos, frames, false, 0::BIGINT, frames FROM ord WHERE rn = 1
+    UNION ALL SELECT o.camera, o.rn, o.pos, o.frames, o.pos <> w.pos + 1, CASE WHEN w.worker < 2 AND o.pos <> w.pos + 1 THEN w.worker + 1 ELSE greatest(w.worker, least(w.done * 3 // o.total, 2)) END::BIGINT, w.done + o.frames
+    FROM walk w JOIN ord o ON o.camera = w.camera AND o.rn = w.rn + 1)
+  SELECT camera, pos, frames, hard_gap, worker FROM walk""")
 def worker_spread(s, sf):
     return motion.spread(motion.hard_gaps(units(s, sf)), 3).select("camera", "pos", "frames", "hard_gap", "worker")
 
@@ -339,7 +343,7 @@ def nearest_px(s, sf):
 
 @query(f"""WITH {o.HITS}, w AS (SELECT frame, x1, y1, x2, y2, least(greatest(x2 - x1 + greatest(x2 - x1, y2 - y1), 150.0), 1920.0) AS w, least(greatest(y2 - y1 + greatest(x2 - x1, y2 - y1), 150.0), 1080.0) AS h FROM hits_v),
   l AS (SELECT *, least(greatest((x1 + x2) / 2 - w / 2, 0.0), 1920.0 - w) AS l, least(greatest((y1 + y2) / 2 - h / 2, 0.0), 1080.0 - h) AS t FROM w)
-  SELECT frame, l::DOUBLE AS x1, t::DOUBLE AS y1, (l + w)::DOUBLE AS x2, (t + h)::DOUBLE AS y2 FROM l""")
+  SELECT frame, trunc(l)::BIGINT AS x1, trunc(t)::BIGINT AS y1, trunc(l + w)::BIGINT AS x2, trunc(t + h)::BIGINT AS y2 FROM l""")
 def crop_window(s, sf):
     h = views.hits(s, sf)
     return h.select("frame", geo.crop_window({k: F.col(k) for k in ("x1", "y1", "x2", "y2")}, views.FRAME_W, views.FRAME_H).alias("w")).select("frame", "w.*")
@@ -445,18 +449,23 @@ def unfinished_runs(s, sf):
     return consumers.unfinished_runs(views.runs(s, sf).withColumn("job", F.expr("job * 4 + us div 86400000000 % 4")))
 
 
-@query(f"""WITH {o.DOWNLOADS}, m AS (SELECT *, floor(bytes * 8 / greatest(secs, 1e-6))::BIGINT AS bits FROM down_v)
-  SELECT nvr, n, bits / 1e6 AS mbps, (sum(bits) OVER w / count(*) OVER w) / 1e6 AS last_ten,
-   round(sum(bytes) OVER (PARTITION BY nvr ORDER BY n) * 8 / greatest(sum(secs) OVER (PARTITION BY nvr ORDER BY n), 1e-6) / 1e6, 4) AS overall FROM m
-   WINDOW w AS (PARTITION BY nvr ORDER BY n ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+@query(f"""WITH {o.DOWNLOADS}, m AS (SELECT *, CASE WHEN secs > 0 THEN bytes * 8 / secs / 1e6 END AS mbps FROM begun_v),
+  k AS (SELECT *, count(mbps) OVER (PARTITION BY nvr ORDER BY n) AS k FROM m)
+  SELECT nvr, n, round(mbps, 9) AS mbps, round(avg(mbps) OVER (PARTITION BY nvr ORDER BY k RANGE BETWEEN 9 PRECEDING AND CURRENT ROW), 9) AS last_ten,
+   round(sum(bytes) OVER w * 8 / greatest(max(began + secs) OVER w - min(began) OVER w, 1e-6) / 1e6, 4) AS overall FROM k WINDOW w AS (PARTITION BY nvr ORDER BY n)""")
 def download_speed(s, sf):
     d = consumers.speeds(views.downloads(s, sf))
-    return d.select("nvr", "n", "mbps", "last_ten", F.round("overall", 4).alias("overall"))
+    return d.select("nvr", "n", F.round("mbps", 9).alias("mbps"), F.round("last_ten", 9).alias("last_ten"), F.round("overall", 4).alias("overall"))
 
 
-@query(f"""WITH {o.HITS} SELECT camera, us, frame, sum(frame) OVER w::BIGINT AS recent, count(*) OVER w AS samples FROM hits_v WINDOW w AS (PARTITION BY camera ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW)""".replace("sum(frame) OVER w::BIGINT", "(sum(frame) OVER w)::BIGINT"))
+@query(f"""WITH {o.HITS}, c AS (SELECT camera, us, frame, row_number() OVER (PARTITION BY camera ORDER BY us, frame) AS total FROM hits_v),
+  a AS (SELECT *, max({{'t': us, 'f': frame, 'v': total}}) OVER (PARTITION BY camera ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1800000000 PRECEDING) AS old,
+    first_value({{'t': us, 'f': frame, 'v': total}}) OVER (PARTITION BY camera ORDER BY us, frame) AS one FROM c)
+  SELECT camera, us, frame, us - coalesce(old.t, one.t) AS spanned, CASE WHEN us > coalesce(old.t, one.t) THEN round((total - coalesce(old.v, one.v)) * 1e6 / (us - coalesce(old.t, one.t)), 9) END AS recent FROM a""")
 def recent_rate(s, sf):
-    return consumers.recent_rate(views.hits(s, sf), "camera", "us", "frame", 1_800_000_000).select("camera", "us", "frame", "recent", "samples")
+    c = views.hits(s, sf).select("camera", "us", "frame", F.row_number().over(W.partitionBy("camera").orderBy("us", "frame")).alias("total"))
+    r = consumers.recent_rate(c, "camera", "us", "total", 1_800_000_000, ["frame"])
+    return r.select("camera", "us", "frame", "spanned", F.round(F.col("recent") * 1e6, 9).alias("recent"))
 
 
 @query("""WITH m AS (SELECT event_id, (props->>'$.k')::DOUBLE AS cost FROM events) SELECT event_id, cost, 50.0::DOUBLE AS budget FROM m WHERE cost > 50""")
@@ -476,18 +485,19 @@ def rename_plan(s, sf):
     return consumers.rename_plan(listed, files)
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 5400.0 WHEN 1 THEN (o_custkey % 50) * 60.0 WHEN 2 THEN (o_custkey % 50) * 60.0 + 30 WHEN 3 THEN 3600.0 + 45 ELSE NULL END::DOUBLE AS seconds FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 5400.0 WHEN 5 THEN 5400.0 WHEN 6 THEN 90.0 * 60 WHEN 1 THEN (o_custkey % 50) * 60.0 WHEN 2 THEN (o_custkey % 50) * 60.0 + 30 WHEN 3 THEN 3600.0 + 45 ELSE NULL END::DOUBLE AS seconds FROM orders""")
 def parsed_durations(s, sf):
     c = (F.col("o_custkey") % 50).cast("string")
-    k = F.col("o_orderkey") % 5
-    text = F.when(k == 0, "1h30m").when(k == 1, c).when(k == 2, F.concat(c, F.lit(".5"))).when(k == 3, "1h45s").otherwise("soon")
+    k = F.col("o_orderkey") % 7
+    text = F.when(k == 0, "1h30m").when(k == 5, "1H30M").when(k == 6, " 90m ").when(k == 1, c).when(k == 2, F.concat(c, F.lit(".5"))).when(k == 3, "1h45s").otherwise("soon")
     return table(s, sf, "orders").select("o_orderkey", values.duration_seconds(text).alias("seconds"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate WHEN 1 THEN date_trunc('day', o_orderdate) WHEN 2 THEN TIMESTAMP '2024-02-01 07:05:00' ELSE NULL END AS start FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN o_orderdate WHEN 1 THEN date_trunc('minute', o_orderdate) WHEN 2 THEN TIMESTAMP '2024-02-01 07:05:00' WHEN 3 THEN o_orderdate WHEN 4 THEN NULL ELSE NULL END AS start FROM orders""")
 def parsed_starts(s, sf):
-    k = F.col("o_orderkey") % 4
-    text = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 2, "07:05").otherwise("yesterday")
+    k = F.col("o_orderkey") % 6
+    text = F.when(k == 0, F.date_format("o_orderdate", " yyyy-MM-dd HH:mm:ss ")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")).when(k == 2, "07:05")
+    text = text.when(k == 3, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).when(k == 4, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("yesterday")
     return table(s, sf, "orders").select("o_orderkey", values.parse_start(text, F.lit("2024-02-01").cast("date")).alias("start"))
 
 
@@ -516,9 +526,9 @@ def camera_spec(s, sf):
     return resolve_cameras(s.sql("SELECT 'hall:1,2 yard:3 hall:2,7' AS spec"))
 
 
-@query(f"""WITH {o.DOWNLOADS}, q AS (SELECT nvr, n, n % 7 AS priority, n AS seq FROM down_v WHERE n <= 500) SELECT nvr, seq, priority, row_number() OVER (PARTITION BY nvr ORDER BY priority, seq) AS turn FROM q""")
+@query(f"""WITH {o.DOWNLOADS}, q AS (SELECT nvr, n, n % 7 AS priority, n AS seq FROM down_v) SELECT nvr, seq, priority, row_number() OVER (PARTITION BY nvr ORDER BY priority, seq) AS turn FROM q""")
 def service_order(s, sf):
-    q = views.downloads(s, sf).where("n <= 500").select("nvr", F.col("n").alias("seq"), (F.col("n") % 7).alias("priority"))
+    q = views.downloads(s, sf).select("nvr", F.col("n").alias("seq"), (F.col("n") % 7).alias("priority"))
     return consumers.queue_order(q).withColumn("turn", F.col("turn").cast("long"))
 
 
@@ -560,12 +570,11 @@ def ema_motion_score(s, sf):
     return vision.background_scores(f).select("camera", "idx", F.round("score", 6).alias("score"))
 
 
-@query("""WITH k AS (SELECT [exp(-0.5 * power(d / 1.0, 2)) FOR d IN range(-3, 4)] AS g), w AS (SELECT [x / list_sum(g) FOR x IN g] AS w FROM k)
-  SELECT vec_id, round(list_sum([coalesce(CASE WHEN 10 + d BETWEEN 1 AND len(embedding) THEN embedding[10 + d]::DOUBLE END, 0.0) * w[d + 4] FOR d IN range(-3, 4)]), 6) AS tenth,
-   round(list_sum([coalesce(CASE WHEN 1 + d BETWEEN 1 AND len(embedding) THEN embedding[1 + d]::DOUBLE END, 0.0) * w[d + 4] FOR d IN range(-3, 4)]), 6) AS first FROM embeddings, w""")
+@query("""WITH k AS (SELECT [exp(-0.5 * power(d / 1.0, 2)) FOR d IN range(-3, 4)] AS g), w AS (SELECT [x / list_sum(g) FOR x IN g] AS w FROM k), e AS (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
+  SELECT vec_id, (i - 1)::BIGINT AS pos, round(list_sum([coalesce(CASE WHEN i + d BETWEEN 1 AND len(embedding) THEN embedding[i + d]::DOUBLE END, 0.0) * w[d + 4] FOR d IN range(-3, 4)]), 6) AS value FROM e, w""")
 def array_blur(s, sf):
     b = vision.blur(F.col("embedding").cast("array<double>"), 1.0)
-    return table(s, sf, "embeddings").select("vec_id", b.alias("b")).select("vec_id", F.round(F.col("b")[9], 6).alias("tenth"), F.round(F.col("b")[0], 6).alias("first"))
+    return table(s, sf, "embeddings").select("vec_id", F.posexplode(b).alias("pos", "v")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("value"))
 
 
 @query("""SELECT vec_id, len([i FOR i IN range(1, len(embedding) + 1) IF i % 3 = 0 AND abs(embedding[i]) > 0.1]) / len([i FOR i IN range(1, len(embedding) + 1) IF i % 3 = 0]) AS score FROM embeddings""")
@@ -575,6 +584,113 @@ def foreground_share(s, sf):
     return table(s, sf, "embeddings").select("vec_id", vision.foreground_share(mask, region).alias("score"))
 
 
+# files and frames -----------------------------------------------------------------------------------------
+
+
+@query("""WITH f AS (SELECT o_orderkey AS file, o_custkey AS length, epoch_us(o_orderdate) AS mtime FROM orders), found AS (SELECT * FROM f WHERE file % 7 <> 2),
+  known AS (SELECT file, length + CASE WHEN file % 11 = 0 THEN 1 ELSE 0 END AS length, mtime + CASE WHEN file % 13 = 0 THEN 1 ELSE 0 END AS mtime FROM f WHERE file % 5 <> 1)
+  SELECT coalesce(a.file, b.file) AS file, CASE WHEN b.file IS NULL THEN 'new' WHEN a.file IS NULL THEN 'gone' ELSE 'changed' END AS change
+  FROM found a FULL JOIN known b ON a.file = b.file WHERE a.file IS NULL OR b.file IS NULL OR a.length <> b.length OR a.mtime <> b.mtime""")
+def changed_files(s, sf):
+    from weir.sources.files import changed_files
+
+    f = table(s, sf, "orders").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("length"), views.micros("o_orderdate").alias("mtime"))
+    bump = lambda c, k: F.col(c) + F.when(F.col("file") % k == 0, 1).otherwise(0)
+    known = f.where("file % 5 <> 1").select("file", bump("length", 11).alias("length"), bump("mtime", 13).alias("mtime"))
+    return changed_files(f.where("file % 7 <> 2"), known)
+
+
+@query("""WITH f AS (SELECT o_custkey, string_agg('in/' || o_orderkey || '|' || o_custkey || '|' || epoch(o_orderdate)::BIGINT, chr(10) ORDER BY o_orderkey) AS files FROM orders GROUP BY o_custkey)
+  SELECT o_custkey AS job, sha256(files || chr(10) || CASE WHEN o_custkey % 2 = 0 THEN 'region r.json|1|7' ELSE 'no region' END || chr(10) || 'frame_skip=3' || chr(10) || 'threshold=' || o_custkey) AS fp FROM f""")
+def motion_fingerprint(s, sf):
+    k = table(s, sf, "orders")
+    one = F.struct("o_orderkey", F.concat(F.lit("in\\"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_custkey").alias("size"), (views.micros("o_orderdate") / 1e6).alias("mtime"))
+    g = k.groupBy("o_custkey").agg(F.array_sort(F.collect_list(one)).alias("files"))
+    region = F.when(F.col("o_custkey") % 2 == 0, F.struct(F.lit("r.json").alias("path"), F.lit(1).alias("size"), F.lit(7.9).alias("mtime")))
+    fp = values.motion_fingerprint(F.col("files"), region, {"threshold": F.col("o_custkey"), "frame_skip": F.lit(3), "workers": F.col("o_custkey") % 5})
+    return g.select(F.col("o_custkey").alias("job"), fp.alias("fp"))
+
+
+@query(f"WITH {o.RAW} SELECT file, fps, frames::BIGINT AS frames, frames / fps AS duration FROM raw_v")
+def probed_files(s, sf):
+    from weir.sources import frames
+
+    ship(s)
+    return frames.probe(views.raw_files(s, sf)).select("file", "fps", "frames", "duration")
+
+
+@query(f"""WITH {o.RAW} SELECT camera, first_frame + frame AS idx, file, frame, ((k + byte0) % 256 + (k + byte0 + 1) % 256 + (k + byte0 + 2) % 256 + (k + byte0 + 3) % 256)::BIGINT AS light FROM raw_frame_v""")
+def chained_frames(s, sf):
+    """Every frame of every camera's chain of files, numbered through."""
+    from weir.sources import frames
+
+    ship(s)
+    files = views.raw_files(s, sf)
+    c = frames.chain(frames.probe(files)).select("file", "first_frame")
+    f = frames.read_frames(files.join(c, "file"))
+    return f.select("camera", "idx", "file", "frame", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + x).alias("light"))
+
+
+@query(f"""WITH {o.RAW} SELECT file, frame / fps AS "offset", ((k + byte0) % 256)::BIGINT AS first FROM raw_frame_v WHERE frame % 3 = 0""")
+def keyframe_offsets(s, sf):
+    from weir.sources import frames
+
+    ship(s)
+    return frames.keyframes(views.raw_files(s, sf)).select("file", "offset", F.col("pixels")[0].cast("long").alias("first"))
+
+
+@query(f"""WITH {o.RAW}, q AS (SELECT k AS id, file, frames / fps / 2 AS mid FROM raw_v)
+  SELECT q.id, q.file, min(f.frame / f.fps) AS "offset" FROM q LEFT JOIN raw_frame_v f ON f.file = q.file AND f.frame % 3 = 0 AND f.frame / f.fps >= q.mid - 0.05 GROUP BY q.id, q.file""")
+def grabbed_keyframes(s, sf):
+    from weir.sources import frames
+
+    ship(s)
+    files = views.raw_files(s, sf)
+    p = frames.probe(files)
+    asked = p.select(F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("id"), "file", (F.col("duration") / 2).alias("offset"))
+    return frames.grab_keyframe(frames.keyframes(files), asked, 0.05).select("id", "file", "offset")
+
+
+@query(f"""WITH {o.SESSIONS}, i AS (SELECT target || '_' || camera || '_' || session AS image, best_frame AS frame FROM sightings_v WHERE session % 5 <> 4)
+  SELECT camera, target, start_us, i.frame FROM sightings_v JOIN i ON i.image = target || '_' || camera || '_' || session""")
+def picture_frames(s, sf):
+    d = sighted(s, sf).withColumn("image", F.concat_ws("_", "target", F.col("camera").cast("string"), F.col("session").cast("string")))
+    return consumers.frames_of_images(d, d.where("session % 5 <> 4").select("image", F.col("best_frame").alias("frame"))).select("camera", "target", "start_us", "frame")
+
+
+@query(f"WITH {o.HITS} SELECT frame FROM hits_v WHERE least(x2, 1000) > x1 AND least(y2, 500) > y1")
+def whole_crops(s, sf):
+    h = views.hits(s, sf)
+    return consumers.whole_crops(h.withColumns({"x2": F.least("x2", F.lit(1000.0)), "y2": F.least("y2", F.lit(500.0))})).select("frame")
+
+
+@query("""WITH p AS (SELECT p_partkey || '.jpg' AS picture, p_partkey, p_size % 4 AS n FROM part)
+  SELECT picture, 'raw' AS kind, 'raw/' || picture AS name FROM p UNION ALL SELECT picture, 'overlay', 'overlay/' || picture FROM p
+  UNION ALL SELECT picture, 'crop', 'crop/' || CASE WHEN n = 1 THEN picture ELSE p_partkey || '-' || i || '.jpg' END FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM p)""")
+def picture_fan_out(s, sf):
+    p = table(s, sf, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("picture"), (F.col("p_size") % 4).cast("int").alias("crops"))
+    return consumers.fan_out_pictures(p)
+
+
+@query(f"WITH {o.CLIPS} SELECT 'in/' || clip || '.mp4' AS source, 'out/' || clip || '.mp4' AS target, 'copy' AS action FROM sets_v")
+def clip_transfers(s, sf):
+    return consumers.transfers(sets(s, sf).select(F.concat(F.lit("in/"), F.col("clip").cast("string"), F.lit(".mp4")).alias("file")), "out")
+
+
+@query(f"""WITH {o.SESSIONS}, p AS (SELECT frame, (x1 + x2) / 2 AS x, y2 AS y FROM hits_v),
+  d AS (SELECT p.frame, e.shape, sum(CASE WHEN (CASE WHEN ay > y THEN 1 ELSE 0 END) <> (CASE WHEN cy > y THEN 1 ELSE 0 END) AND x < ax + (y - ay) * (bx - ax) / (cy - ay) THEN 1 ELSE 0 END) % 2 = 1 AS inside,
+    min(sqrt(power(x - (ax + greatest(0.0, least(1.0, ((x - ax) * (bx - ax) + (y - ay) * (cy - ay)) / ((bx - ax) * (bx - ax) + (cy - ay) * (cy - ay)))) * (bx - ax)), 2)
+      + power(y - (ay + greatest(0.0, least(1.0, ((x - ax) * (bx - ax) + (y - ay) * (cy - ay)) / ((bx - ax) * (bx - ax) + (cy - ay) * (cy - ay)))) * (cy - ay)), 2))) AS far
+    FROM p, {_EDGES} GROUP BY p.frame, e.shape),
+  n AS (SELECT camera, target, session, min(CASE WHEN inside THEN 0.0 ELSE far END) AS px FROM d JOIN ses_v USING (frame) GROUP BY camera, target, session)
+  SELECT camera, target, start_us, round_even((end_us - start_us) / 1e6, 1)::DOUBLE AS duration_s, hits, round_even(max_conf, 3)::DOUBLE AS max_conf, raw_classes, round_even(px, 0)::DOUBLE AS nearest_px, source FROM sightings_v JOIN n USING (camera, target, session)""")
+def sightings_table(s, sf):
+    """Sightings as their table shows them: rounded, with the region's distance by session, in order of start and target."""
+    d = sightings.camera_sightings(views.hits(s, sf), GAP, distance=geo.region_distance(views.REGION, (F.col("x1") + F.col("x2")) / 2, F.col("y2")))
+    d = sightings.output_columns(d.withColumn("duration_s", (F.col("end_us") - F.col("start_us")) / 1e6))
+    return d.select("camera", "target", "start_us", "duration_s", "hits", "max_conf", "raw_classes", "nearest_px", "source")
+
+
 # streams --------------------------------------------------------------------------------------------------
 
 
@@ -605,3 +721,18 @@ def replay_keyframes(s, sf):
     ship(s)
     s.dataSource.register(ReplaySource)
     return s.read.format("replay").option("keyframesOnly", "true").load().select("chunk", "offset", "value")
+
+
+@query(f"""WITH {o.FRAMES}, x AS (SELECT camera, max(idx) AS last FROM frames_v GROUP BY camera)
+  SELECT camera, start, confirmed_at, "end" FROM mev_v JOIN x USING (camera) WHERE "end" < last""")
+def stream_motion_events(s, sf):
+    """Motion events as a stream gives them: each once it has ended, so one that the chain's end cuts off isn't there yet."""
+    from weir.streaming.run import drain
+    from weir.streaming.sightings import stream_events
+
+    ship(s)
+    path = scratch(s, "frames")
+    flags(s, sf).select("camera", "idx", "motion").write.parquet(path)
+    ended = flags(s, sf).groupBy(F.col("camera").alias("__c")).agg(F.max("idx").alias("__last"))
+    out = drain(s, f"{path}/*.parquet", lambda f: stream_events(f, 3, 4, 6), "append")
+    return out.join(ended, F.col("camera") == F.col("__c")).where(F.col("end") < F.col("__last")).select("camera", "start", "confirmed_at", "end")

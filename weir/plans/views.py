@@ -96,7 +96,7 @@ def downloads(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     n = F.row_number().over(W.partitionBy(F.col("l_suppkey") % 5).orderBy(*order))
-    return li.select((F.col("l_suppkey") % 5).alias("nvr"), n.cast("long").alias("n"), F.round(F.col("l_extendedprice") * 1000).cast("long").alias("bytes"), F.col("l_quantity").alias("secs"))
+    return li.select((F.col("l_suppkey") % 5).alias("nvr"), n.cast("long").alias("n"), F.round(F.col("l_extendedprice") * 1000).cast("long").alias("bytes"), (F.col("l_quantity") - 1).alias("secs"), (n * 2.0).alias("began"))
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,6 +106,19 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("user_id").alias("job"), micros("ts").alias("us"), "event_id", kind.alias("type"), (F.col("value") * 100).alias("frames")).where("type is not null")
 
 
+def raw_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw files of four cameras with their bytes: 2 x 2 pixels a frame, some files short, some without a rate."""
+    from weir.sources.frames import raw_file
+
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
+    frames = F.col("z") % 7 + 1
+    there = (frames - F.when(F.col("k") % 5 == 0, 1).otherwise(0)) * 4
+    byte = lambda i: F.lpad(F.hex((F.col("k") + i) % 256), 2, "0")
+    pixels = F.unhex(F.when(there > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), there.cast("long") - 1), byte), "")).otherwise(""))
+    content = raw_file(F.col("z") % 3 * 12.5, F.lit(2), F.lit(2), frames, F.lit(3), pixels)
+    return p.select((F.col("k") % 4).alias("camera"), F.concat(F.lit("clip"), F.col("k").cast("string"), F.lit(".raw")).alias("file"), content.alias("content"))
+
+
 #: Two shapes of a region, as drawn on a 1920 x 1080 frame.
 REGION = [[(400, 300), (900, 250), (1000, 700), (450, 800)], [(1200, 100), (1500, 100), (1350, 400)]]
 FRAME_W, FRAME_H = 1920, 1080

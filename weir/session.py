@@ -38,6 +38,19 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: below the cluster's checkpoint folder, in a temporary one only for a local session."""
+    import tempfile
+    import uuid
+
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="weir-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder, read through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

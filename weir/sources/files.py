@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.functions.names import export_entry, is_video, natural_key, posix, stamp_to_name
+from weir.functions.names import VIDEO_KINDS, export_entry, is_video, natural_key, posix, stamp_to_name
 
 HIT = "file string, offset double, target string, cls string, conf double, box array<double>"
 CAMERA_HIT = "t string, target string, cls string, conf double, box array<double>, frame string, src string"
@@ -23,10 +23,13 @@ def find_videos(spark: SparkSession, folder: str, recursive: bool = False, exclu
     """Recordings of a folder (or one file): rel, length, mtime; contents aren't read. ``exclude`` leaves out a subtree."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     found = found.select("path", "length", F.unix_timestamp("modificationTime").alias("mtime")).where(is_video(F.col("path")))
-    if exclude:
-        found = found.where(~F.contains(F.col("path"), F.lit(exclude.rstrip("/") + "/")))
     base = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
-    rel = F.regexp_replace(posix(F.col("path")), rf"^.*{base}/", "")
+    # what follows the folder's first mention; a file named as the folder itself keeps its name
+    rel = F.substring_index(posix(F.col("path")), "/", -1) if base.rsplit(".", 1)[-1].lower() in VIDEO_KINDS else F.substr(F.col("path"), F.instr(F.col("path"), F.lit(base + "/")) + F.lit(len(base) + 1))
+    if exclude:
+        out = exclude.rstrip("/").split(":", 1)[-1].lstrip("/")
+        at = out[len(base) + 1 :] if out.startswith(base + "/") else out
+        found = found.where(~F.startswith(rel, F.lit(at + "/")))
     found = found.select(rel.alias("file"), "length", "mtime")
     return found.orderBy(natural_key(F.col("file")) if natural else F.col("file"))
 
@@ -84,9 +87,78 @@ def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def rebuild_csv(rows: DataFrame, path: str) -> None:
-    """Replace a table; readers see the old or the new one. Missing values are empty."""
-    rows.write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(path)
+def append_log(rows: DataFrame, path: str) -> bool:
+    """Append records to a run log, best effort: a log that can't be written never stops the run."""
+    try:
+        append_json(rows, path)
+        return True
+    except Exception as e:  # whatever the store raises
+        print(f"run log {path}: {type(e).__name__}: {str(e)[:200]}")
+        return False
+
+
+def replace_file(spark: SparkSession, new: str, path: str, tries: int = 50, wait: float = 0.1) -> bool:
+    """Put the file ``new`` in the place of ``path`` in one step; a reader that holds the old one is waited for, then ``new`` is dropped."""
+    import time
+
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    context = fs.FileContext.getFileContext(fs.Path(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration()) if "://" in path else fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark.sparkContext._jvm.java.lang.Enum.valueOf(spark.sparkContext._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), "OVERWRITE")
+    for _ in range(tries):
+        try:
+            context.rename(fs.Path(new), fs.Path(path), overwrite)
+            return True
+        except Exception:  # held open by a reader
+            time.sleep(wait)
+    context.delete(fs.Path(new), True)
+    return False
+
+
+def rebuild_csv(rows: DataFrame, path: str) -> bool:
+    """Replace a table's one file in one step: readers see the old or the new one, and a rebuild that fails leaves the old one. Missing values are empty, the file starts with a byte order mark.
+
+    The table is written aside first, so nothing is touched before the query has succeeded.
+    """
+    import uuid
+
+    spark = rows.sparkSession
+    aside = f"{path}.{uuid.uuid4().hex}.part"
+    marked = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = fs.Path(aside)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        marked.coalesce(1).write.option("header", "true").option("emptyValue", "").csv(aside)
+        parts = [f.getPath().toString() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")]
+        return replace_file(spark, parts[0], path)
+    finally:
+        store.delete(folder, True)
+
+
+def read_env(spark: SparkSession, path: str) -> dict[str, str]:
+    """``KEY=value`` lines of a settings file; blank lines, comments and lines without a sign are left out, quotes are dropped, the last of a key counts."""
+    jvm = spark.sparkContext._jvm  # names that begin with a dot are hidden from Spark's own readers
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return {}
+    stream = store.open(where)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    lines = [x.strip() for x in text.splitlines()]
+    pairs = [x.split("=", 1) for x in lines if x and not x.startswith("#") and "=" in x]
+    return {k.strip(): v.strip().strip('"') for k, v in pairs}
+
+
+def changed_files(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(file, change): files that are new, changed (another size or time) or gone since ``known``, both (file, length, mtime)."""
+    k = known.select("file", F.col("length").alias("__l"), F.col("mtime").alias("__m"), F.lit(True).alias("__k"))
+    j = found.withColumn("__f", F.lit(True)).join(k, "file", "full")
+    change = F.when(F.col("__k").isNull(), "new").when(F.col("__f").isNull(), "gone").when(~(F.col("length").eqNullSafe(F.col("__l")) & F.col("mtime").eqNullSafe(F.col("__m"))), "changed")
+    return j.select("file", change.alias("change")).where("change is not null")
 
 
 def write_cameras(rows: DataFrame, path: str) -> None:
