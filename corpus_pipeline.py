@@ -1,7 +1,15 @@
 """A corpus pipeline: quality, toxicity, near-duplicates, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but the last
-return the columns of documents. ``run`` writes each result as Parquet to the shared folder and reads it again.
+return the columns of documents. ``run`` writes each result as Parquet to the shared folder and reads it again; a stage's table is
+removed once the next one is written.
+
+Defined results, in every stage: a null text counts as empty. An empty text is judged by its score like any other, is a group of
+its own with other empty texts, has no words to mix (so the mix drops it) and no ids. A null id keeps its row: it is scored,
+stands in its group after all ids, and is mixed and encoded. A null source is a source of its own; a null in any other column passes through.
+Repeated rows score alike and leave one row; unrelated texts that share an id each stay. Equal scores at a threshold are kept by quality and rejected by
+toxicity. Very long texts are one row and are treated whole. Other columns pass through all stages but the last, whatever their names. An empty table gives an
+empty table in each stage.
 """
 
 from __future__ import annotations
@@ -9,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weir.llm import mixing, quality, sentencepiece, simhash, toxicity
-from weir.llm._shared import scratch_path
+from weir.llm._shared import remove_folder, scratch_path
 from weir.session import ship, table
 
 
@@ -57,9 +65,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES[:-1]):
         out = scratch_path(spark, f"pipeline-{i}")
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            remove_folder(spark, before)
+        before = out
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -77,6 +77,15 @@ def test_dedup_keeps_one_of_each_group_and_all_columns(spark):
     assert sorted((r.doc_id or -1, r.text) for r in got.collect()) == [(-1, "lonely words of none"), (1, "a b c d"), (3, "other text here now")]
 
 
+def test_dedup_keeps_unrelated_texts_of_one_id(spark):
+    texts = {"one": "alpha beta gamma delta epsilon zeta", "two": "red orange yellow green blue indigo violet", "three": "do re mi fa so la ti do"}
+    rows = [(7, texts["one"], 1), (7, texts["two"], 2), (2, texts["two"], 3), (7, texts["three"], 4), (7, texts["three"], 5), (None, texts["one"].upper(), 6), (None, "nobody's own words stand here", 7), (None, None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    for how in ({}, {"size": 5, "similarity": 0.8}):
+        got = sorted((r.doc_id or 0, r.text or "") for r in simhash.dedup(df, **how).collect())
+        assert got == sorted([(7, texts["one"]), (2, texts["two"]), (7, texts["three"]), (0, "nobody's own words stand here"), (0, "")])
+
+
 def test_empty_tables(spark):
     assert simhash.simhash_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

@@ -6,6 +6,29 @@ from conftest import SF
 from weir.llm import simhash
 
 
+def test_odd_rows_in_every_stage(spark):
+    """Nulls, empty, repeated and very long texts, clashing columns and an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = [r.text for r in corpus_pipeline.keep_good(spark, docs.limit(40), SF).limit(6).collect()]
+    assert len(good) == 6
+    rows = [(None, good[0], None), (1, good[0], "a"), (2, None, "a"), (2, None, "a"), (3, "", None), (4, good[1], "b"), (4, good[2], "b"), (4, good[2], "b"), (5, good[3] + " and so on" * 30_000, "b"), (6, good[4], "c")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr(
+        "*", "'en' AS lang", "length(text) AS n_chars", "1.5D AS score", "'x' AS quality_score", "'x' AS toxicity_score", "7L AS fp", "8 AS size", "9 AS shard", "array(1) AS pieces", "'k' AS __fp"
+    )
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        if stage is not corpus_pipeline.to_pieces:
+            assert out.columns == odd.columns, name
+        got = out.collect()
+        if name == "simhash near-dedup":
+            assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, good[0]), (2, ""), (4, good[1]), (4, good[2]), (5, rows[8][1]), (6, good[4])])
+        if name == "mixing sources":
+            assert {r.text for r in got} <= {r[1] for r in rows if r[1]} and all(r.fp == 7 and r.pieces == [1] for r in got)
+        if name == "sentencepiece":
+            assert len(got) == len(rows) and all(r.exact for r in got)
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+
+
 def test_pipeline(spark, tmp_path):
     docs = first = spark.read.parquet(f"{SF}/documents.parquet")
     counts = [docs.count()]

@@ -11,6 +11,7 @@
 4. Broadcasting every tree to every executor would grow with the data. Trees are sent
    only where they are asked for: a bucket of more than ``shard_size`` fingerprints is cut
    into shard trees of at most about that size, and the bucket's queries are sent to each of them.
+   Before that, a crowded bucket is cut by the bits outside its block, again without losing a pair.
 5. A bucket gives a spanning forest of its links (fewer links than fingerprints), never
    all pairs. Components come from checkpointed star rounds.
 
@@ -31,7 +32,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm._shared import durable, lean_batches, texts
@@ -153,43 +154,75 @@ def forest(values: np.ndarray, members: np.ndarray, radius: int) -> tuple[np.nda
 
 def _bucket_links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for b in batches if b.num_rows]
-        if not parts:
-            return
-        bucket, shard, fp, member = (np.concatenate(x) for x in zip(*parts))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((fp, shard, bucket))
-        bucket, shard, fp, member = bucket[order], shard[order], fp[order], member[order]
-        starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (shard[1:] != shard[:-1])])
-        ends = np.r_[starts[1:], len(bucket)]
-        a, b = [], []
-        for s, e in zip(starts, ends):
-            if e - s > 1:
-                x, y = forest(fp[s:e], np.flatnonzero(member[s:e]), radius)
-                a.append(x)
-                b.append(y)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], names=["a", "b"])
+        """Rows sorted by bucket, shard and fp; only the bucket at hand is held."""
+
+        def links(cols, whole):
+            bucket, shard, fp, member = cols
+            starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (shard[1:] != shard[:-1])])
+            last = len(bucket) if whole else starts[-1]
+            a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for s, e in zip(starts, np.r_[starts[1:], len(bucket)]):
+                if e <= last and e - s > 1:
+                    x, y = forest(fp[s:e], np.flatnonzero(member[s:e]), radius)
+                    a.append(x)
+                    b.append(y)
+            rest = [c[last:] for c in cols]
+            return rest, pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            cols[2] = cols[2].view(np.uint64)
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            held, found = links(held, False)
+            yield found
+        if held is not None and len(held[0]):
+            yield links(held, True)[1]
 
     return run
 
 
+def _blocks_of(value: Column, bits: int, parts: int) -> list[Column]:
+    """The bits of a value in ``parts`` blocks."""
+    out, at = [], 0
+    for i in range(parts):
+        width = bits // parts + (i < bits % parts)
+        out.append(F.shiftrightunsigned(value, at).bitwiseAND(F.lit((1 << width) - 1)))
+        at += width
+    return out
+
+
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
-    """Spanning links (a, b) of the graph that joins distinct fingerprints ``fp`` within ``radius`` bits."""
-    blocks, at, keys = radius + 1, 0, []
-    for i in range(blocks):
-        width = 64 // blocks + (i < 64 % blocks)
-        value = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
-        keys.append(F.lit(i).cast("long") * F.lit(1 << 48) + value if width <= 48 else F.xxhash64(F.lit(i), value))
+    """Spanning links (a, b) of the graph that joins distinct fingerprints ``fp`` within ``radius`` bits.
+
+    A bucket is one value of one bit block. The bits outside the block of a crowded bucket are cut into blocks again: two of its fingerprints within
+    the radius agree on one of those too, so the bucket falls into smaller ones and no pair is lost. What is crowded even then is cut into shard trees.
+    """
+    parts, at = radius + 1, 0
+    buckets = []
+    for i, value in enumerate(_blocks_of(F.col("fp"), 64, parts)):
+        width = 64 // parts + (i < 64 % parts)
+        high = F.shiftleft(F.shiftrightunsigned("fp", at + width), at) if at + width < 64 else F.lit(0).cast("long")
+        rest = high.bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << at) - 1)))
+        bucket = F.xxhash64(F.lit(i), value)
+        inner = [F.xxhash64(F.lit(i), value, F.lit(j), v) for j, v in enumerate(_blocks_of(rest, 64 - width, parts))]
+        buckets.append(F.struct(bucket.alias("bucket"), F.array(*inner).alias("inner")))
         at += width
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("bucket"))
-    hot = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_size)
-    hot = hot.select(F.col("bucket").alias("hot"), F.ceil(F.col("n") / shard_size).cast("int").alias("shards"))
-    put = rows.join(hot, F.col("bucket") == F.col("hot"), "left").select("bucket", "fp", F.coalesce("shards", F.lit(1)).alias("shards"))
+    rows = fps.select("fp", F.explode(F.array(*buckets)).alias("b")).select("fp", "b.*")
+
+    def crowded(some):
+        many = some.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_size)
+        return many.select(F.col("bucket").alias("hot"), F.ceil(F.col("n") / shard_size).cast("int").alias("shards"))
+
+    rows = rows.join(crowded(rows).select("hot"), F.col("bucket") == F.col("hot"), "left")
+    rows = rows.select("fp", F.explode(F.when(F.col("hot").isNull(), F.array("bucket")).otherwise(F.col("inner"))).alias("bucket"))
+    put = rows.join(crowded(rows), F.col("bucket") == F.col("hot"), "left").select("bucket", "fp", F.coalesce("shards", F.lit(1)).alias("shards"))
     put = put.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int"))
     put = put.select("bucket", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "fp", "own")
     put = put.select("bucket", "shard", "fp", (F.col("own") == F.col("shard")).alias("member"))
-    return put.repartition("bucket", "shard").mapInArrow(_bucket_links(radius), "a long, b long")
+    return put.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", "fp").mapInArrow(_bucket_links(radius), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shard_size: int = SHARD_SIZE, size: int = WORDS_A_SHINGLE) -> DataFrame:
@@ -313,25 +346,28 @@ def similar_groups(docs: DataFrame, similarity: float, size: int, radius: int =
 
 
 def dedup(docs: DataFrame, radius: int | None = None, size: int = WORDS_A_SHINGLE, similarity: float | None = None) -> DataFrame:
-    """The documents with one of each group left: that of the least id (any one, of repeated ids).
+    """The documents with one row of each group left: that of the least id (of such rows, that of the least fingerprint or key).
 
     With ``similarity``, groups are those of ``similar_groups`` over shingles of ``size`` words; else fingerprints of ``size`` words within ``radius`` bits.
+    Rows are told apart by id and text, so unrelated texts that share an id, or have none, each stay.
     """
     if similarity is None:
         groups, mark = simhash_groups(docs, RADIUS if radius is None else radius, size=size), lambda t: fingerprint(t, size)
     else:
         groups, mark = similar_groups(docs, similarity, size, WIDE_RADIUS if radius is None else radius), lambda t: set_key(shingle_hashes(t, size)) & (1 << 64) - 1
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    nameless = groups.where(F.col("doc_id").isNull() & F.col("component_id").isNull())
-    keep = first.select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = nameless.select("fp", "component_fp")
-    if nameless.isEmpty():
+    groups = durable(groups.select("doc_id", "fp", "component_fp", "component_id"))
+    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_fp").agg(F.min("component_id").alias("__id"), F.min("fp").alias("__fp"))
+    # an id whose rows lie in several groups says too little; those rows are found by their texts
+    several = groups.groupBy("doc_id").agg(F.min("component_fp").alias("__a"), F.max("component_fp").alias("__b")).where("doc_id is null or __a <> __b")
+    several = durable(several.select(F.col("doc_id").alias("__several")))
+    plain = chosen.join(several, F.col("__id").eqNullSafe(F.col("__several")), "left_anti").select("__id")
+    kept = docs.join(plain, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    if several.isEmpty():
         return kept
-    chosen = nameless.groupBy("component_fp").agg(F.min("fp").alias("__fp"))
-    body = docs.where(F.col("doc_id").isNull()).select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__text"))
+    body = docs.join(several, F.col("doc_id").eqNullSafe(F.col("__several")), "left_semi").select(F.struct(*docs.columns).alias("__row"), F.col("text").cast("string").alias("__text"))
     found = body.mapInArrow(_rows_with_mark(mark), body.select("__row").schema.add("fp", "long"))
-    one = found.join(chosen, F.col("fp") == F.col("__fp"), "left_semi").dropDuplicates(["fp"])
+    one = found.join(chosen, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")), "left_semi")
+    one = one.withColumn("__i", F.col("__row.doc_id")).dropDuplicates(["__i", "fp"])
     return kept.unionByName(one.select("__row.*"))
 
 
