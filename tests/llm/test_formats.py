@@ -85,6 +85,32 @@ def test_viterbi_is_the_best_path():
         assert sentencepiece.viterbi(p, some) == [sentencepiece.plain_viterbi(p, w) for w in some]
 
 
+def test_long_words_take_the_same_path(monkeypatch):
+    p = sentencepiece.load(sentencepiece.model_path())
+    rng = np.random.default_rng(2)
+    words = ["a" * 700, "".join(rng.choice(list("abcdetinsr①é"), 3000)), " " + "the" * 300, "①" * 5, "x"]
+    for w in words:
+        want = sentencepiece.plain_viterbi(p, w)
+        assert sentencepiece.long_viterbi(p, w) == sentencepiece.long_viterbi(p, w, 64) == want
+    monkeypatch.setattr(sentencepiece, "LONG_WORD", 100)
+    assert sentencepiece.viterbi(p, [words[0]] * 2) == [sentencepiece.plain_viterbi(p, words[0])] * 2
+    import time
+
+    began = time.perf_counter()
+    assert len(sentencepiece.long_viterbi(p, "ab" * 100_000)) > 0 and time.perf_counter() - began < 20
+
+
+def test_whole_texts_equal_an_uncut_path():
+    p = sentencepiece.load(sentencepiece.model_path())
+    encode = sentencepiece.encoder(sentencepiece.model_path())
+    texts = [t for t in ODD if t] + [x["text"][:400] for x in pq.read_table(f"{SF}/documents.parquet").slice(0, 12).to_pylist()]
+    for t, ids in zip(texts, encode(texts)):
+        score = dict(zip(p.ids.tolist(), p.scores.tolist()))
+        total = lambda b: sum(score.get(i, 0.0) for i in np.frombuffer(b, "<u2").tolist())  # noqa: E731, B023
+        whole = sentencepiece.plain_viterbi(p, (" " + t if p.prefix else t).replace("▁", " "))
+        assert total(ids) == pytest.approx(total(whole)) and sentencepiece.decode(p, np.frombuffer(ids, "<u2").tolist()) == t.replace("▁", " ").encode()
+
+
 def test_brute_force_over_all_segmentations():
     p = sentencepiece.load(sentencepiece.model_path())
     score = dict(zip(p.texts, p.scores))

@@ -12,7 +12,7 @@ pair by pair gives its own segmentation. Characters outside the pieces fall back
 Decoding joins pieces, turns the meta symbol back into spaces and drops the one leading space of encoding, so texts come back
 exactly, except that a meta symbol of the text itself becomes a space.
 
-Defined results: null text counts as empty; an empty text has no ids; very long words take time in proportion to their length;
+Defined results: null text counts as empty; an empty text has no ids; words beyond ``LONG_WORD`` characters take a path of their own, in time and memory proportional to their length;
 ids outside the model decode as the unknown mark; repeated rows give repeated results.
 """
 
@@ -35,6 +35,7 @@ from weir.session import ship
 META = "▁"
 UNKNOWN_MARK = " ⁇ "
 UNKNOWN_PENALTY = 10.0
+LONG_WORD = 2_000  #: characters from which a word is walked by itself: a step over ends costs the same for one word as for a thousand
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  #: fixed values of the model format
@@ -135,6 +136,8 @@ def _substrings(prefixes: np.ndarray, n: int) -> np.ndarray:
 def viterbi(p: Pieces, words: list[str]) -> list[bytes]:
     """ids of words of equal length, packed as little-endian 16-bit numbers (32-bit beyond 65,536 pieces)."""
     n, size = len(words), len(words[0])
+    if size > LONG_WORD:
+        return [long_viterbi(p, w) for w in words]
     if n * size > 2_000_000 and n > 1:
         half = n // 2
         return viterbi(p, words[:half]) + viterbi(p, words[half:])
@@ -181,6 +184,63 @@ def viterbi(p: Pieces, words: list[str]) -> list[bytes]:
     return out
 
 
+def long_viterbi(p: Pieces, word: str, block: int = 65_536) -> bytes:
+    """The same path for one long word: pieces are probed a block of ends at a time, and the walk over ends keeps two numbers each."""
+    from array import array
+
+    kind = "<u2" if len(p.surface) <= 65_536 else "<u4"
+    best, back, row = array("d", [0.0]), array("i", [0]), array("i", [-1])
+    scores = p.scores
+    for at in range(0, len(word), block):
+        begin, end = max(0, at - p.longest), min(len(word), at + block)
+        prefixes = _prefixes_of(_codes([word[begin:end]], end - begin)[0])
+        found: list[list[tuple[int, float, int]]] = [[] for _ in range(end - at)]
+        for m in range(min(end - begin, p.longest), 0, -1):  # the earliest start comes first and keeps ties
+            keys = _substrings(prefixes[None, :], m)[0]
+            place = np.minimum(np.searchsorted(p.keys, keys), len(p.keys) - 1)
+            for start in np.flatnonzero(p.keys[place] == keys).tolist():
+                stop = begin + start + m
+                if stop > at:
+                    r = int(place[start])
+                    found[stop - at - 1].append((m, scores[r], r))
+        for j in range(at + 1, end + 1):
+            top, length, which, one = -np.inf, 1, -1, False
+            for m, score, r in found[j - at - 1]:
+                value = best[j - m] + score
+                one = one or m == 1
+                if value > top:
+                    top, length, which = value, m, r
+            if not one and best[j - 1] + p.unknown_score > top:
+                top, length, which = best[j - 1] + p.unknown_score, 1, -1
+            best.append(top)
+            back.append(length)
+            row.append(which)
+    rows, ends, j = [], [], len(word)
+    while j:
+        rows.append(row[j])
+        ends.append(j)
+        j -= back[j]
+    return _with_unknown(p, word, np.array(rows[::-1]), np.array(ends[::-1]), kind)
+
+
+def _prefixes_of(codes: np.ndarray) -> np.ndarray:
+    """As ``_prefixes`` for one long word: runs of 256 characters advance together, then take up what lies before them."""
+    n = len(codes)
+    padded = np.zeros(-(-max(n, 1) // 256) * 256, dtype=np.uint64)
+    padded[:n] = codes.astype(np.uint64) + np.uint64(1)
+    runs = padded.reshape(-1, 256)
+    inner = np.zeros((len(runs), 257), dtype=np.uint64)
+    for k in range(256):
+        inner[:, k + 1] = inner[:, k] * _BASE + runs[:, k]
+    power = np.array([pow(int(_BASE), k, 1 << 64) for k in range(257)], dtype=np.uint64)
+    out, before = np.zeros(len(padded) + 1, dtype=np.uint64), np.uint64(0)
+    with np.errstate(over="ignore"):
+        for i in range(len(runs)):
+            out[256 * i : 256 * i + 257] = inner[i] + before * power
+            before = out[256 * i + 256]
+    return out[: n + 1]
+
+
 def _with_unknown(p: Pieces, word: str, rows: np.ndarray, ends: np.ndarray, kind: str) -> bytes:
     ids, start = [], 0
     for r, end in zip(rows.tolist(), ends.tolist()):
