@@ -218,3 +218,17 @@ def test_quality_sigmoid_sees_every_fold_at_any_size(monkeypatch):
         y = rng.integers(0, 2, n)
         quality.fit([np.unique(rng.integers(0, 50, 6) + 30 * k) for k in y], y)
     assert seen == [(100, 100), (1600, 1600)]
+
+
+def test_a_hot_word_is_one_row_a_chunk(spark, monkeypatch):
+    """Counts over many chunks and buckets, a word that is a third of all tokens, and clashing columns."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["hot"] * 20 + ["w%d" % k for k in range(40)], 50))) for i in range(400)]
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", 2_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_words", "'x' AS seq", "2 AS print", "3 AS chunk").repartition(7)
+    got = language_model.score_texts(df).collect()
+    c = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*t.split(), None])
+    n, v, text = sum(c.values()), len(c), dict(rows)
+    assert len(got) == 400
+    for r in got:
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*text[r.doc_id].split(), None])) and r.n_known == 51

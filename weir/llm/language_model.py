@@ -5,9 +5,9 @@ training words, one each, the end of a text, and ``TAILS`` classes by spelling f
 maximum-entropy model over hashed features (previous class, skipped class, both together); the second is the
 word's smoothed share of its class, so a word never seen in training has a probability too.
 
-1. Counting: each task cuts its texts into chunks and deals a chunk's words, with the documents that hold
-   them, out by a hash of the word. Where a word's rows meet, its exact training count is summed and turned into
-   the documents' sums of log10(count + 1); only such sums travel back.
+1. Counting: each task cuts its texts into chunks and deals a chunk's distinct words out by a hash of the word, each once with its count. Where
+   a word's rows meet, its exact training count is summed and goes back to every chunk that asked; the chunk, which kept which documents hold
+   its words, makes their sums of log10(count + 1). So the commonest word is one row a chunk, and a task holds one bucket of words at a time.
 2. Class sequences (a byte a token) are written once. Counts of class triples over all training texts are
    sufficient for the model, so gradient updates are exact over the whole corpus: each update is a distributed job
    over the triple counts with the weights broadcast, and the driver applies the sum.
@@ -16,6 +16,7 @@ word's smoothed share of its class, so a word never seen in training has a proba
 
 Everything but the fixed-size weights, the class totals and the head words stays distributed, and counts cover all training texts.
 
+Columns other than doc_id and text aren't read, whatever their names; an empty table gives an empty result; a text of any length is one row.
 Defined results: null text counts as empty (its only token is the end); without training texts all base scores are 0;
 rows with equal id and text share their scores and are all kept; null ids belong to the remainder of the empty text.
 """
@@ -43,10 +44,9 @@ FEATURES = 4
 UPDATES = 12
 RIDGE = 1.0
 CHUNK_BYTES = 16 << 20
-_SUM = np.dtype([("doc", "<u2"), ("known", "<u4"), ("logs", "<f8")])
-_COUNTED = "kind int, chunk long, key binary, a long, b long, blob binary"
-_NAMES = ["kind", "chunk", "key", "a", "b", "blob"]
-_META, _SUMS, _CLASS, _HEAD = range(4)
+_COUNTED = "kind int, chunk long, key binary, a long, b long, blob binary, docs binary"
+_NAMES = ["kind", "chunk", "key", "a", "b", "blob", "docs"]
+_META, _COUNTS, _CLASS, _HEAD = range(4)  #: kinds of rows: a chunk's documents, its words' counts by bucket, totals of a class, frequent words
 
 
 def tail_class(word: bytes) -> int:
@@ -55,8 +55,8 @@ def tail_class(word: bytes) -> int:
 
 
 def _deal(buckets: int):
-    """Chunks of texts -> rows (bucket, chunk, words, n, train, docs) and one meta row a chunk."""
-    names = ["bucket", "chunk", "words", "n", "train", "docs", "ids", "prints", "held"]
+    """Chunks of texts -> rows (bucket, chunk, words, train) and one meta row a chunk: its documents, their sizes, and how often (n) and where (docs) its words stand, in order of bucket and word."""
+    names = ["bucket", "chunk", "words", "n", "train", "docs", "sizes", "ids", "prints", "held"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -72,11 +72,11 @@ def _deal(buckets: int):
                 flat = list(chain.from_iterable(words))
                 rows = {k: [] for k in names}
 
-                def add(bucket, words=b"", n=b"", train=b"", docs=b"", ids=None, prints=None, held=None):
-                    for k, v in zip(names, (bucket, chunk, words, n, train, docs, ids, prints, held)):
+                def add(bucket, words=b"", n=b"", train=b"", docs=b"", sizes=b"", ids=None, prints=None, held=None):
+                    for k, v in zip(names, (bucket, chunk, words, n, train, docs, sizes, ids, prints, held)):
                         rows[k].append(v)
 
-                add(chunk % buckets, docs=sizes.astype("<i8").tobytes(), ids=batch.column(0), prints=batch.column(2), held=held)
+                every_n, every_doc = b"", b""
                 if flat:
                     unique = list(dict.fromkeys(flat))
                     index = dict(zip(unique, range(len(unique))))
@@ -90,13 +90,14 @@ def _deal(buckets: int):
                     n = np.bincount(of, minlength=len(unique)).astype("<u4")
                     train = np.bincount(of[~held[doc]], minlength=len(unique)).astype("<u4")
                     doc = doc[np.argsort(of, kind="stable")]
-                    starts = np.r_[0, np.cumsum(n.astype(np.int64))]
+                    every_n, every_doc = n.tobytes(), doc.tobytes()
                     ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
                     ordered = [unique[i] for i in by]
                     for k in np.flatnonzero(np.diff(ends)):
                         s, e = ends[k], ends[k + 1]
-                        add(int(k), b" ".join(ordered[s:e]), n[s:e].tobytes(), train[s:e].tobytes(), doc[starts[s] : starts[e]].tobytes())
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+                        add(int(k), b" ".join(ordered[s:e]), train=train[s:e].tobytes())
+                add(chunk % buckets, n=every_n, docs=every_doc, sizes=sizes.astype("<i8").tobytes(), ids=batch.column(0), prints=batch.column(2), held=held)
+                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
                 for part in range(0, len(rows["bucket"]), 256):
                     yield pa.RecordBatch.from_arrays([pa.array([x if not isinstance(x, pa.Array) else x.to_pylist() for x in rows[k][part : part + 256]], t) for k, t in zip(names, kinds)], names=names)
 
@@ -104,73 +105,71 @@ def _deal(buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the task's buckets: exact counts, sums by document, totals by class and the most frequent words."""
-    rows, out = [], []
-    for b in batches:
-        for bucket, chunk, words, n, train, docs, ids, prints, held in zip(*(c.to_pylist() for c in b.columns)):
-            if ids is not None:
-                blob = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.frombuffer(docs, "<i8"))], names=["doc_id", "print", "held_out", "n"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, blob.schema) as w:
-                    w.write_batch(blob)
-                out.append((_META, chunk, None, None, None, sink.getvalue().to_pybytes()))
-            else:
-                rows.append((chunk, words, np.frombuffer(n, "<u4"), np.frombuffer(train, "<u4"), np.frombuffer(docs, "<u2")))
-    index: dict[bytes, int] = {}
-    places = []
-    for _, words, *_ in rows:
-        places.append(np.array([index.setdefault(w, len(index)) for w in words.split(b" ")], dtype=np.int64))
-    counts = np.zeros(len(index), dtype=np.int64)
-    for at, (_, _, _, train, _) in zip(places, rows):
-        np.add.at(counts, at, train)
-    logs, known = np.log10(counts + 1.0), counts > 0
-    by_chunk: dict[int, list] = {}
-    for at, (chunk, _, n, _, docs) in zip(places, rows):
-        by_chunk.setdefault(chunk, []).append((docs, np.repeat(logs[at], n), np.repeat(known[at], n)))
-    for chunk, parts in by_chunk.items():
-        docs, lg, kn = (np.concatenate(x) for x in zip(*parts))
-        here = np.bincount(docs)
-        doc = np.flatnonzero(here)
-        blob = np.empty(len(doc), dtype=_SUM)
-        blob["doc"], blob["logs"], blob["known"] = doc, np.bincount(docs, weights=lg)[doc], np.bincount(docs, weights=kn)[doc]
-        out.append((_SUMS, chunk, None, None, None, blob.tobytes()))
-    if len(index):
+    """Rows sorted by bucket: each bucket's exact counts for every chunk that asked, totals by class and its most frequent words; meta rows pass."""
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+    def out(rows):
+        for at in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 256]), kinds)], names=_NAMES)
+
+    def flush(bucket, rows):
+        index: dict[bytes, int] = {}
+        places = [np.array([index.setdefault(w, len(index)) for w in words.split(b" ")], dtype=np.int64) for _, words, _ in rows]
+        counts = np.zeros(len(index), dtype=np.int64)
+        for at, (_, _, train) in zip(places, rows):
+            counts[at] += train  # a chunk names a word once
+        yield from out([(_COUNTS, chunk, None, bucket, None, counts[at].astype("<i8").tobytes(), None) for at, (chunk, _, _) in zip(places, rows)])
         words = list(index)
         classes = np.fromiter(map(tail_class, words), dtype=np.int64, count=len(words))
+        known = counts > 0
         total, distinct = np.bincount(classes, weights=counts, minlength=CLASSES), np.bincount(classes[known], minlength=CLASSES)
-        out += [(_CLASS, None, str(c).encode(), int(total[c]), int(distinct[c]), None) for c in np.flatnonzero(distinct)]
+        found = [(_CLASS, None, str(c).encode(), int(total[c]), int(distinct[c]), None, None) for c in np.flatnonzero(distinct)]
         least = np.partition(counts, -HEADS)[-HEADS] if len(words) > HEADS else 0
-        ties = np.flatnonzero(counts >= max(1, least))
-        ties = sorted(ties.tolist(), key=lambda i: (-counts[i], words[i]))[: HEADS]
-        out += [(_HEAD, None, words[i], int(counts[i]), None, None) for i in ties]
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-    for at in range(0, len(out), 256):
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 256]), kinds)], names=_NAMES)
+        ties = sorted(np.flatnonzero(counts >= max(1, least)).tolist(), key=lambda i: (-counts[i], words[i]))[:HEADS]
+        yield from out(found + [(_HEAD, None, words[i], int(counts[i]), None, None, None) for i in ties])
+
+    now, held = None, []
+    for batch in batches:
+        for bucket, chunk, words, n, train, docs, sizes, ids, prints, outside in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != now:
+                if held:
+                    yield from flush(now, held)
+                now, held = bucket, []
+            if ids is not None:
+                meta = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(outside, pa.bool_()), pa.array(np.frombuffer(sizes, "<i8"))], names=["doc_id", "print", "held_out", "n"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, meta.schema) as w:
+                    w.write_batch(meta)
+                yield from out([(_META, chunk, n, None, None, sink.getvalue().to_pybytes(), docs)])
+            else:
+                held.append((chunk, words, np.frombuffer(train, "<u4")))
+    if held:
+        yield from flush(now, held)
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Meta and sums of each chunk, sorted by chunk -> one row a document."""
+    """Meta and counts of each chunk, sorted by chunk, kind and bucket -> one row a document."""
 
-    def flush(meta, known, logs):
-        n = meta.num_rows
-        return pa.RecordBatch.from_arrays([*meta.columns[:3], meta.column(3), pa.array(known[:n]), pa.array(logs[:n])], names=["doc_id", "print", "held_out", "n_words", "n_known", "logs"])
+    def flush(meta, n, docs, counts):
+        counts = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
+        n, docs, rows = np.frombuffer(n, "<u4"), np.frombuffer(docs, "<u2"), meta.num_rows
+        logs, known = np.repeat(np.log10(counts + 1.0), n), np.repeat(counts > 0, n)
+        sums = [np.bincount(docs, weights=v, minlength=rows)[:rows] for v in (known, logs)]
+        return pa.RecordBatch.from_arrays([*meta.columns, pa.array(sums[0].astype(np.int64)), pa.array(sums[1])], names=["doc_id", "print", "held_out", "n_words", "n_known", "logs"])
 
-    now, meta, known, logs = None, None, None, None
+    now, meta, n, docs, counts = None, None, b"", b"", []
     for b in batches:
-        for kind, chunk, blob in zip(*(b.column(i).to_pylist() for i in (0, 1, 5))):
+        for kind, chunk, key, blob, where in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 5, 6))):
             if chunk != now:
                 if meta is not None:
-                    yield flush(meta, known, logs)
-                now, meta, known, logs = chunk, None, np.zeros(65_536, dtype=np.int64), np.zeros(65_536)
+                    yield flush(meta, n, docs, counts)
+                now, meta, counts = chunk, None, []
             if kind == _META:
-                meta = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()
-                meta = meta[0] if meta else None
+                meta, n, docs = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0], key, where
             else:
-                got = np.frombuffer(blob, dtype=_SUM)
-                known[got["doc"]] += got["known"]
-                logs[got["doc"]] += got["logs"]
+                counts.append(np.frombuffer(blob, "<i8"))
     if meta is not None:
-        yield flush(meta, known, logs)
+        yield flush(meta, n, docs, counts)
 
 
 def _sequences(heads: list[bytes]):
@@ -304,9 +303,9 @@ def score_texts(docs: DataFrame, k: int = 7, held: int = 2) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print"), (id_remainder("doc_id", k) == held).alias("held_out"))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(_deal(buckets), "bucket int, chunk long, words binary, n binary, train binary, docs binary, ids array<long>, prints array<long>, held array<boolean>")
-    met = durable(dealt.repartition("bucket").mapInArrow(_meet, _COUNTED))
-    documents = met.where(F.col("kind").isin(_META, _SUMS)).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    dealt = rows.mapInArrow(_deal(buckets), "bucket int, chunk long, words binary, n binary, train binary, docs binary, sizes binary, ids array<long>, prints array<long>, held array<boolean>")
+    met = durable(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _COUNTED))
+    documents = met.where(F.col("kind").isin(_META, _COUNTS)).repartition("chunk").sortWithinPartitions("chunk", "kind", "a")
     documents = durable(documents.mapInArrow(_gather, "doc_id long, print long, held_out boolean, n_words long, n_known long, logs double"))
 
     top = met.where(F.col("kind") == _HEAD).select("key", "a").orderBy(F.col("a").desc(), "key").limit(HEADS).collect()
