@@ -203,11 +203,115 @@ def test_language_model_of_nothing(spark):
     assert language_model.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
+def plain_rows(two, one, softmax):
+    """Weight rows of one factor, with Python integers."""
+    mask = (1 << 64) - 1
+
+    def scatter(x):
+        x = ((x ^ x >> 31) * 0x9E3779B97F4A7C15) & mask
+        x = ((x ^ x >> 29) * 0xBF58476D1CE4E5B9) & mask
+        return x ^ x >> 32
+
+    last, skipped, which = scatter(one + (1 << 33)), scatter(two + (2 << 33)), scatter(softmax + (3 << 33))
+    return [scatter(f ^ which) % language_model.ROWS for f in (last, skipped, scatter((last * 3 + skipped) & mask))]
+
+
+def plain_factors(two, one, word):
+    """(softmax, outcome, rows) of one word."""
+    m = language_model
+    c, g, s = word & 31, word >> 5 & 31, word >> 10 & 31
+    steps = [(0, c)] + ([(1 + c, g), (1 + m.WIDTH + c * m.WIDTH + g, s)] if c > m.END else [])
+    return [(k, out, plain_rows(two, one, k)) for k, out in steps]
+
+
+def plain_softmax(bias, w, softmax, rows):
+    z = bias[softmax].astype(float) + sum(w[r].astype(float) for r in rows)
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+@pytest.fixture(scope="module")
+def small_model():
     rng = np.random.default_rng(1)
-    bias, w = rng.normal(size=language_model.CLASSES), rng.normal(size=(language_model.ROWS, language_model.CLASSES))
-    p = np.exp(language_model._log_softmax(bias, w, language_model._hashed(np.arange(5), np.arange(5))))
-    assert np.allclose(p.sum(axis=1), 1)
+    m = language_model
+    bias = m.unigram_bias(rng.integers(0, 50, m.LEAVES).astype(float))
+    w = rng.normal(size=(m.ROWS, m.WIDTH)).astype(np.float32)
+    words = [m.word_hash(b"w%d" % i) for i in range(60)] + [0, 1, 2] * 5
+    seqs = [np.array([*rng.choice(words, n), m.END], dtype="<u4").tobytes() for n in (0, 1, 2, 30, 400)]
+    return bias, w, seqs
+
+
+def contexts(seq):
+    words = [language_model.START] * 2 + np.frombuffer(seq, "<u4").tolist()
+    return list(zip(words, words[1:], words[2:]))
+
+
+def test_scores_are_those_of_a_plain_walk(small_model, monkeypatch):
+    bias, w, seqs = small_model
+    monkeypatch.setattr(language_model, "PIECE", 7)
+    extra = np.random.default_rng(2).normal(size=language_model.LEAVES)
+    each, starts = language_model.log_probabilities(bias, w, extra, seqs)
+    want = []
+    for seq in seqs:
+        for two, one, word in contexts(seq):
+            p = [plain_softmax(bias, w, k, rows)[out] for k, out, rows in plain_factors(two, one, word)]
+            want.append(sum(np.log10(p)) + extra[language_model.leaf(np.array([word]))[0]])
+    assert np.allclose(each, want, atol=1e-4) and starts.tolist() == [0, 1, 3, 6, 37]
+
+
+def test_an_update_is_that_of_plain_sums(spark, small_model):
+    bias, w, seqs = small_model
+    m = language_model
+    seen, expected = np.zeros((m.ROWS, m.WIDTH)), np.zeros((m.ROWS, m.WIDTH))
+    for seq in seqs:
+        for two, one, word in contexts(seq):
+            for k, out, rows in plain_factors(two, one, word):
+                for r in rows:
+                    seen[r, out] += 1
+                    expected[r] += plain_softmax(bias, w, k, rows)
+    df = m.ship(spark).createDataFrame([(bytearray(s),) for s in seqs], "seq binary").coalesce(1)
+    got = {r.block: np.frombuffer(bytes(r.w), "<f4").reshape(m.BLOCK, m.WIDTH) for r in update(spark, df, bias, w).collect()}
+    x = (seen - expected - m.RIDGE * w) / (expected + 2 * m.RIDGE)
+    want = w + np.where(expected.any(axis=1)[:, None], np.where(x > 0, np.log1p(np.maximum(x, 0)), x) / m.FEATURES, 0)
+    touched = set((np.flatnonzero(expected.any(axis=1)) // m.BLOCK).tolist())
+    assert set(got) == touched
+    for block, rows in got.items():
+        assert np.allclose(rows, want[block * m.BLOCK : (block + 1) * m.BLOCK], atol=0.02)
+
+
+def update(spark, df, bias, w):
+    m = language_model
+    model = spark.sparkContext.broadcast((bias, w))
+    sums = df.mapInArrow(m._sums(model), "block int, part int, seen binary, expected binary")
+    return sums.repartition("block").sortWithinPartitions("block", "part").mapInArrow(m._update(model), "block int, w binary")
+
+
+def test_factors_sum_to_one(small_model):
+    """Over classes, groups and subgroups that some words reach, after any two words."""
+    bias, w, _ = small_model
+    m = language_model
+    one, two = np.full(m.LEAVES, 77, dtype=np.uint64), np.full(m.LEAVES, m.START, dtype=np.uint64)
+    leaves = np.arange(m.LEAVES)
+    c, g, s = leaves // m.WIDTH**2, leaves // m.WIDTH % m.WIDTH, leaves % m.WIDTH
+    words = (c | g << 5 | s << 10)[(c > m.END) | (g + s == 0)].astype(np.uint64)
+    total = np.zeros(len(words))
+    for part, softmax, outcome, place, rows in m._pieces(two[: len(words)], one[: len(words)], words):
+        got = m._log_softmax(bias, w, softmax, rows)[np.arange(len(outcome)), outcome]
+        total[part] += np.bincount(place, weights=got, minlength=len(total[part]))
+    assert np.exp(total).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_language_model_learns_the_order_of_words(spark):
+    """Words of equal frequency in a fixed order: the same words shuffled score far lower; base scores can't tell them apart."""
+    rng = np.random.default_rng(6)
+    words = ["k%d" % i for i in range(50)]
+    at = [int(x) for x in rng.integers(0, 50, 600)]
+    rows = [(i, " ".join(words[(a + j) % 50] for j in range(40))) for i, a in enumerate(at)]
+    rows += [(1000 + i, " ".join(rng.permutation(t.split()))) for i, t in rows if zlib.crc32(str(1000 + i).encode()) % 7 == 2]
+    got = {r.doc_id: r for r in language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    right = [r.score - r.base_score for i, r in got.items() if i < 1000 and r.held_out]
+    wrong = [r.score - r.base_score for i, r in got.items() if i >= 1000]
+    assert min(right) > max(wrong) and np.mean(right) > 0
 
 
 def test_quality_sigmoid_sees_every_fold_at_any_size(monkeypatch):

@@ -1,20 +1,19 @@
 """Language-model scoring with a hashed maximum-entropy model and a class-factored softmax.
 
-A word's probability is P(class | the two classes before it) times P(word | class). Classes are the ``HEADS`` most frequent
-training words, one each, the end of a text, and ``TAILS`` classes by spelling for all other words. The first factor is a
-maximum-entropy model over hashed features (previous class, skipped class, both together); the second is the
-word's smoothed share of its class, so a word never seen in training has a probability too.
+A word's probability is P(class | context) times P(group | class, context) times P(subgroup | group, context) times the word's smoothed share of its subgroup.
+Classes are the ``HEADS`` most frequent training words, one each, the end of a text, and ``TAILS`` classes by spelling for all other words; groups and subgroups
+are digits of the word's hash. Each factor is a softmax over at most ``WIDTH`` outcomes with hashed features of the words themselves: the previous word, the word
+skipped over, and both together. Without features the model is the unigram model, so a word never seen in training has a probability too.
 
 1. Counting: each task cuts its texts into chunks and deals a chunk's distinct words out by a hash of the word, each once with its count. Where
    a word's rows meet, its exact training count is summed and goes back to every chunk that asked; the chunk, which kept which documents hold
    its words, makes their sums of log10(count + 1). So the commonest word is one row a chunk, and a task holds one bucket of words at a time.
-2. Class sequences (a byte a token) are written once. Counts of class triples over all training texts are
-   sufficient for the model, so gradient updates are exact over the whole corpus: each update is a distributed job
-   over the triple counts with the weights broadcast, and the driver applies the sum.
-3. Scoring reads the sequences: distinct contexts of a batch get their softmax once, from
-   the few weight rows their features hash to.
+2. Word hashes (four bytes a token) are written once, in ``UPDATES`` slices of documents by hash. Gradient updates are distributed: each takes the next slice with
+   the weights broadcast; tasks sum observed and expected counts by weight row, blocks of rows meet in one task each, and the driver gathers the
+   new weights. Every training token is used in exactly one update.
+3. Scoring reads the hashes in sparse batches: a token looks up only the few weight rows that its features hash to.
 
-Everything but the fixed-size weights, the class totals and the head words stays distributed, and counts cover all training texts.
+The weight table has a fixed size (``ROWS`` by ``WIDTH``; features that hash to one row share it) and so have the subgroup totals. All else stays distributed, and counts cover all training texts.
 
 Columns other than doc_id and text aren't read, whatever their names; an empty table gives an empty result; a text of any length is one row.
 Defined results: null text counts as empty (its only token is the end); without training texts all base scores are 0;
@@ -32,26 +31,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm._shared import durable, id_remainder, lean_batches, null_safe, texts
+from weir.llm._shared import durable, id_remainder, lean_batches, null_safe, scratch_path, texts
 from weir.session import ship
 
-HEADS, TAILS = 39, 24
+WIDTH = 32  #: outcomes of a factor
+HEADS, TAILS = 15, 16
 END = HEADS  #: class of the end of a text
-CLASSES = HEADS + 1 + TAILS
-START = CLASSES  #: stands before a text, as context only
-ROWS = 1 << 14  #: rows of the weight table that features hash to
-FEATURES = 4
-UPDATES = 12
+LEAVES = WIDTH**3  #: subgroups, counted by class, group and subgroup
+START = 1 << 31  #: stands before a text, as context only
+ROWS = 1 << 17  #: rows of the weight table that features hash to
+BLOCK = 1 << 10  #: weight rows that travel together
+FEATURES = 3
+UPDATES = 8
 RIDGE = 1.0
+PIECE = 8192  #: tokens scored at once
+TASK_TOKENS = 4 << 20  #: tokens of a training task, which sends at most one table of sums
 CHUNK_BYTES = 16 << 20
 _COUNTED = "kind int, chunk long, key binary, a long, b long, blob binary, docs binary"
 _NAMES = ["kind", "chunk", "key", "a", "b", "blob", "docs"]
-_META, _COUNTS, _CLASS, _HEAD = range(4)  #: kinds of rows: a chunk's documents, its words' counts by bucket, totals of a class, frequent words
+_META, _COUNTS, _LEAF, _HEAD = range(4)  #: kinds of rows: a chunk's documents, its words' counts by bucket, totals of a subgroup, frequent words
 
 
-def tail_class(word: bytes) -> int:
-    """Class by spelling: the last two bytes and whether the word is plain ASCII."""
-    return HEADS + 1 + zlib.crc32(word[-2:] + (b"+" if word.isascii() else b"-")) % TAILS
+def word_hash(word: bytes) -> int:
+    """Hash of a word whose lowest five bits are its class by spelling: the last two bytes and whether the word is plain ASCII."""
+    return zlib.crc32(word) & ~31 | HEADS + 1 + zlib.crc32(word[-2:] + (b"+" if word.isascii() else b"-")) % TAILS
+
+
+def path(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, group and subgroup of hashed words; a class of one word has only the first of each."""
+    words = words.astype(np.int64)
+    tail = (words & 31) > END
+    return words & 31, np.where(tail, words >> 5 & 31, 0), np.where(tail, words >> 10 & 31, 0)
+
+
+def leaf(words: np.ndarray) -> np.ndarray:
+    """Number of the subgroup of hashed words."""
+    c, g, s = path(words)
+    return (c * WIDTH + g) * WIDTH + s
 
 
 def _deal(buckets: int):
@@ -105,7 +121,7 @@ def _deal(buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: each bucket's exact counts for every chunk that asked, totals by class and its most frequent words; meta rows pass."""
+    """Rows sorted by bucket: each bucket's exact counts for every chunk that asked, totals by subgroup and its most frequent words; meta rows pass."""
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def out(rows):
@@ -120,10 +136,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[at] += train  # a chunk names a word once
         yield from out([(_COUNTS, chunk, None, bucket, None, counts[at].astype("<i8").tobytes(), None) for at, (chunk, _, _) in zip(places, rows)])
         words = list(index)
-        classes = np.fromiter(map(tail_class, words), dtype=np.int64, count=len(words))
-        known = counts > 0
-        total, distinct = np.bincount(classes, weights=counts, minlength=CLASSES), np.bincount(classes[known], minlength=CLASSES)
-        found = [(_CLASS, None, str(c).encode(), int(total[c]), int(distinct[c]), None, None) for c in np.flatnonzero(distinct)]
+        known = np.flatnonzero(counts)
+        leaves = leaf(np.fromiter((word_hash(words[i]) for i in known), dtype=np.int64, count=len(known)))
+        total, distinct = np.bincount(leaves, weights=counts[known], minlength=LEAVES), np.bincount(leaves, minlength=LEAVES)
+        found = [(_LEAF, None, str(c).encode(), int(total[c]), int(distinct[c]), None, None) for c in np.flatnonzero(distinct)]
         least = np.partition(counts, -HEADS)[-HEADS] if len(words) > HEADS else 0
         ties = sorted(np.flatnonzero(counts >= max(1, least)).tolist(), key=lambda i: (-counts[i], words[i]))[:HEADS]
         yield from out(found + [(_HEAD, None, words[i], int(counts[i]), None, None, None) for i in ties])
@@ -173,6 +189,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sequences(heads: list[bytes]):
+    """Texts -> their words as hashes of four bytes each, the end included; frequent words are numbers below ``HEADS``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: i for i, w in enumerate(heads)}
         for batch in lean_batches(batches):
@@ -180,119 +198,164 @@ def _sequences(heads: list[bytes]):
             for t in texts(batch.column(1)):
                 words = t.lower().split()
                 for w in set(words).difference(known):
-                    known[w] = tail_class(w)
-                out.append(bytes(map(known.__getitem__, words)) + bytes((END,)))
+                    known[w] = word_hash(w)
+                seq = np.fromiter(map(known.__getitem__, words), dtype="<u4", count=len(words))
+                out.append(np.append(seq, np.uint32(END)).astype("<u4").tobytes())
                 if len(known) > 400_000:
                     known = {w: i for i, w in enumerate(heads)}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(out, pa.binary())], names=["doc_id", "print", "held_out", "seq"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(out, pa.binary())], names=["doc_id", "print", "held_out", "slice", "seq"])
 
     return run
 
 
-def _contexts(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class before last, last class, class) of every token of some texts, one after the other."""
-    lead = bytes((START, START))
-    raw = np.frombuffer(b"".join([lead + s for s in seqs]), dtype=np.uint8).astype(np.int64)
-    keep = np.ones(len(raw), dtype=bool)
-    ends = np.cumsum([len(s) + 2 for s in seqs])
-    firsts = ends - [len(s) + 2 for s in seqs]
-    keep[firsts] = keep[firsts + 1] = False
-    at = np.flatnonzero(keep)
-    return raw[at - 2], raw[at - 1], raw[at]
+def _contexts(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word before last, last word, word) of every token of some texts, one after the other, and where each text starts."""
+    words = np.frombuffer(b"".join(seqs), dtype="<u4").astype(np.uint64)
+    starts = np.r_[0, np.cumsum([len(s) // 4 for s in seqs])[:-1]].astype(np.int64)
+    one = np.r_[np.uint64(START), words[:-1]]
+    one[starts] = START
+    two = np.r_[np.uint64(START), one[:-1]]
+    two[starts] = START
+    return two, one, words, starts
 
 
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of class triples in the task, a row for each first class."""
-    side = CLASSES + 1
-    total = np.zeros(side * side * CLASSES, dtype=np.int64)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            two, one, c = _contexts(batch.column(0).slice(at, 1000).to_pylist())
-            total += np.bincount((two * side + one) * CLASSES + c, minlength=len(total))
-    for two, row in enumerate(total.reshape(side, -1)):
-        if row.any():
-            yield pa.RecordBatch.from_arrays([pa.array([two], pa.int32()), pa.array([row.tolist()], pa.list_(pa.int64()))], names=["two", "counts"])
+def _scatter(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of the rows of each first class; a task holds at most one table of CLASSES + 1 of them."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for two, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            row = counts.values.to_numpy()
-            total[two] = total[two] + row if two in total else row
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.int64()))], names=["two", "counts"])
+def _choices(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The factors of some words: number of the softmax, outcome, and place of the word. A class of one word has one factor, other words have three."""
+    c, g, s = path(words)
+    tail = np.flatnonzero(c > END)
+    softmax = np.concatenate([np.zeros(len(c), dtype=np.int64), 1 + c[tail], 1 + WIDTH + c[tail] * WIDTH + g[tail]])
+    return softmax, np.concatenate([c, g[tail], s[tail]]), np.concatenate([np.arange(len(c)), tail, tail])
 
 
-def _hashed(two: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Weight rows of a context's features: previous class, skipped class, both."""
-    mix = lambda kind, v: ((v + 1) * 2_654_435_761 + kind * 40_503_001) % 4_294_967_291 % ROWS
-    return np.stack([mix(1, one), mix(2, two), mix(3, two * (CLASSES + 1) + one)], axis=1)
+def _hashed(two: np.ndarray, one: np.ndarray, softmax: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Weight rows of each factor's features: previous word, skipped word, both."""
+    last, skipped = _scatter(one + np.uint64(1 << 33)), _scatter(two + np.uint64(2 << 33))
+    which = _scatter(softmax.astype(np.uint64) + np.uint64(3 << 33))
+    return [(_scatter(f[place] ^ which) % np.uint64(ROWS)).astype(np.int32) for f in (last, skipped, _scatter(last * np.uint64(3) + skipped))]
 
 
-def _log_softmax(bias: np.ndarray, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = bias + w[rows].sum(axis=1)
+def _log_softmax(bias: np.ndarray, w: np.ndarray, softmax: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    z = bias[softmax]
+    for r in rows:
+        z += w[r]
     z -= z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def _gradient(model):
-    names = ["row", "g", "h"]
+def _pieces(two: np.ndarray, one: np.ndarray, words: np.ndarray):
+    """(slice of tokens, softmax, outcome, place, weight rows) of a bounded number of tokens at a time."""
+    for at in range(0, len(words), PIECE):
+        part = slice(at, at + PIECE)
+        softmax, outcome, place = _choices(words[part])
+        yield part, softmax, outcome, place, _hashed(two[part], one[part], softmax, place)
+
+
+def _sums(model):
+    """Tokens of a task -> observed and expected counts of the weight rows, a row for each block that occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         bias, w = model.value
-        side = CLASSES + 1
-        g, h = {}, {}
+        seen, expected = np.zeros(ROWS * WIDTH, dtype=np.float32), np.zeros((ROWS, WIDTH), dtype=np.float32)
+        for batch in lean_batches(batches, 0):
+            two, one, words, _ = _contexts(batch.column(0).to_pylist())
+            for _, softmax, outcome, _, rows in _pieces(two, one, words):
+                p = np.exp(_log_softmax(bias, w, softmax, rows))
+                for r in rows:
+                    np.add.at(seen, r.astype(np.int64) * WIDTH + outcome, np.float32(1))
+                    by = np.argsort(r)
+                    firsts = np.flatnonzero(np.r_[True, np.diff(r[by]) > 0])
+                    expected[r[by[firsts]]] += np.add.reduceat(p[by], firsts, axis=0)
+        part, seen = TaskContext.get().partitionId(), seen.reshape(-1, BLOCK * WIDTH)
+        for block, e in enumerate(expected.reshape(-1, BLOCK * WIDTH)):
+            if e.any():
+                packed = [pa.array([_pack(x)], pa.binary()) for x in (seen[block], e)]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), *packed], names=["block", "part", "seen", "expected"])
+
+    return run
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as the rounded upper halves of their single-precision form."""
+    return ((x.astype("<f4").view("<u4") + np.uint32(1 << 15)) >> np.uint32(16)).astype("<u2").tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return (np.frombuffer(raw, "<u2").astype("<u4") << np.uint32(16)).view("<f4").astype(np.float64)
+
+
+def _update(model):
+    """Sums of a block's tasks, sorted by block and task -> the block's new weights."""
+
+    def step(block, seen, expected):
+        w = model.value[1].reshape(-1, BLOCK * WIDTH)[block].astype(np.float64)
+        used = np.repeat(expected.reshape(BLOCK, WIDTH).any(axis=1), WIDTH)
+        x = np.where(used, (seen - expected - RIDGE * w) / (expected + 2 * RIDGE), 0)
+        w = w + np.where(x > 0, np.log1p(np.maximum(x, 0)), x) / FEATURES
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([w.astype("<f4").tobytes()], pa.binary())], names=["block", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, expected = None, None, None
         for batch in batches:
-            for two, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = np.array(counts, dtype=np.float64).reshape(side, CLASSES)
-                one = np.flatnonzero(counts.any(axis=1))
-                rows = _hashed(np.full(len(one), two), one)
-                p = np.exp(_log_softmax(bias, w, rows))
-                n = counts[one].sum(axis=1, keepdims=True)
-                gs, hs = counts[one] - n * p, n * p * (1 - p)
-                for r, a, b in zip(np.concatenate([rows, np.full((len(one), 1), -1)], axis=1).tolist(), gs, hs):
-                    for k in r:
-                        g[k] = g.get(k, 0.0) + a
-                        h[k] = h.get(k, 0.0) + b
-        if g:
-            yield pa.RecordBatch.from_arrays([pa.array(list(g), pa.int32()), pa.array([x.tolist() for x in g.values()]), pa.array([h[k].tolist() for k in g])], names=names)
+            for block, _, s, e in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != now:
+                    if now is not None:
+                        yield step(now, seen, expected)
+                    now, seen, expected = block, 0.0, 0.0
+                seen, expected = seen + _unpack(s), expected + _unpack(e)
+        if now is not None:
+            yield step(now, seen, expected)
 
     return run
 
 
-def fit(triples: DataFrame, updates: int = UPDATES) -> tuple[np.ndarray, np.ndarray]:
-    """(bias, weights) by distributed updates: each adds the gradient over the curvature, shared among a context's features."""
-    spark = triples.sparkSession
-    bias, w = np.zeros(CLASSES), np.zeros((ROWS, CLASSES))
-    for _ in range(updates):
+def unigram_bias(mass: np.ndarray) -> np.ndarray:
+    """Log shares of classes, of groups in each class and of subgroups in each group, from the smoothed counts of subgroups."""
+    levels = [mass.reshape(1, WIDTH, -1).sum(axis=2), mass.reshape(WIDTH, WIDTH, WIDTH).sum(axis=2), mass.reshape(-1, WIDTH)]
+    x = np.concatenate(levels) + 0.25
+    return np.log(x / x.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def fit(seqs: DataFrame, bias: np.ndarray, tokens: int) -> np.ndarray:
+    """Weights by distributed updates, one a slice of the training texts: each adds the damped gradient over the curvature, shared among a context's features."""
+    spark = seqs.sparkSession
+    w = np.zeros((ROWS, WIDTH), dtype=np.float32)
+    tasks = max(1, -(-tokens // (UPDATES * TASK_TOKENS)))
+    for k in range(UPDATES):
         model = spark.sparkContext.broadcast((bias, w))
-        g, h = np.zeros((ROWS + 1, CLASSES)), np.zeros((ROWS + 1, CLASSES))
-        got = triples.mapInArrow(_gradient(model), "row int, g array<double>, h array<double>").toArrow()
-        for row, a, b in sorted(zip(got.column("row").to_pylist(), got.column("g").to_pylist(), got.column("h").to_pylist())):
-            g[row] += a
-            h[row] += b
+        part = seqs.where((F.col("slice") == k) & ~F.col("held_out")).select("seq").coalesce(tasks)
+        sums = part.mapInArrow(_sums(model), "block int, part int, seen binary, expected binary")
+        got = sums.repartition("block").sortWithinPartitions("block", "part").mapInArrow(_update(model), "block int, w binary").toArrow()
+        w = w.copy()
+        for block, raw in zip(got.column("block").to_pylist(), got.column("w").to_pylist()):
+            w[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(raw, "<f4").reshape(BLOCK, WIDTH)
         model.unpersist()
-        bias = bias + np.clip((g[-1] - 1e-3 * bias) / (h[-1] + RIDGE) / FEATURES, -2, 2)
-        w = w + np.clip((g[:-1] - RIDGE * w) / (h[:-1] + RIDGE) / FEATURES, -2, 2)
-    return bias, w
+    return w
+
+
+def log_probabilities(bias: np.ndarray, w: np.ndarray, extra: np.ndarray, seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of each token's probability but for its log10(count + 1), and where each text starts."""
+    two, one, words, starts = _contexts(seqs)
+    each = extra[leaf(words)]
+    for part, softmax, outcome, place, rows in _pieces(two, one, words):
+        got = _log_softmax(bias, w, softmax, rows)[np.arange(len(outcome)), outcome].astype(np.float64) / np.log(10)
+        each[part] += np.bincount(place, weights=got, minlength=len(each[part]))
+    return each, starts
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, w, extra = model.value
-        side = CLASSES + 1
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                seqs = batch.column(2).to_pylist()
-                two, one, c = _contexts(seqs)
-                contexts, place = np.unique(two * side + one, return_inverse=True)
-                logs = _log_softmax(bias, w, _hashed(contexts // side, contexts % side)) / np.log(10)
-                each = (logs + extra)[place, c]
-                starts = np.r_[0, np.cumsum([len(s) for s in seqs])[:-1]]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.add.reduceat(each, starts))], names=["of", "of_print", "modelled"])
+        for batch in lean_batches(batches, 2):
+            each, starts = log_probabilities(bias, w, extra, batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.add.reduceat(each, starts))], names=["of", "of_print", "modelled"])
 
     return run
 
@@ -310,25 +373,32 @@ def score_texts(docs: DataFrame, k: int = 7, held: int = 2) -> DataFrame:
 
     top = met.where(F.col("kind") == _HEAD).select("key", "a").orderBy(F.col("a").desc(), "key").limit(HEADS).collect()
     heads = [(bytes(r["key"]), r["a"]) for r in top]
-    sums = {int(r["key"]): (r["n"], r["v"]) for r in met.where(F.col("kind") == _CLASS).groupBy("key").agg(F.sum("a").alias("n"), F.sum("b").alias("v")).collect()}
+    totals = met.where(F.col("kind") == _LEAF).groupBy("key").agg(F.sum("a").alias("n"), F.sum("b").alias("v")).toArrow()
+    total, distinct = np.zeros(LEAVES, dtype=np.int64), np.zeros(LEAVES, dtype=np.int64)
+    at = np.array([int(k) for k in totals.column("key").to_pylist()], dtype=np.int64)
+    total[at], distinct[at] = totals.column("n").to_numpy(), totals.column("v").to_numpy()
     texts_seen = documents.where(~F.col("held_out")).count()
-    n = sum(a for a, _ in sums.values()) + texts_seen
-    v = sum(b for _, b in sums.values()) + (texts_seen > 0)
-
-    extra = np.zeros(CLASSES)
-    tails = {c: list(sums.get(c, (0, 0))) for c in range(HEADS + 1, CLASSES)}
-    for i, (word, count) in enumerate(heads):
-        extra[i] = -np.log10(count + 1)
-        tails[tail_class(word)][0] -= count
-        tails[tail_class(word)][1] -= 1
-    for c, (total, distinct) in tails.items():
-        extra[c] = -np.log10(total + distinct + 1)
-
-    seqs = durable(rows.mapInArrow(_sequences([w for w, _ in heads]), "doc_id long, print long, held_out boolean, seq binary"))
-    triples = seqs.where(~F.col("held_out")).select("seq").mapInArrow(_triples, "two int, counts array<long>")
-    triples = durable(triples.repartition("two").mapInArrow(_add_up, "two int, counts array<long>"))
-    bias, w = fit(triples)
-    model = spark.sparkContext.broadcast((bias, w, extra))
+    n = int(total.sum()) + texts_seen
+    v = int(distinct.sum()) + (texts_seen > 0)
+
+    counted = np.array([c for _, c in heads], dtype=np.int64)
+    alone = leaf(np.arange(len(heads)))
+    was = leaf(np.array([word_hash(w) for w, _ in heads], dtype=np.int64))
+    np.subtract.at(total, was, counted)
+    np.subtract.at(distinct, was, 1)
+    extra = -np.log10(total + distinct + 1.0)
+    mass = (total + distinct).astype(np.float64)
+    mass[alone], extra[alone] = counted + 1, -np.log10(counted + 1.0)
+    end = leaf(np.array([END]))
+    mass[end], extra[end] = texts_seen + 1, 0
+    bias = unigram_bias(mass)
+
+    place = scratch_path(spark, "word-hashes")
+    cut = F.pmod(F.xxhash64("doc_id", "print"), F.lit(UPDATES)).cast("int")
+    seqs = rows.withColumn("slice", cut).mapInArrow(_sequences([w for w, _ in heads]), "doc_id long, print long, held_out boolean, slice int, seq binary")
+    seqs.write.partitionBy("slice").option("compression", "zstd").parquet(place)
+    seqs = spark.read.schema("doc_id long, print long, held_out boolean, seq binary, slice int").parquet(place)
+    model = spark.sparkContext.broadcast((bias, fit(seqs, bias, n), extra))
     modelled = seqs.select("doc_id", "print", "seq").mapInArrow(_score(model), "of long, of_print long, modelled double")
     modelled = modelled.dropDuplicates(["of", "of_print"])
     both = documents.join(modelled, null_safe([(F.col("doc_id"), F.col("of")), (F.col("print"), F.col("of_print"))]))
