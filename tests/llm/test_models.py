@@ -219,7 +219,7 @@ def plain_rows(two, one, softmax):
 def plain_factors(two, one, word):
     """(softmax, outcome, rows) of one word."""
     m = language_model
-    c, g, s = word & 31, word >> 5 & 31, word >> 10 & 31
+    c, g, s = word % m.WIDTH, word // m.WIDTH % m.WIDTH, word // m.WIDTH**2 % m.WIDTH
     steps = [(0, c)] + ([(1 + c, g), (1 + m.WIDTH + c * m.WIDTH + g, s)] if c > m.END else [])
     return [(k, out, plain_rows(two, one, k)) for k, out in steps]
 
@@ -293,7 +293,7 @@ def test_factors_sum_to_one(small_model):
     one, two = np.full(m.LEAVES, 77, dtype=np.uint64), np.full(m.LEAVES, m.START, dtype=np.uint64)
     leaves = np.arange(m.LEAVES)
     c, g, s = leaves // m.WIDTH**2, leaves // m.WIDTH % m.WIDTH, leaves % m.WIDTH
-    words = (c | g << 5 | s << 10)[(c > m.END) | (g + s == 0)].astype(np.uint64)
+    words = (c + m.WIDTH * g + m.WIDTH**2 * s)[(c > m.END) | (g + s == 0)].astype(np.uint64)
     total = np.zeros(len(words))
     for part, softmax, outcome, place, rows in m._pieces(two[: len(words)], one[: len(words)], words):
         got = m._log_softmax(bias, w, softmax, rows)[np.arange(len(outcome)), outcome]

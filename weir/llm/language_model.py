@@ -34,17 +34,18 @@ from pyspark.sql import functions as F
 from weir.llm._shared import durable, id_remainder, lean_batches, null_safe, scratch_path, texts
 from weir.session import ship
 
-WIDTH = 32  #: outcomes of a factor
-HEADS, TAILS = 15, 16
+BITS = 4
+WIDTH = 1 << BITS  #: outcomes of a factor
+HEADS, TAILS = 7, 8
 END = HEADS  #: class of the end of a text
 LEAVES = WIDTH**3  #: subgroups, counted by class, group and subgroup
 START = 1 << 31  #: stands before a text, as context only
-ROWS = 1 << 17  #: rows of the weight table that features hash to
+ROWS = 1 << 16  #: rows of the weight table that features hash to
 BLOCK = 1 << 10  #: weight rows that travel together
 FEATURES = 3
 UPDATES = 8
 RIDGE = 1.0
-PIECE = 8192  #: tokens scored at once
+PIECE = 16384  #: tokens scored at once
 TASK_TOKENS = 4 << 20  #: tokens of a training task, which sends at most one table of sums
 CHUNK_BYTES = 16 << 20
 _COUNTED = "kind int, chunk long, key binary, a long, b long, blob binary, docs binary"
@@ -53,15 +54,16 @@ _META, _COUNTS, _LEAF, _HEAD = range(4)  #: kinds of rows: a chunk's documents,
 
 
 def word_hash(word: bytes) -> int:
-    """Hash of a word whose lowest five bits are its class by spelling: the last two bytes and whether the word is plain ASCII."""
-    return zlib.crc32(word) & ~31 | HEADS + 1 + zlib.crc32(word[-2:] + (b"+" if word.isascii() else b"-")) % TAILS
+    """Hash of a word whose lowest ``BITS`` bits are its class by spelling: the last two bytes and whether the word is plain ASCII."""
+    return zlib.crc32(word) & -WIDTH | HEADS + 1 + zlib.crc32(word[-2:] + (b"+" if word.isascii() else b"-")) % TAILS
 
 
 def path(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class, group and subgroup of hashed words; a class of one word has only the first of each."""
     words = words.astype(np.int64)
-    tail = (words & 31) > END
-    return words & 31, np.where(tail, words >> 5 & 31, 0), np.where(tail, words >> 10 & 31, 0)
+    low = WIDTH - 1
+    tail = (words & low) > END
+    return words & low, np.where(tail, words >> BITS & low, 0), np.where(tail, words >> 2 * BITS & low, 0)
 
 
 def leaf(words: np.ndarray) -> np.ndarray:
@@ -263,18 +265,17 @@ def _sums(model):
         from pyspark import TaskContext
 
         bias, w = model.value
-        seen, expected = np.zeros(ROWS * WIDTH, dtype=np.float32), np.zeros((ROWS, WIDTH), dtype=np.float32)
+        seen, expected = np.zeros(ROWS * WIDTH, dtype=np.float32), np.zeros((WIDTH, ROWS))
         for batch in lean_batches(batches, 0):
             two, one, words, _ = _contexts(batch.column(0).to_pylist())
             for _, softmax, outcome, _, rows in _pieces(two, one, words):
                 p = np.exp(_log_softmax(bias, w, softmax, rows))
-                for r in rows:
-                    np.add.at(seen, r.astype(np.int64) * WIDTH + outcome, np.float32(1))
-                    by = np.argsort(r)
-                    firsts = np.flatnonzero(np.r_[True, np.diff(r[by]) > 0])
-                    expected[r[by[firsts]]] += np.add.reduceat(p[by], firsts, axis=0)
+                every = np.concatenate(rows).astype(np.int64)
+                np.add.at(seen, every * WIDTH + np.tile(outcome, FEATURES), np.float32(1))
+                for j, column in enumerate(p.T.astype(np.float64)):
+                    expected[j] += np.bincount(every, weights=np.tile(column, FEATURES), minlength=ROWS)
         part, seen = TaskContext.get().partitionId(), seen.reshape(-1, BLOCK * WIDTH)
-        for block, e in enumerate(expected.reshape(-1, BLOCK * WIDTH)):
+        for block, e in enumerate(expected.T.reshape(-1, BLOCK * WIDTH)):
             if e.any():
                 packed = [pa.array([_pack(x)], pa.binary()) for x in (seen[block], e)]
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), *packed], names=["block", "part", "seen", "expected"])
