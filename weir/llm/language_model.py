@@ -45,6 +45,7 @@ BLOCK = 1 << 10  #: weight rows that travel together
 FEATURES = 3
 UPDATES = 8
 RIDGE = 1.0
+MOST = 8.0  #: largest size of a weight
 PIECE = 16384  #: tokens scored at once
 TASK_TOKENS = 4 << 20  #: tokens of a training task, which sends at most one table of sums
 CHUNK_BYTES = 16 << 20
@@ -140,13 +141,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = list(index)
         known = np.flatnonzero(counts)
         leaves = leaf(np.fromiter((word_hash(words[i]) for i in known), dtype=np.int64, count=len(known)))
-        total, distinct = np.bincount(leaves, weights=counts[known], minlength=LEAVES), np.bincount(leaves, minlength=LEAVES)
-        found = [(_LEAF, None, str(c).encode(), int(total[c]), int(distinct[c]), None, None) for c in np.flatnonzero(distinct)]
+        sums[0] += np.bincount(leaves, weights=counts[known], minlength=LEAVES).astype(np.int64)
+        sums[1] += np.bincount(leaves, minlength=LEAVES)
         least = np.partition(counts, -HEADS)[-HEADS] if len(words) > HEADS else 0
         ties = sorted(np.flatnonzero(counts >= max(1, least)).tolist(), key=lambda i: (-counts[i], words[i]))[:HEADS]
-        yield from out(found + [(_HEAD, None, words[i], int(counts[i]), None, None, None) for i in ties])
+        yield from out([(_HEAD, None, words[i], int(counts[i]), None, None, None) for i in ties])
 
-    now, held = None, []
+    now, held, sums = None, [], np.zeros((2, LEAVES), dtype=np.int64)
     for batch in batches:
         for bucket, chunk, words, n, train, docs, sizes, ids, prints, outside in zip(*(c.to_pylist() for c in batch.columns)):
             if bucket != now:
@@ -163,6 +164,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append((chunk, words, np.frombuffer(train, "<u4")))
     if held:
         yield from flush(now, held)
+    by_class = sums.reshape(2, WIDTH, -1)
+    yield from out([(_LEAF, c, None, None, None, by_class[:, c].astype("<i8").tobytes(), None) for c in range(WIDTH) if by_class[1, c].any()])
+
+
+def _leaf_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a class's counts over tasks; there are at most ``WIDTH`` classes."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for c, raw in zip(*(x.to_pylist() for x in batch.columns)):
+            total[c] = total.get(c, 0) + np.frombuffer(raw, "<i8")
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "blob"])
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,12 +255,14 @@ def _hashed(two: np.ndarray, one: np.ndarray, softmax: np.ndarray, place: np.nda
     return [(_scatter(f[place] ^ which) % np.uint64(ROWS)).astype(np.int32) for f in (last, skipped, _scatter(last * np.uint64(3) + skipped))]
 
 
-def _log_softmax(bias: np.ndarray, w: np.ndarray, softmax: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = bias[softmax]
+def _softmax(bias: np.ndarray, w: np.ndarray, softmax: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Probabilities of every outcome. Weights are at most ``MOST`` in size, so exponentials stay in single precision's range."""
+    z = bias.take(softmax, axis=0)
     for r in rows:
-        z += w[r]
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        z += w.take(r, axis=0)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(WIDTH, dtype=z.dtype))[:, None]
+    return z
 
 
 def _pieces(two: np.ndarray, one: np.ndarray, words: np.ndarray):
@@ -269,7 +284,7 @@ def _sums(model):
         for batch in lean_batches(batches, 0):
             two, one, words, _ = _contexts(batch.column(0).to_pylist())
             for _, softmax, outcome, _, rows in _pieces(two, one, words):
-                p = np.exp(_log_softmax(bias, w, softmax, rows))
+                p = _softmax(bias, w, softmax, rows)
                 every = np.concatenate(rows).astype(np.int64)
                 np.add.at(seen, every * WIDTH + np.tile(outcome, FEATURES), np.float32(1))
                 for j, column in enumerate(p.T.astype(np.float64)):
@@ -299,7 +314,7 @@ def _update(model):
         w = model.value[1].reshape(-1, BLOCK * WIDTH)[block].astype(np.float64)
         used = np.repeat(expected.reshape(BLOCK, WIDTH).any(axis=1), WIDTH)
         x = np.where(used, (seen - expected - RIDGE * w) / (expected + 2 * RIDGE), 0)
-        w = w + np.where(x > 0, np.log1p(np.maximum(x, 0)), x) / FEATURES
+        w = np.clip(w + np.where(x > 0, np.log1p(np.maximum(x, 0)), x) / FEATURES, -MOST, MOST)
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([w.astype("<f4").tobytes()], pa.binary())], names=["block", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +361,7 @@ def log_probabilities(bias: np.ndarray, w: np.ndarray, extra: np.ndarray, seqs:
     two, one, words, starts = _contexts(seqs)
     each = extra[leaf(words)]
     for part, softmax, outcome, place, rows in _pieces(two, one, words):
-        got = _log_softmax(bias, w, softmax, rows)[np.arange(len(outcome)), outcome].astype(np.float64) / np.log(10)
+        got = np.log10(_softmax(bias, w, softmax, rows)[np.arange(len(outcome)), outcome].astype(np.float64))
         each[part] += np.bincount(place, weights=got, minlength=len(each[part]))
     return each, starts
 
@@ -374,10 +389,11 @@ def score_texts(docs: DataFrame, k: int = 7, held: int = 2) -> DataFrame:
 
     top = met.where(F.col("kind") == _HEAD).select("key", "a").orderBy(F.col("a").desc(), "key").limit(HEADS).collect()
     heads = [(bytes(r["key"]), r["a"]) for r in top]
-    totals = met.where(F.col("kind") == _LEAF).groupBy("key").agg(F.sum("a").alias("n"), F.sum("b").alias("v")).toArrow()
-    total, distinct = np.zeros(LEAVES, dtype=np.int64), np.zeros(LEAVES, dtype=np.int64)
-    at = np.array([int(k) for k in totals.column("key").to_pylist()], dtype=np.int64)
-    total[at], distinct[at] = totals.column("n").to_numpy(), totals.column("v").to_numpy()
+    by_class = np.zeros((2, WIDTH, LEAVES // WIDTH), dtype=np.int64)
+    totals = met.where(F.col("kind") == _LEAF).select("chunk", "blob").repartition("chunk").mapInArrow(_leaf_totals, "chunk long, blob binary")
+    for r in totals.collect():
+        by_class[:, r["chunk"]] = np.frombuffer(bytes(r["blob"]), "<i8").reshape(2, -1)
+    total, distinct = by_class.reshape(2, -1)
     texts_seen = documents.where(~F.col("held_out")).count()
     n = int(total.sum()) + texts_seen
     v = int(distinct.sum()) + (texts_seen > 0)
