@@ -259,6 +259,20 @@ def test_frames_of_a_chain(spark):
             frames.chain(frames.probe(bad.where(f"camera = '{camera}'"))).collect()
 
 
+def test_frames_of_many_files_go_on_together():
+    import pyarrow as pa
+
+    from weir.sources import frames
+
+    n = 6000
+    batch = pa.RecordBatch.from_pydict(
+        {"camera": ["c"] * n, "file": [f"{i}.raw" for i in range(n)], "content": [raw(25, 2, 1, 3, 1, i % 4) for i in range(n)], "first_frame": [3 * i for i in range(n)], "start": pa.array([0] * n), "end": pa.array([None] * n, pa.int64())}
+    )
+    got = list(frames.frame_batches()(iter([batch])))
+    rows = [r for b in got for r in b.to_pylist()]
+    assert len(got) <= 2 and [(r["idx"], r["file"], r["frame"], r["pixels"]) for r in rows] == [(3 * i + k, f"{i}.raw", k, [2 * k, 2 * k + 1]) for i in range(n) for k in range(min(3, i % 4))]
+
+
 def test_a_failing_rebuild_leaves_the_old_table(spark, tmp_path):
     path = str(tmp_path / "t.csv")
     assert files.rebuild_csv(spark.sql("SELECT 1 AS a, 'x' AS b"), path)

@@ -10,12 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weir.operators.motion import chain_offsets
 
 FPS, WARM_UP = 25.0, 50  #: rate where the header has none; frames decoded and dropped before a seek's target
+PIXELS, ROWS = 1 << 20, 10_000  #: frames that are handed on together, whatever files they come from
 
 
 class RawReader:
@@ -64,11 +67,47 @@ def probe(files: DataFrame, reader=RawReader) -> DataFrame:
 
 def chain(probed: DataFrame, keys: str = "camera") -> DataFrame:
     """Probed files as one chain of frames in natural order, with ``first_frame``. Unreadable files or another resolution than the chain's first file fail the query."""
-    c = chain_offsets(probed, keys, "file")
-    size = probed.groupBy(F.col(keys).alias("__k")).agg(F.count_distinct("width", "height").alias("__sizes"), F.count_if(F.col("frames").isNull()).alias("__bad"))
-    c = c.join(size, F.col(keys) == F.col("__k")).drop("__k")
-    fails = F.when(F.col("__bad") > 0, F.raise_error(F.lit("a file of the chain can't be opened"))).when(F.col("__sizes") > 1, F.raise_error(F.lit("all files of a chain must have one resolution")))
-    return c.withColumn("first_frame", F.coalesce(fails.cast("long"), F.col("first_frame"))).drop("__sizes", "__bad")
+    w = W.partitionBy(keys)
+    size = F.when(F.col("width").isNotNull() & F.col("height").isNotNull(), F.struct("width", "height"))
+    c = chain_offsets(probed, keys, "file").withColumns({"__least": F.min(size).over(w), "__most": F.max(size).over(w), "__bad": F.count_if(F.col("frames").isNull()).over(w)})
+    fails = F.when(F.col("__bad") > 0, F.raise_error(F.lit("a file of the chain can't be opened"))).when(F.col("__least") != F.col("__most"), F.raise_error(F.lit("all files of a chain must have one resolution")))
+    return c.withColumn("first_frame", F.coalesce(fails.cast("long"), F.col("first_frame"))).drop("__least", "__most", "__bad")
+
+
+def frame_batches(reader=RawReader):
+    """Batches of (camera, file, content, first_frame, start, end) -> batches of frames, up to ``PIXELS`` or ``ROWS`` of them in one."""
+    names = ["camera", "idx", "file", "frame", "pixels"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            camera, file, content, *columns = batch.columns
+            first, start, end = (c.to_pylist() for c in columns)
+            at, idx, frame, held, size = [], [], [], [], 0
+
+            def rows() -> pa.RecordBatch:
+                ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
+                pixels = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *held], dtype=np.int32)))
+                of = pa.array(at, pa.int64())
+                return pa.RecordBatch.from_arrays([camera.take(of), pa.array(idx, pa.int64()), file.take(of), pa.array(frame, pa.int64()), pixels], names=names)
+
+            for r in range(batch.num_rows):
+                begin, base = start[r] or 0, first[r]
+                for i, pixels in reader().frames(content[r].as_py(), max(0, begin - WARM_UP)):
+                    if end[r] is not None and i >= end[r]:
+                        break
+                    if i < begin:
+                        continue
+                    at.append(r)
+                    idx.append(None if base is None else base + i - begin)
+                    frame.append(i)
+                    held.append(pixels.reshape(-1))
+                    size += pixels.size
+                    if size >= PIXELS or len(at) >= ROWS:
+                        yield rows()
+                        at, idx, frame, held, size = [], [], [], [], 0
+            yield rows()
+
+    return run
 
 
 def read_frames(files: DataFrame, reader=RawReader) -> DataFrame:
@@ -78,24 +117,7 @@ def read_frames(files: DataFrame, reader=RawReader) -> DataFrame:
     """
     cut = files if "start" in files.columns else files.withColumn("start", F.lit(0).cast("long")).withColumn("end", F.lit(None).cast("long"))
     kind = files.schema["camera"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                held = []
-                begin = 0 if pd.isna(r.start) else int(r.start)
-                for i, pixels in reader().frames(bytes(r.content), max(0, begin - WARM_UP)):
-                    if not pd.isna(r.end) and i >= r.end:
-                        break
-                    if i >= begin:
-                        held.append((r.camera, r.first_frame + i - begin, r.file, i, pixels.reshape(-1).tolist()))
-                    if len(held) >= 64:
-                        yield pd.DataFrame(held, columns=["camera", "idx", "file", "frame", "pixels"])
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=["camera", "idx", "file", "frame", "pixels"])
-
-    return cut.select("camera", "file", "content", "first_frame", "start", "end").mapInPandas(run, f"camera {kind}, idx long, file string, frame long, pixels array<int>")
+    return cut.select("camera", "file", "content", "first_frame", "start", "end").mapInArrow(frame_batches(reader), f"camera {kind}, idx long, file string, frame long, pixels array<int>")
 
 
 def keyframes(files: DataFrame, reader=RawReader) -> DataFrame:
