@@ -179,3 +179,37 @@ def test_media_of_texts(spark):
     long = b"q" * (tiff.ROW_BYTES * tiff.PAGE_ROWS * 2 + 5)
     pages = list(tiff.decode(tiff.store_text(long)))
     assert len(pages) == 3 and b"".join(p.pixels.tobytes() for p in pages) == tiff.payload(long)
+
+
+def test_free_memory_goes_back_after_each_piece_and_task(monkeypatch):
+    import pyarrow as pa
+
+    from weir.llm import _shared, tokenfile
+
+    back = []
+    monkeypatch.setattr(_shared, "give_back", lambda: back.append(1), raising=False)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a" * 600] * 3})
+    assert [b.num_rows for b in _shared.lean_batches(iter([batch]), limit=1000)] == [1, 1, 1] and len(back) == 3
+    assert list(_shared.lean_batches(iter([]))) == [] and len(back) == 4
+
+    seen, texts = [], ["word " * 300_000] * 6  # 9 MB
+
+    def encoder(path):
+        def encode(column, end):
+            seen.append(sum(len(x) for x in column.to_pylist()))
+            return np.zeros(len(column), dtype=np.int32), np.arange(len(column) + 1, dtype=np.int32)
+
+        return encode
+
+    class Context:
+        @staticmethod
+        def get():
+            return type("C", (), {"partitionId": lambda self: 0})()
+
+    import pyspark
+
+    monkeypatch.setattr(tokenfile, "_column_encoder", encoder)
+    monkeypatch.setattr(pyspark, "TaskContext", Context)
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "text": texts})
+    got = list(tokenfile._encode("none")(iter([rows])))
+    assert sum(b.num_rows for b in got) == 6 and max(seen) <= 4 << 20

@@ -67,7 +67,7 @@ def id_remainder(doc_id: str | Column, k: int) -> Column:
 
 
 def lean_batches(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches where the text column passes ``limit`` bytes, so a task holds a bounded piece."""
+    """Cut Arrow batches where the text column passes ``limit`` bytes, so a task holds a bounded piece; free memory goes back after each full piece and at the end."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -80,7 +80,21 @@ def lean_batches(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int
                 to = max(to, int(ends.searchsorted(ends[at] + limit, "right")) - 1)
             to = min(to, n)
             yield batch.slice(at, to - at)
+            if to < n:
+                give_back()
             at = to
+        del batch, ends
+    give_back()
+
+
+def give_back() -> None:
+    """Hand memory that Arrow and the C library hold but don't use back to the system: Python workers live on from task to task and stage to stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def offsets(array: pa.Array):

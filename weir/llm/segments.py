@@ -117,6 +117,7 @@ class ColumnEncoder:
         coded = flat.dictionary_encode()
         pieces, index = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         index[cut[:-1]] = len(pieces) + np.arange(n)
+        del plain, flat, coded  # as large as the column, each
         hard = pc.match_substring_regex(pieces, _HARD)
         mixed = pc.and_not(pc.invert(hard), pc.utf8_is_alpha(pieces))
         some, runs = _lists(pc.split_pattern(pc.replace_substring_regex(pieces.filter(mixed), _RUN, "\\1\x00 "), "\x00"))
@@ -146,7 +147,7 @@ class ColumnEncoder:
             cut = cut + np.arange(n + 1)
             starts, sizes, ids = np.r_[starts, len(ids)], np.r_[sizes, 1], np.r_[ids, np.array([end], dtype=self.kind)]
         values, ends = gather(ids, starts, sizes, index)
-        values, ends = values.astype(np.int32), ends[cut]
+        values, ends = values.astype(np.int32, copy=False), ends[cut]
         if odd.any():
             tail = b"" if end is None else np.array([end], dtype=self.kind).tobytes()
             other = dict(zip(np.flatnonzero(odd).tolist(), self.odd(column.filter(pa.array(odd)).to_pylist())))

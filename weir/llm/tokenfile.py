@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weir.llm._shared import lean_batches, offsets, scratch_path, worker_cache
+from weir.llm._shared import give_back, lean_batches, offsets, scratch_path, worker_cache
 from weir.llm.segments import CachedEncoder, ColumnEncoder
 from weir.session import ship
 
@@ -31,6 +31,7 @@ END = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 2_000
+PIECE = 4 << 20  #: bytes of text that are encoded at once; a piece takes some thirty times that while it is numbered
 #: Fixed value: where byte-level tokenizers of this family cut a text before they merge.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -65,7 +66,8 @@ def _encoder(path: str) -> CachedEncoder:
     kind = _kind(tokenizer)
 
     def alone(some: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=kind).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        parts = (some[at : at + 1000] for at in range(0, len(some), 1000))
+        return [np.array(e.ids, dtype=kind).tobytes() for part in parts for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def encode(some: list[str]) -> list[bytes]:
         """Segments that begin with a space and end without one are encoded as one text and cut by their lengths in bytes."""
@@ -118,7 +120,7 @@ def _encode(path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = _column_encoder(path or vocabulary())
         part, start = TaskContext.get().partitionId(), 0
-        for batch in lean_batches(batches):
+        for batch in lean_batches(batches, limit=PIECE):
             values, ends = encode(batch.column(1), END)
             n = np.diff(ends).astype(np.int64)
             starts = start + ends[:-1].astype(np.int64)
@@ -166,6 +168,7 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False))).cast("B")
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:])]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "part", "part_start", "n_tokens", "ids_crc32"])
+    give_back()
 
 
 def query(spark, sf_dir: str) -> DataFrame:
