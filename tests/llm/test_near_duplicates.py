@@ -159,3 +159,20 @@ def test_similar_texts_of_five_words_equal_brute_force(spark):
     assert kept == sorted(set(want)) and len(kept) < simhash.dedup(df).count()
     nameless = spark.createDataFrame([(None, docs[0]), (None, docs[0].upper()), (None, "lonely"), (5, docs[1])], "doc_id long, text string")
     assert corpus_pipeline.drop_near_duplicates(spark, nameless, SF).count() == 3
+
+
+def test_clusters_hold_hashes_and_texts_come_in_small_pieces():
+    import pyarrow as pa
+
+    from weir.llm import simhash
+
+    words = [f"w{i}" for i in range(30_000)]
+    long = " ".join(words)
+    rows = {"cluster": [1, 1, 1, 2], "shard": [0] * 4, "key": [5, 6, 7, 8], "member": [True] * 4, "text": [long, long + " more", " ".join(words[::-1]), "alone"]}
+    got = [r for b in simhash._confirmed(5, 24, 0.8)(iter([pa.RecordBatch.from_pydict(rows)])) for r in b.to_pylist()]
+    assert [sorted(r.values()) for r in got] == [[5, 6]]
+
+    seen, many = [], pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [long] * 40})  # 7 MB
+    for batch in simhash._fingerprints(3)(iter([many])):
+        seen.append(batch.num_rows)
+    assert sum(seen) == 40 and max(seen) * len(long) <= 2 << 20

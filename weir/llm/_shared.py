@@ -66,6 +66,9 @@ def id_remainder(doc_id: str | Column, k: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(k)
 
 
+PIECE = 2 << 20  #: bytes of text that become Python objects at once; words of a text take more than ten times its size
+
+
 def lean_batches(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches where the text column passes ``limit`` bytes, so a task holds a bounded piece; free memory goes back after each full piece and at the end."""
     for batch in batches:
@@ -176,7 +179,7 @@ def add_text_columns(docs: DataFrame, fn: Callable[[list[bytes]], dict], fields:
     new = schema.names[len(docs.columns) :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in lean_batches(batches, at):
+        for batch in lean_batches(batches, at, PIECE):
             got = fn(texts(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(got[n]) for n in new]], names=schema.names)
 

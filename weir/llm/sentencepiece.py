@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm._shared import lean_batches, texts, worker_cache
+from weir.llm._shared import PIECE, lean_batches, texts, worker_cache
 from weir.llm.segments import CachedEncoder, ragged
 from weir.session import ship
 
@@ -317,7 +317,7 @@ def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
         where = path or model_path()
         p, encode = load(where), encoder(where)
         kind = "<u2" if len(p.surface) <= 65_536 else "<u4"
-        for batch in lean_batches(batches):
+        for batch in lean_batches(batches, limit=PIECE):
             raw = texts(batch.column(1))
             packed = encode([t.decode("utf-8", "replace") for t in raw])
             values, ends = ragged(packed, kind)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm._shared import durable, lean_batches, texts
+from weir.llm._shared import PIECE, durable, lean_batches, texts
 from weir.llm.graph import components
 from weir.session import ship
 
@@ -69,7 +69,7 @@ def fingerprint(text: bytes, size: int = WORDS_A_SHINGLE) -> int:
 
 def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in lean_batches(batches):
+        for batch in lean_batches(batches, limit=PIECE):
             fps = np.array([fingerprint(t, size) for t in texts(batch.column(1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
@@ -268,7 +268,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def _marks(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in lean_batches(batches):
+        for batch in lean_batches(batches, limit=PIECE):
             sets = [shingle_hashes(t, size) for t in texts(batch.column(1))]
             bands = pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_key(h) for h in sets], pa.int64()), bands], names=["doc_id", "print", "key", "bands"])
@@ -279,9 +279,8 @@ def _marks(size: int):
 def _confirmed(size: int, radius: int, similarity: float):
     """Sorted rows (cluster, shard, key, member, text) -> spanning links (a, b) of each cluster's shard whose similarity was computed."""
 
-    def links(keys: list[int], bodies: list[bytes], member: list[bool]) -> tuple[list[int], list[int]]:
-        fps = np.array([fingerprint(t, size) for t in bodies], dtype=np.uint64)
-        sets = [shingle_hashes(t, size) for t in bodies]
+    def links(keys: list[int], prints: list[int], sets: list[np.ndarray], member: list[bool]) -> tuple[list[int], list[int]]:
+        fps = np.array(prints, dtype=np.uint64)
         root, a, b = list(range(len(keys))), [], []
 
         def find(i):
@@ -309,12 +308,12 @@ def _confirmed(size: int, radius: int, similarity: float):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         now, rows = None, {}
-        for batch in lean_batches(batches, 4):
-            for cluster, shard, key, member, text in zip(*(c.to_pylist() for c in batch.columns[:4]), texts(batch.column(4))):
+        for batch in lean_batches(batches, 4, PIECE):
+            for cluster, shard, key, member, text in zip(*(c.to_pylist() for c in batch.columns[:4]), texts(batch.column(4))):  # a text is held as its hashes
                 if (cluster, shard) != now:
                     yield flush(rows)
                     now, rows = (cluster, shard), {}
-                rows[key] = (key, text, member)
+                rows[key] = (key, fingerprint(text, size), shingle_hashes(text, size), member)
         yield flush(rows)
 
     return run
@@ -373,7 +372,7 @@ def dedup(docs: DataFrame, radius: int | None = None, size: int = WORDS_A_SHINGL
 
 def _rows_with_mark(mark):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in lean_batches(batches):
+        for batch in lean_batches(batches, limit=PIECE):
             fps = np.array([mark(t) for t in texts(batch.column(1))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["__row", "fp"])
 
