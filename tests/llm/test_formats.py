@@ -74,6 +74,37 @@ def test_columns_encode_like_the_library(monkeypatch):
     assert len(values) == 0 and ends.tolist() == [0]
 
 
+def test_runs_are_cut_by_a_table_of_characters():
+    import pyarrow as pa
+    import regex
+
+    from weir.llm import segments
+
+    allowed = [c for c in map(chr, range(1, 0x250)) if c in "\t\n\f\r" or c not in "'\xa0\x85" and not c.isspace()]
+    rng = np.random.default_rng(3)
+    pieces = ["a" + "".join(rng.choice(allowed, n)) for n in rng.integers(0, 12, 3000)] + ["x", "Éa1²½.\nb", "ab.,", "\x01a"]
+    for array in (pa.array(pieces), pa.array(["é", *pieces]).slice(1)):
+        cut, runs = segments._runs(array)
+        runs = runs.to_pylist()
+        assert [runs[a:b] for a, b in zip(cut, cut[1:])] == [regex.findall(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+|\s", x) for x in pieces]
+    assert segments._runs(pa.array([], pa.string()))[0].tolist() == [0]
+
+
+def test_a_run_is_encoded_once_and_long_ones_leave_no_trace():
+    import pyarrow as pa
+
+    encode = tokenfile._column_encoder(tokenfile.vocabulary())
+    calls, plain = [], encode.encode
+    encode.encode = lambda keys: calls.append(list(keys)) or plain(keys)
+    column = pa.array(["one Quixotryword, andzzq.\nThenqqx end", "one Quixotryword " + "v" * 100])
+    first = [x.tolist() for x in encode(column, 0)]
+    assert sum(x.count("Quixotryword") for x in calls) == 1 and ["v" * 100] in calls
+    held = len(encode.store["known"]), len(encode.store["pool"][0])
+    calls.clear()
+    assert [x.tolist() for x in encode(column, 0)] == first and calls == [["v" * 100]]
+    assert (len(encode.store["known"]), len(encode.store["pool"][0])) == held and len(encode.store["pool"][1]) == held[0] + 1
+
+
 def test_viterbi_is_the_best_path():
     p = sentencepiece.load(sentencepiece.model_path())
     words = [" " + w for w in "hello Hello, unbelievably xyzzy Straße éèà 12,345 ##$$ ①ab a".split()] + [" \n", "    ", "  x"]

@@ -11,18 +11,21 @@ same for byte-level tokenizers over a whole Arrow column at once.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from weir.llm._shared import worker_cache
+from weir.llm._shared import offsets, worker_cache
 
 CACHE = 400_000
 STORE = 600_000  #: runs of a ColumnEncoder's store before it falls back to those of the present batch
-_RUN = r"(\pL+|\pN+|[^\s\pL\pN]+|\s)"
-_HARD = r"['\x00\x0b\x1c-\x1f\x{85}\x{a0}]|[^\x00-\x{24f}]|\s\s|^\s|^$"  #: pieces that aren't cut into runs by _RUN
+_HARD = r"['\x00\x0b\x1c-\x1f\x{85}\x{a0}]|[^\x00-\x{24f}]|\s\s|^\s|^$"  #: pieces that aren't cut into runs by _runs
+_SPACE = 3
+_CLASS = np.array([_SPACE if c in (9, 10, 12, 13, 32) else {"L": 0, "N": 1}.get(unicodedata.category(chr(c))[0], 2) for c in range(0x250)], dtype=np.uint8)  #: of characters: letter, digit, mark, white space
 LONGEST = 64  #: longer segments aren't kept
 _CUT = re.compile(r"(?<=\S)(?= )")
 _MIXED = re.compile(r"\s ")
@@ -72,35 +75,56 @@ class CachedEncoder:
 class ColumnEncoder:
     """ids of a column of texts, as one array of values and one of ends.
 
-    Arrow cuts the column at its spaces, numbers the distinct pieces, cuts those into runs of letters, digits,
-    marks and white space, and numbers the distinct runs. Only runs new to the worker's store are encoded; ids of pieces and texts
+    Arrow cuts the column at its spaces and numbers the distinct pieces; numpy cuts those into runs of letters, digits,
+    marks and white space by a table of characters. Only runs new to the worker's store are encoded; ids of pieces and texts
     are gathered by number. What the runs don't express (apostrophes, several spaces, other scripts) is cut by ``parts``, the tokenizer's
     own rule; texts with a space after white space go to ``odd``, an encoder of whole texts.
 
-    The store's keys are runs: ``x`` stands for ``" " + x`` and ``" " + x`` for ``x`` without a space before it.
+    The store's keys are runs: ``x`` stands for ``" " + x`` and ``" " + x`` for ``x`` without a space before it. It gives
+    a run's number in one array of ids. ``encode`` takes keys and gives them in an order of its own: (keys, ids of all, how many each has).
     """
 
-    def __init__(self, name: str, encode: Callable[[list[str]], list[bytes]], parts: Callable[[str], list[str]], odd: CachedEncoder, kind: str):
-        self.known, self.encode, self.parts, self.odd, self.kind = worker_cache(name), encode, parts, odd, kind
-        self.known[" "] = b""
-
-    def _held(self, runs: list[str]) -> list[bytes]:
-        """ids of all runs; new ones are encoded, and stored unless they are long."""
-        known = self.known
-        fresh = [x for x in dict.fromkeys(runs) if x not in known]
+    def __init__(self, name: str, encode: Callable[[list[str]], Iterator[tuple[list[str], np.ndarray, np.ndarray]]], parts: Callable[[str], list[str]], odd: CachedEncoder, kind: str):
+        self.store, self.encode, self.parts, self.odd, self.kind = worker_cache(name), encode, parts, odd, kind
+        self.store.setdefault("known", {})
+        self.store.setdefault("pool", (np.zeros(0, dtype=kind), np.zeros(1, dtype=np.int64)))
+
+    def _held(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of all runs, ids, ends of ids by number); new runs are encoded, and stored unless they are long."""
+        known = self.store["known"]
+        number = np.fromiter(map(known.get, runs, repeat(-1)), dtype=np.int64, count=len(runs))
+        lost = np.flatnonzero(number < 0).tolist()
+        if not lost:
+            return number, *self.store["pool"]
+        fresh = list(dict.fromkeys([runs[i] for i in lost]))
         if len(known) + len(fresh) > STORE:
-            keep = set(runs)
-            for old in [x for x in known if x not in keep]:
-                del known[old]
-            known[" "] = b""
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            known.update(zip(some, self.encode([x[1:] if x[:1] == " " else " " + x for x in some])))
-        held = list(map(known.__getitem__, runs))
-        for x in fresh:
-            if len(x) > LONGEST:
-                del known[x]
-        return held
+            stay = {x: known[x] for x in runs if x in known}
+            ids, ends = self.store["pool"]
+            self.store["pool"] = gather(ids, ends[:-1], np.diff(ends), np.fromiter(stay.values(), dtype=np.int64, count=len(stay)))
+            known.clear()
+            known.update(zip(stay, range(len(stay))))
+            number = np.fromiter(map(known.get, runs, repeat(-1)), dtype=np.int64, count=len(runs))
+        long = {x for x in fresh if len(x) > LONGEST}
+        self._add([x for x in fresh if x not in long], known)
+        pool, once = self.store["pool"], {}
+        if long:  # these end with the call
+            self._add(list(long), once)
+            pool, self.store["pool"] = self.store["pool"], pool
+        number[lost] = [once[x] if x in once else known[x] for x in (runs[i] for i in lost)]
+        return number, *pool
+
+    def _add(self, keys: list[str], known: dict[str, int]) -> None:
+        """Encode keys and number them on in ``known``."""
+        ids, ends = self.store["pool"]
+        ids, sizes, count = [ids], [], len(ends) - 1
+        for at in range(0, len(keys), 20_000):
+            for some, got, many in self.encode(keys[at : at + 20_000]):
+                known.update(zip(some, range(count, count + len(some))))
+                count += len(some)
+                ids.append(got)
+                sizes.append(many)
+        if sizes:
+            self.store["pool"] = np.concatenate(ids), np.r_[ends, ends[-1] + np.cumsum(np.concatenate(sizes))]
 
     def _slow(self, piece: str) -> list[str]:
         return [part[1:] if part[0] == " " and len(part) > 1 else " " + part for part in self.parts(piece[1:] if piece[:1] == " " else " " + piece)]
@@ -120,15 +144,19 @@ class ColumnEncoder:
         del plain, flat, coded  # as large as the column, each
         hard = pc.match_substring_regex(pieces, _HARD)
         mixed = pc.and_not(pc.invert(hard), pc.utf8_is_alpha(pieces))
-        some, runs = _lists(pc.split_pattern(pc.replace_substring_regex(pieces.filter(mixed), _RUN, "\\1\x00 "), "\x00"))
+        some, runs = _runs(pieces.filter(mixed))
         hard, mixed = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (hard, mixed))
         words = np.delete(np.arange(len(pieces)), np.r_[hard, mixed])
-        runs = pa.concat_arrays([runs, pieces.take(pa.array(words))]).dictionary_encode()
-        number = runs.indices.to_numpy().astype(np.int64)
+        rest = np.delete(np.arange(some[-1]), some[:-1])  # runs without a space before them
+        begun = pa.concat_arrays([runs.take(pa.array(some[:-1])), pieces.take(pa.array(words))]).dictionary_encode()
+        bare = runs.take(pa.array(rest)).dictionary_encode()
+        spelt = begun.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.empty(some[-1] + len(words), dtype=np.int64)
+        number[np.r_[some[:-1], some[-1] + np.arange(len(words))]] = begun.indices.to_numpy()
+        number[rest] = len(spelt) + bare.indices.to_numpy().astype(np.int64)
+        spelt += [" " + x for x in bare.dictionary.to_pylist()]
         by_hand = [self._slow(x) for x in pieces.take(pa.array(hard)).to_pylist()] + [self._slow(" " + x) if x else [] for x in first.to_pylist()]
-        spelt = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
-        held = self._held([x or " " for x in spelt] + [x for part in by_hand for x in part])
-        pool, starts, sizes = self._pool(held)
+        held, pool, pool_ends = self._held(spelt + [x for part in by_hand for x in part])
         # runs of each distinct piece, then those of the texts' first pieces
         hand = np.fromiter(map(len, by_hand), dtype=np.int64, count=len(by_hand))
         at_hand = len(number) + np.cumsum(hand) - hand
@@ -137,9 +165,9 @@ class ColumnEncoder:
         begins[mixed], lengths[mixed] = some[:-1], np.diff(some)
         begins[hard], lengths[hard] = at_hand[: len(hard)], hand[: len(hard)]
         begins[len(pieces) :], lengths[len(pieces) :] = at_hand[len(hard) :], hand[len(hard) :]
-        number = np.r_[number, len(spelt) + np.arange(hand.sum())]
+        number = held[np.r_[number, len(spelt) + np.arange(hand.sum())]]
         of_piece, piece_ends = gather(number, begins, lengths, np.arange(len(begins)))
-        ids, id_ends = gather(pool, starts, sizes, of_piece)
+        ids, id_ends = gather(pool, pool_ends[:-1], np.diff(pool_ends), of_piece)
         id_ends = id_ends[piece_ends]
         starts, sizes = id_ends[:-1], np.diff(id_ends)
         if end is not None:
@@ -155,9 +183,21 @@ class ColumnEncoder:
             values, ends = np.concatenate(rows), np.r_[0, np.cumsum([len(r) for r in rows])]
         return values, ends.astype(np.int32)
 
-    def _pool(self, held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // np.dtype(self.kind).itemsize
-        return np.frombuffer(b"".join(held), dtype=self.kind), np.cumsum(sizes) - sizes, sizes
+
+def _runs(pieces: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+    """Runs of letters, digits or marks and single white spaces of pieces of characters below U+0250: (first run of each piece and the end, runs)."""
+    ends, data = offsets(pieces).astype(np.int64), pieces.buffers()[2]
+    if not len(pieces):
+        return np.zeros(1, dtype=np.int64), pa.array([], pa.string())
+    raw = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]]
+    kind = _CLASS[raw]
+    two = np.flatnonzero(raw >= 0xC0)  # both bytes of a character have its class
+    kind[two] = kind[two + 1] = _CLASS[(raw[two] & 0x1F).astype(np.int64) << 6 | raw[two + 1] & 0x3F]
+    begins = np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == _SPACE)]
+    begins[ends[:-1] - ends[0]] = True
+    at = np.flatnonzero(begins)
+    cut = np.r_[at + ends[0], ends[-1]].astype(np.int32)
+    return np.searchsorted(at, ends - ends[0]), pa.StringArray.from_buffers(len(at), pa.py_buffer(cut), data)
 
 
 def _lists(array: pa.ListArray) -> tuple[np.ndarray, pa.Array]:

@@ -107,8 +107,44 @@ def _encoder(path: str) -> CachedEncoder:
 
 
 def _column_encoder(path: str) -> ColumnEncoder:
-    whole = _encoder(path)
-    return ColumnEncoder(f"pieces of {path}", whole.encode, _PARTS.findall, whole, _kind(worker_cache("tokenizers")[path]))
+    whole, held = _encoder(path), worker_cache("tokenizers")
+    tokenizer, size, kind = held[path], held[path, "sizes"], _kind(held[path])
+
+    def joined(part: list[str], mark: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """ids of some texts with ``mark`` before each, encoded as one and cut at their lengths in bytes; None where a token spans a cut."""
+        text = mark + mark.join(part)
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        begins = np.flatnonzero(raw == ord(mark))
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=kind)
+        ends, want = np.cumsum(size[ids]), np.r_[begins[1:], len(raw)]
+        cuts = np.searchsorted(ends, want)
+        if len(begins) != len(part) or cuts[-1] >= len(ends) or (ends[cuts] != want).any():
+            return None
+        cuts = np.r_[0, cuts + 1]
+        if mark == " ":  # belongs to the text
+            return ids, np.diff(cuts)
+        if (ends[cuts[:-1]] != begins + 1).any():
+            return None
+        return np.delete(ids, cuts[:-1]), np.diff(cuts) - 1
+
+    def encode(keys: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Words with a space before them are encoded as one text, words without one are kept apart by a full stop each."""
+        spaced = [x for x in keys if x[0] != " " and not x[-1].isspace()]
+        bare = [x for x in keys if x[0] == " " and x[1:].isalpha()]
+        rest = [x for x in keys if x[0] != " " and x[-1].isspace() or x[0] == " " and not x[1:].isalpha()]
+        for some, mark in ((spaced, " "), (bare, ".")):
+            for at in range(0, len(some), 1000):
+                part = some[at : at + 1000]
+                got = joined(part if mark == " " else [x[1:] for x in part], mark)
+                if got is None:
+                    rest.extend(part)
+                else:
+                    yield part, *got
+        if rest:
+            got = whole.encode([x[1:] if x[0] == " " else " " + x for x in rest])
+            yield rest, np.frombuffer(b"".join(got), dtype=kind), np.array([len(x) for x in got]) // np.dtype(kind).itemsize
+
+    return ColumnEncoder(f"pieces of {path}", encode, _PARTS.findall, whole, kind)
 
 
 def _encode(path: str | None):
