@@ -116,6 +116,26 @@ def test_viterbi_is_the_best_path():
         assert sentencepiece.viterbi(p, some) == [sentencepiece.plain_viterbi(p, w) for w in some]
 
 
+def test_words_of_any_sizes_advance_together(monkeypatch):
+    from dataclasses import replace
+
+    p = sentencepiece.load(sentencepiece.model_path())
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list(" abcdehinorst①é🙂中"), n)) for n in rng.integers(1, 40, 300)] + [" the", "", " unbelievably", "x"]
+    want = [sentencepiece.plain_viterbi(p, w) for w in words]
+    assert sentencepiece.viterbi(p, words) == want and sentencepiece.viterbi(p, []) == []
+    monkeypatch.setattr(sentencepiece, "CHARACTERS", 50)
+    assert sentencepiece.viterbi(p, words) == want
+    bare = replace(p, byte_ids=None)
+    assert sentencepiece.viterbi(bare, words) == [sentencepiece.plain_viterbi(bare, w) for w in words]
+    # pieces whose hashes belong to other texts, of the same size or not, must not get through
+    for other in ("Qhe", "Q"):
+        texts = [other if t == "the" else t for t in p.texts]
+        wrong = replace(p, texts=texts, codes=sentencepiece._codes(["".join(texts)], -1)[0], sizes=np.array([len(t) for t in texts]))
+        some = ["the", "ab", "xthex", "①the"]
+        assert sentencepiece.viterbi(wrong, some) == [sentencepiece.plain_viterbi(wrong, w) for w in some] != sentencepiece.viterbi(p, some)
+
+
 def test_long_words_take_the_same_path(monkeypatch):
     p = sentencepiece.load(sentencepiece.model_path())
     rng = np.random.default_rng(2)

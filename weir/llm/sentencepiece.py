@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm._shared import PIECE, lean_batches, texts, worker_cache
-from weir.llm.segments import CachedEncoder, ragged
+from weir.llm.segments import CachedEncoder, gather, ragged
 from weir.session import ship
 
 META = "▁"
@@ -38,6 +38,9 @@ UNKNOWN_PENALTY = 10.0
 LONG_WORD = 2_000  #: characters from which a word is walked by itself: a step over ends costs the same for one word as for a thousand
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
+_MIX, _SLOTS = np.uint64(0xD6E8FEB86659FD93), 20  #: of the table of beginnings
+_GOES_ON, _WHOLE = 1, 2  #: what it says of a substring: a longer piece may begin with it, it may be a piece
+CHARACTERS = 500_000  #: of words that advance together, some 250 bytes each
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  #: fixed values of the model format
 _CUT = re.compile(r"(?<=[^ ])(?= )")
 
@@ -51,6 +54,9 @@ class Pieces:
     scores: np.ndarray
     surface: list[bytes]
     texts: list[str]
+    begins: np.ndarray
+    codes: np.ndarray
+    sizes: np.ndarray
     byte_ids: list[int] | None
     unknown: int
     unknown_score: float
@@ -96,9 +102,13 @@ def from_proto(proto) -> Pieces:
             if p.type in (_NORMAL, _USER):
                 found.append((i, p.piece.replace(META, " "), p.score))
     keys = np.empty(len(found), dtype=np.uint64)
+    begins = np.zeros(1 << _SLOTS, dtype=np.uint8)
     for n in {len(t) for _, t, _ in found}:
         at = [k for k, (_, t, _) in enumerate(found) if len(t) == n]
-        keys[at] = _substrings(_prefixes(_codes([found[k][1] for k in at], n)), n)[:, 0]
+        prefixes = _prefixes(_codes([found[k][1] for k in at], n))
+        keys[at] = _substrings(prefixes, n)[:, 0]
+        for m in range(1, n + 1):
+            begins[_slot(prefixes[:, m] ^ _tag(m))] |= _GOES_ON if m < n else _WHOLE
     order = np.argsort(keys, kind="stable")
     normal = [p.score for p in proto.pieces if p.type == _NORMAL]
     return Pieces(
@@ -107,6 +117,9 @@ def from_proto(proto) -> Pieces:
         np.array([s for _, _, s in found], dtype=np.float64)[order],
         surface,
         [found[k][1] for k in order],
+        begins,
+        _codes(["".join(found[k][1] for k in order)], -1)[0] if found else np.zeros(0, dtype="<u4"),
+        np.array([len(found[k][1]) for k in order], dtype=np.int64),
         [bytes_of[b] for b in range(256)] if len(bytes_of) == 256 else None,
         unknown,
         min(normal, default=0.0) - UNKNOWN_PENALTY,
@@ -115,6 +128,15 @@ def from_proto(proto) -> Pieces:
     )
 
 
+def _tag(n: int) -> np.uint64:
+    """What sets keys of length n apart."""
+    return np.uint64(int(_LENGTH) * n & (1 << 64) - 1)
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys * _MIX) >> np.uint64(64 - _SLOTS)
+
+
 def _codes(words: list[str], n: int) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), n)
 
@@ -130,57 +152,122 @@ def _prefixes(codes: np.ndarray) -> np.ndarray:
 def _substrings(prefixes: np.ndarray, n: int) -> np.ndarray:
     """Keys of all substrings of length n, by start."""
     power = np.uint64(pow(int(_BASE), n, 1 << 64))
-    return (prefixes[:, n:] - prefixes[:, : prefixes.shape[1] - n] * power) ^ np.uint64(int(_LENGTH) * n & (1 << 64) - 1)
+    return (prefixes[:, n:] - prefixes[:, : prefixes.shape[1] - n] * power) ^ _tag(n)
 
 
 def viterbi(p: Pieces, words: list[str]) -> list[bytes]:
-    """ids of words of equal length, packed as little-endian 16-bit numbers (32-bit beyond 65,536 pieces)."""
-    n, size = len(words), len(words[0])
-    if size > LONG_WORD:
-        return [long_viterbi(p, w) for w in words]
-    if n * size > 2_000_000 and n > 1:
-        half = n // 2
-        return viterbi(p, words[:half]) + viterbi(p, words[half:])
-    prefixes = _prefixes(_codes(words, size))
-    best = np.full((n, size + 1), -np.inf)
-    best[:, 0] = 0.0
-    back = np.ones((n, size + 1), dtype=np.int32)
-    row = np.full((n, size + 1), -1, dtype=np.int32)  # of the piece tables, -1: unknown
-    probes = {}
-    for m in range(1, min(size, p.longest) + 1):
-        keys = _substrings(prefixes, m)
-        at = np.minimum(np.searchsorted(p.keys, keys), len(p.keys) - 1)
-        probes[m] = np.where(p.keys[at] == keys, at, -1)
-    for j in range(1, size + 1):
-        for m in range(min(j, p.longest), 0, -1):  # the earliest start comes first and keeps ties
-            at = probes[m][:, j - m]
-            value = np.where(at >= 0, best[:, j - m] + p.scores[at], best[:, j - 1] + p.unknown_score if m == 1 else -np.inf)
-            better = value > best[:, j]
-            best[better, j], back[better, j], row[better, j] = value[better], m, at[better]
+    """ids of words, packed as little-endian 16-bit numbers (32-bit beyond 65,536 pieces)."""
+    out = [b""] * len(words)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    order = np.argsort(-sizes, kind="stable")
+    long, some = np.count_nonzero(sizes > LONG_WORD), np.count_nonzero(sizes)
+    for i in order[:long].tolist():
+        out[i] = long_viterbi(p, words[i])
+    order = order[long:some]
+    for part in np.split(order, np.flatnonzero(np.diff(np.cumsum(sizes[order]) // CHARACTERS)) + 1):
+        if len(part):
+            at = part.tolist()
+            for i, ids in zip(at, _paths(p, [words[i] for i in at], sizes[part])):
+                out[i] = ids
+    return out
+
+
+def _found(p: Pieces, codes: np.ndarray, follow: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length from 1: first and last character, in order, and table row of all pieces in the words; ``follow`` is the next character, -1 at a word's end. A character that is no piece has row -1."""
+    first, found = np.arange(len(codes)), []
+    last, key = first, codes.astype(np.uint64) + np.uint64(1)
+    for m in range(1, longest + 1):
+        if m > 1:
+            last = follow[last]
+            live = np.flatnonzero(last >= 0)
+            first, last = first[live], last[live]
+            key = key[live] * _BASE + codes[last] + np.uint64(1)
+        tagged = key ^ _tag(m)
+        seen = p.begins[_slot(tagged)]
+        at = np.flatnonzero(seen & _WHOLE)
+        tagged = tagged[at]
+        row = np.minimum(np.searchsorted(p.keys, tagged), len(p.keys) - 1)
+        same = p.keys[row] == tagged
+        at, row = at[same], row[same]
+        if m == 1:
+            every = np.full(len(codes), -1)
+            every[at] = row
+            found.append((first, last, every))
+        else:
+            found.append((first[at], last[at], row))
+        live = np.flatnonzero(seen & _GOES_ON)
+        first, last, key = first[live], last[live], key[live]
+    return found
+
+
+def _paths(p: Pieces, words: list[str], sizes: np.ndarray) -> list[bytes]:
+    """``viterbi`` of words in descending order of their sizes. Characters are numbered place by place, so a step over ends touches neighbours."""
+    n, deep = len(words), int(sizes[0])
+    flat = _codes(["".join(words)], int(sizes.sum()))[0]
+    count = np.searchsorted(-sizes, -np.arange(deep + 1))  # words that have a character at each place
+    column = np.r_[0, np.cumsum(count)]
+    starts = np.cumsum(sizes) - sizes
+    codes = flat[np.concatenate([starts[:c] + s for s, c in enumerate(count.tolist())])]
+    place = np.repeat(np.arange(deep), count[:-1])
+    every = np.arange(len(codes))
+    follow = np.where(every - column[place] < count[place + 1], every + count[place], -1)
+    before = every + np.where(place > 0, n - count[place - 1], 0)  # end 0 of each word, then the ends after each character
+    found = _found(p, codes, follow, min(deep, p.longest))
+    bounds, base = [], 0
+    for first, _, _ in found:
+        bounds.append((base + np.searchsorted(first, column[: deep + 1])).tolist())
+        base += len(first)
+    begin = before[np.concatenate([f[0] for f in found])]
+    end = n + np.concatenate([f[1] for f in found])
+    row = np.concatenate([f[2] for f in found])
+    span = np.repeat(np.arange(1, len(found) + 1), [len(f[0]) for f in found])
+    score = np.where(row >= 0, p.scores[row], p.unknown_score)
+    del found, place, follow, before
+    best, back = np.full(n + len(codes), -np.inf), np.zeros(n + len(codes), dtype=np.int64)
+    best[:n] = 0.0
+    for j in range(1, deep + 1):
+        for m in range(min(j, len(bounds)), 0, -1):  # the earliest start comes first and keeps ties
+            a, b = bounds[m - 1][j - m], bounds[m - 1][j - m + 1]
+            if a == b:
+                continue
+            value, to = best[begin[a:b]] + score[a:b], end[a:b]
+            better = np.flatnonzero(value > best[to])
+            to = to[better]
+            best[to], back[to] = value[better], better + a
     # walk back over all words at once
-    at, steps = np.full(n, size), []
-    every = np.arange(n)
-    while (at > 0).any():
-        live = at > 0
-        steps.append((np.where(live, row[every, at], -2), at.copy()))
-        at = np.where(live, at - back[every, at], 0)
-    rows = np.stack([s[0] for s in steps[::-1]], axis=1)
-    ends = np.stack([s[1] for s in steps[::-1]], axis=1)
+    live, at, steps, many = np.arange(n), n + column[sizes - 1] + np.arange(n), [], np.zeros(n, dtype=np.int64)
+    while len(live):
+        hit = back[at]
+        steps.append((live, hit))
+        many[live] += 1
+        at = begin[hit]
+        more = at >= n
+        live, at = live[more], at[more]
+    ends = np.cumsum(many)
+    path = np.empty(int(ends[-1]), dtype=np.int64)
+    for k, (live, hit) in enumerate(steps):
+        path[ends[live] - 1 - k] = hit
+    row, span = row[path], span[path]
+    # what the keys found must be what the text says
+    known = row >= 0
+    right = known & (p.sizes[row] == span)
+    false = np.repeat(known & ~right, span)
+    false[np.repeat(right, span)] = gather(p.codes, np.cumsum(p.sizes) - p.sizes, p.sizes, row[right])[0] != flat[np.repeat(right, span)]
     kind = "<u2" if len(p.surface) <= 65_536 else "<u4"
-    plain = (rows != -1).all(axis=1)
-    flat = np.where(rows >= 0, p.ids[np.maximum(rows, 0)], 0).astype(kind)
-    counts, used = (rows != -2).sum(axis=1), rows != -2
-    packed, width, out, start = flat[used].tobytes(), np.dtype(kind).itemsize, [], 0
-    for i in range(n):
-        stop = start + int(counts[i]) * width
-        if plain[i]:
-            out.append(packed[start:stop])
-        else:
-            out.append(_with_unknown(p, words[i], rows[i][used[i]], ends[i][used[i]], kind))
-        start = stop
-    for i in range(n):  # what the keys found must be what the text says
-        if plain[i] and "".join([p.texts[r] for r in rows[i][used[i]]]) != words[i]:
-            out[i] = plain_viterbi(p, words[i], kind)
+    if known.all():
+        ids, cut = p.ids[row], np.r_[0, ends]
+    else:  # an unknown character has several ids
+        odd, which = np.unique(flat[(np.cumsum(span) - span)[~known]], return_inverse=True)
+        spelt = [[p.byte_ids[b] for b in chr(c).encode("utf-8", "replace")] if p.byte_ids else [p.unknown] for c in odd.tolist()]
+        many = np.r_[np.ones(len(p.ids), dtype=np.int64), [len(x) for x in spelt]]
+        row[~known] = len(p.ids) + which
+        ids, cut = gather(np.r_[p.ids, [i for x in spelt for i in x]], np.cumsum(many) - many, many, row)
+        cut = cut[np.r_[0, ends]]
+    packed, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+    cut = (cut * width).tolist()
+    out = [packed[a:b] for a, b in zip(cut, cut[1:])]
+    for i in np.unique(np.searchsorted(starts, np.flatnonzero(false), "right") - 1).tolist():
+        out[i] = plain_viterbi(p, words[i], kind)
     return out
 
 
@@ -284,21 +371,11 @@ def encoder(path: str) -> CachedEncoder:
     """Encoder of whole texts with the worker's store of segments."""
     p = load(path)
 
-    def encode(some: list[str]) -> list[bytes]:
-        by_size: dict[int, list[int]] = {}
-        for i, s in enumerate(some):
-            by_size.setdefault(len(s), []).append(i)
-        out = [b""] * len(some)
-        for at in by_size.values():
-            for i, ids in zip(at, viterbi(p, [some[i] for i in at])):
-                out[i] = ids
-        return out
-
     def cut(text: str) -> list[str]:
         text = text.replace(META, " ")
         return _segments(" " + text if p.prefix else text) if text else []
 
-    return CachedEncoder(f"pieces of {path}", encode, cut)
+    return CachedEncoder(f"pieces of {path}", lambda some: viterbi(p, some), cut)
 
 
 def decode(p: Pieces, ids) -> bytes:
