@@ -224,6 +224,36 @@ def plain_factors(two, one, word):
     return [(k, out, plain_rows(two, one, k)) for k, out in steps]
 
 
+def test_words_hashes_and_order_by_columns():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    odd = [None, "", " ", "a", "  É a\tB\x0b\x0cé\r\n", "x\x1cy\x1fz \x00 \x85 \xa0 中文 🙂", "x" * 3000 + " Ab", "\n"]
+    odd += ["".join(rng.choice(list("aB é\n\t'中🙂"), 30)) for _ in range(200)]
+    for column in (pa.array(odd), pa.array(["skipped text", *odd]).slice(1), pa.array(odd, pa.large_string())):
+        words, sizes = language_model._words(column)
+        plain = [(t or "").encode().lower().split() for t in odd]
+        flat = [w for t in plain for w in t]
+        assert words.cast(pa.large_binary()).to_pylist() == flat and sizes.tolist() == [len(t) for t in plain]
+        assert language_model.word_hashes(words).tolist() == [language_model.word_hash(w) for w in flat]
+        assert language_model.word_hashes(words.slice(3, 20)).tolist() == [language_model.word_hash(w) for w in flat[3:23]]
+    assert len(language_model.word_hashes(pa.array([], pa.binary()))) == 0 and language_model._words(pa.array([None], pa.string()))[1].tolist() == [0]
+    for most in (3, 70_000, 1 << 32):
+        x = rng.integers(0, most, 5000)
+        assert (language_model._order(x) == np.argsort(x, kind="stable")).all()
+
+
+def test_sequences_name_frequent_words_and_end_each_text():
+    import pyarrow as pa
+
+    texts = ["The b the", None, "", "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(texts), *[pa.array([0] * 4)] * 3], names=["doc_id", "text", "print", "held_out", "slice"])
+    h, end = language_model.word_hash, language_model.END
+    for heads, the in (([b"x", b"the"], 1), ([], h(b"the"))):
+        (got,) = language_model._sequences(heads)(iter([batch]))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got.column("seq").to_pylist()] == [[the, h(b"b"), the, end], [end], [end], [h(b"c"), end]]
+
+
 def plain_softmax(bias, w, softmax, rows):
     z = bias[softmax].astype(float) + sum(w[r].astype(float) for r in rows)
     e = np.exp(z - z.max())

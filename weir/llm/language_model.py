@@ -24,14 +24,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm._shared import durable, id_remainder, lean_batches, null_safe, scratch_path, texts
+from weir.llm._shared import durable, id_remainder, lean_batches, null_safe, offsets, scratch_path
 from weir.session import ship
 
 BITS = 4
@@ -59,6 +60,38 @@ def word_hash(word: bytes) -> int:
     return zlib.crc32(word) & -WIDTH | HEADS + 1 + zlib.crc32(word[-2:] + (b"+" if word.isascii() else b"-")) % TAILS
 
 
+@cache
+def _spellings() -> np.ndarray:
+    """Classes by spelling: of words that aren't plain ASCII and those that are, by their last two bytes, then words of one byte."""
+    tails = [bytes((a, b)) for a in range(256) for b in range(256)] + [bytes((a,)) for a in range(256)]
+    return np.array([[HEADS + 1 + zlib.crc32(t + mark) % TAILS for t in tails] for mark in (b"-", b"+")])
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """``word_hash`` of a string or binary column of words, none of them empty."""
+    if not len(words):
+        return np.zeros(0, dtype=np.int64)
+    ends, raw = offsets(words).astype(np.int64), np.frombuffer(words.buffers()[2], dtype=np.uint8)
+    whole = np.fromiter(map(zlib.crc32, words.cast(pa.binary()).to_pylist()), dtype=np.int64, count=len(words))
+    plain = np.maximum.reduceat(raw[: ends[-1]], ends[:-1]) < 0x80
+    last, before = raw[ends[1:] - 1].astype(np.int64), raw[ends[1:] - 2].astype(np.int64)
+    return whole & -WIDTH | _spellings()[plain.astype(np.int64), np.where(np.diff(ends) > 1, before * 256, 65_536) + last]
+
+
+def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-case words of a column of texts, one after the other, and how many each text has; null has none."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    cut, flat = offsets(parts).astype(np.int64), parts.values
+    full = np.diff(offsets(flat)) > 0  # white space around a text leaves empty ones
+    return flat.filter(pa.array(full)), np.diff(np.r_[0, np.cumsum(full)][cut])
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0 below 2 ** 32, in two rounds of 16 bits."""
+    low = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    return low[np.argsort((x >> 16).astype(np.uint16)[low], kind="stable")]
+
+
 def path(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class, group and subgroup of hashed words; a class of one word has only the first of each."""
     words = words.astype(np.int64)
@@ -85,10 +118,8 @@ def _deal(buckets: int):
             for at in range(0, whole.num_rows, 60_000):
                 batch = whole.slice(at, 60_000)
                 chunk += 1
-                words = [t.lower().split() for t in texts(batch.column(1))]
-                sizes = np.array([len(w) for w in words])
+                words, sizes = _words(batch.column(1))
                 held = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-                flat = list(chain.from_iterable(words))
                 rows = {k: [] for k in names}
 
                 def add(bucket, words=b"", n=b"", train=b"", docs=b"", sizes=b"", ids=None, prints=None, held=None):
@@ -96,19 +127,18 @@ def _deal(buckets: int):
                         rows[k].append(v)
 
                 every_n, every_doc = b"", b""
-                if flat:
-                    unique = list(dict.fromkeys(flat))
-                    index = dict(zip(unique, range(len(unique))))
-                    of = np.fromiter(map(index.__getitem__, flat), dtype=np.int64, count=len(flat))
-                    doc = np.repeat(np.arange(len(words), dtype="<u2"), sizes)
+                if len(words):
+                    coded = words.dictionary_encode()
+                    unique, of = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64)
+                    doc = np.repeat(np.arange(len(sizes), dtype="<u2"), sizes)
                     bucket = np.fromiter(map(zlib.crc32, unique), dtype=np.int64, count=len(unique)) % buckets
-                    by = np.argsort(bucket, kind="stable")
+                    by = _order(bucket)
                     rank = np.empty(len(unique), dtype=np.int64)
                     rank[by] = np.arange(len(unique))
                     of = rank[of]
                     n = np.bincount(of, minlength=len(unique)).astype("<u4")
                     train = np.bincount(of[~held[doc]], minlength=len(unique)).astype("<u4")
-                    doc = doc[np.argsort(of, kind="stable")]
+                    doc = doc[_order(of)]
                     every_n, every_doc = n.tobytes(), doc.tobytes()
                     ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
                     ordered = [unique[i] for i in by]
@@ -140,7 +170,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out([(_COUNTS, chunk, None, bucket, None, counts[at].astype("<i8").tobytes(), None) for at, (chunk, _, _) in zip(places, rows)])
         words = list(index)
         known = np.flatnonzero(counts)
-        leaves = leaf(np.fromiter((word_hash(words[i]) for i in known), dtype=np.int64, count=len(known)))
+        leaves = leaf(word_hashes(pa.array([words[i] for i in known.tolist()], pa.binary())))
         sums[0] += np.bincount(leaves, weights=counts[known], minlength=LEAVES).astype(np.int64)
         sums[1] += np.bincount(leaves, minlength=LEAVES)
         least = np.partition(counts, -HEADS)[-HEADS] if len(words) > HEADS else 0
@@ -207,18 +237,18 @@ def _sequences(heads: list[bytes]):
     """Texts -> their words as hashes of four bytes each, the end included; frequent words are numbers below ``HEADS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: i for i, w in enumerate(heads)}
         for batch in lean_batches(batches):
-            out = []
-            for t in texts(batch.column(1)):
-                words = t.lower().split()
-                for w in set(words).difference(known):
-                    known[w] = word_hash(w)
-                seq = np.fromiter(map(known.__getitem__, words), dtype="<u4", count=len(words))
-                out.append(np.append(seq, np.uint32(END)).astype("<u4").tobytes())
-                if len(known) > 400_000:
-                    known = {w: i for i, w in enumerate(heads)}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(out, pa.binary())], names=["doc_id", "print", "held_out", "slice", "seq"])
+            words, sizes = _words(batch.column(1))
+            coded = words.dictionary_encode()
+            number = word_hashes(coded.dictionary)
+            frequent = pc.index_in(coded.dictionary.cast(pa.binary()), pa.array(heads, pa.binary())).fill_null(-1).to_numpy()
+            number = np.where(frequent >= 0, frequent, number)
+            ends = np.cumsum(sizes + 1)
+            seq, word = np.full(ends[-1], END, dtype="<u4"), np.ones(ends[-1], dtype=bool)
+            word[ends - 1] = False
+            seq[word] = number[coded.indices.to_numpy()]
+            out = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((4 * np.r_[0, ends]).astype(np.int32)), pa.py_buffer(seq)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), out], names=["doc_id", "print", "held_out", "slice", "seq"])
 
     return run
 
@@ -252,16 +282,17 @@ def _hashed(two: np.ndarray, one: np.ndarray, softmax: np.ndarray, place: np.nda
     """Weight rows of each factor's features: previous word, skipped word, both."""
     last, skipped = _scatter(one + np.uint64(1 << 33)), _scatter(two + np.uint64(2 << 33))
     which = _scatter(softmax.astype(np.uint64) + np.uint64(3 << 33))
-    return [(_scatter(f[place] ^ which) % np.uint64(ROWS)).astype(np.int32) for f in (last, skipped, _scatter(last * np.uint64(3) + skipped))]
+    return [(_scatter(f[place] ^ which) % np.uint64(ROWS)).astype(np.int64) for f in (last, skipped, _scatter(last * np.uint64(3) + skipped))]
 
 
 def _softmax(bias: np.ndarray, w: np.ndarray, softmax: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     """Probabilities of every outcome. Weights are at most ``MOST`` in size, so exponentials stay in single precision's range."""
-    z = bias.take(softmax, axis=0)
+    z = bias.take(softmax, axis=0, mode="clip")  # all are within; "clip" spares a copy
+    each = np.empty_like(z)
     for r in rows:
-        z += w.take(r, axis=0)
+        z += w.take(r, axis=0, out=each, mode="clip")
     np.exp(z, out=z)
-    z /= (z @ np.ones(WIDTH, dtype=z.dtype))[:, None]
+    z /= np.einsum("ij->i", z)[:, None]
     return z
 
 
@@ -285,10 +316,12 @@ def _sums(model):
             two, one, words, _ = _contexts(batch.column(0).to_pylist())
             for _, softmax, outcome, _, rows in _pieces(two, one, words):
                 p = _softmax(bias, w, softmax, rows)
-                every = np.concatenate(rows).astype(np.int64)
-                np.add.at(seen, every * WIDTH + np.tile(outcome, FEATURES), np.float32(1))
-                for j, column in enumerate(p.T.astype(np.float64)):
-                    expected[j] += np.bincount(every, weights=np.tile(column, FEATURES), minlength=ROWS)
+                for r in rows:
+                    np.add.at(seen, r * WIDTH + outcome, np.float32(1))
+                for j, column in enumerate(np.ascontiguousarray(p.T)):
+                    column = column.astype(np.float64)
+                    for r in rows:
+                        expected[j] += np.bincount(r, weights=column, minlength=ROWS)
         part, seen = TaskContext.get().partitionId(), seen.reshape(-1, BLOCK * WIDTH)
         for block, e in enumerate(expected.T.reshape(-1, BLOCK * WIDTH)):
             if e.any():
