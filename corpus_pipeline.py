@@ -14,40 +14,55 @@ empty table in each stage.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from weir.llm import mixing, quality, sentencepiece, simhash, toxicity
-from weir.llm._shared import remove_folder, scratch_path
+from weir.llm._shared import give_back_driver, remove_folder, scratch_path
 from weir.session import ship, table
 
 
+def _lean(stage):
+    """A stage with the packages shipped; the driver hands back what the stages before left, then what fitting or rounds left before the result is computed."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back_driver(ship(spark))
+        out = stage(spark, docs, sf_dir)
+        give_back_driver(spark)
+        return out
+
+    return run
+
+
+@_lean
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    ship(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@_lean
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar doesn't reject."""
-    ship(spark)
     return toxicity.keep_civil(docs, table(spark, sf_dir, "labels"))
 
 
+@_lean
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8): that of the least id."""
-    ship(spark)
     return simhash.dedup(docs, size=5, similarity=0.8)
 
 
+@_lean
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them, all of them whole."""
-    ship(spark)
     return mixing.mixed_documents(docs, whole=True)
 
 
+@_lean
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every row of the mix."""
-    ship(spark)
     return sentencepiece.encode_texts(docs)
 
 

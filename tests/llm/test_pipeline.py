@@ -1,5 +1,9 @@
 """The pipeline's stages take effect one after the other."""
 
+import ctypes
+import re
+from pathlib import Path
+
 import corpus_pipeline
 from conftest import SF
 
@@ -46,3 +50,39 @@ def test_pipeline(spark, tmp_path):
     assert docs.where("not exact").count() == 0
     assert corpus_pipeline.run(spark, SF).count() == counts[5]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_driver_hands_back_unused_memory(spark):
+    """What is freed in pieces stays with the process; a stage hands it back, in the driver's Python and in its JVM."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    corpus_pipeline.to_pieces(spark, docs, SF)
+    size, n, sparse = 100_000, 2_000, 100
+    jvm = spark._jvm
+    held = lambda pid: int(re.search(r"VmRSS:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) * 1024
+
+    libc = ctypes.CDLL(None)
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe = field.get(None)
+
+    def touched(take, fill):
+        out = [take(size) for _ in range(n)]
+        for x in out:
+            fill(x)
+        return out
+
+    mine = touched(libc.malloc, lambda x: ctypes.memset(x, 1, size))
+    theirs = touched(unsafe.allocateMemory, lambda x: unsafe.setMemory(x, size, 1))
+    for i in range(n):
+        if i % sparse:
+            libc.free(mine[i])
+            unsafe.freeMemory(theirs[i])
+    pids = ["self", jvm.java.lang.ProcessHandle.current().pid()]
+    before = [held(p) for p in pids]
+    corpus_pipeline.to_pieces(spark, docs, SF)
+    after = [held(p) for p in pids]
+    for i in range(0, n, sparse):
+        libc.free(mine[i])
+        unsafe.freeMemory(theirs[i])
+    assert all(b - a > size * n // 2 for b, a in zip(before, after)), (before, after)

@@ -100,6 +100,22 @@ def give_back() -> None:
         trim(0)
 
 
+def give_back_driver(spark: SparkSession) -> None:
+    """``give_back`` on the driver, for its Python and its JVM: compilers and many threads leave the JVM's C heap in pieces that are free, but stay with the process."""
+    from py4j.protocol import Py4JError
+
+    give_back()
+    jvm = spark.sparkContext._jvm
+    try:
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        (invoke,) = [m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke"]  # the server's own class is closed to Py4J
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(beans, given)
+    except Py4JError:  # a JVM without that command keeps its memory
+        pass
+
+
 def offsets(array: pa.Array):
     """Offsets of a string, binary or list array as numpy, honouring its slice."""
     kind = np.int64 if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type) or pa.types.is_large_list(array.type) else np.int32

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm._shared import PIECE, durable, lean_batches, texts
+from weir.llm._shared import PIECE, durable, give_back_driver, lean_batches, texts
 from weir.llm.graph import components
 from weir.session import ship
 
@@ -330,6 +330,7 @@ def similar_groups(docs: DataFrame, similarity: float, size: int, radius: int =
     shared = banded.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select(F.col("band").alias("shared"), "least")
     near = banded.join(shared, F.col("band") == F.col("shared")).where("key <> least").select("key", "least").distinct()
     clusters = durable(components(near).select(F.col("node").alias("key"), F.col("root").alias("cluster")))
+    give_back_driver(docs.sparkSession)  # the rounds' plans were many
     shards = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / cluster_size).cast("int").alias("shards")).withColumnRenamed("cluster", "c")
     want = clusters.join(shards, F.col("cluster") == F.col("c")).join(firsts.select(F.col("key").alias("k"), "of"), F.col("key") == F.col("k"))
     want = want.select("cluster", "shards", "key", F.col("of.print").alias("p"), F.col("of.doc_id").alias("d"))
