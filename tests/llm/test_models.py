@@ -366,3 +366,17 @@ def test_a_hot_word_is_one_row_a_chunk(spark, monkeypatch):
     assert len(got) == 400
     for r in got:
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*text[r.doc_id].split(), None])) and r.n_known == 51
+
+
+def test_quality_fit_holds_few_copies():
+    """Fitting runs on the driver; besides the rows it holds one value a feature."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows = [np.flatnonzero(rng.random(quality.DIMS) < 0.06).astype(np.int32) for _ in range(500)]
+    y = np.arange(500) % 2
+    tracemalloc.start()
+    model = quality.fit(rows, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "wr" in model and peak < 2 * sum(x.nbytes for x in rows), peak / sum(x.nbytes for x in rows)

@@ -64,7 +64,13 @@ def marked(text: bytes, mark: np.ndarray) -> np.ndarray:
 
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     """Per feature, the log of its share among the indicators of class 1 over that of class 0."""
-    counts = [np.bincount(np.concatenate([r for r, k in zip(rows, y) if k == c]), minlength=DIMS) + alpha for c in (1, 0)]
+    counts = []
+    for c in (1, 0):
+        own = [r for r, k in zip(rows, y) if k == c]
+        n = np.zeros(DIMS, dtype=np.int64)
+        for at in range(0, len(own), 256):  # numpy counts on a copy of twice the size
+            n += np.bincount(np.concatenate(own[at : at + 256]), minlength=DIMS)
+        counts.append(n + alpha)
     return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
 
 
@@ -112,10 +118,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> dict:
     def trained(part):
         some, ys = [rows[i] for i in part], y[part]
         r = log_count_ratio(some, ys)
-        flat = r.astype(np.float32)[np.concatenate(some)]  # one block, which goes back to the system as a whole
         ends = np.cumsum([len(x) for x in some])
+        flat = np.empty(ends[-1], dtype=np.float32)  # one block, which goes back to the system as a whole
         values = [flat[e - len(x) : e] for x, e in zip(some, ends)]
-        for v in values:
+        for x, v in zip(some, values):
+            v[:] = r[x]
             v /= np.linalg.norm(v) or 1.0
         w, bias = dual_coordinate_descent(some, values, ys)
         return r, w, bias
@@ -151,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", k: int = 5
     got = first_of_copies(rows).select("y", "text").mapInArrow(_features, "y int, found array<int>").toArrow()
     y = got.column("y").to_numpy()
     found = got.column("found").combine_chunks()
+    del got  # the column is a copy
     flat, at = found.flatten().to_numpy(), found.offsets.to_numpy() - (found.offsets[0].as_py() if len(found) else 0)
     rows = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), int(rows[i].sum()), int(y[i])))  # not the order tasks ended in
